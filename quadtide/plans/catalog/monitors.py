@@ -30,7 +30,7 @@ FROM tk JOIN a ON {_in('a', 6, 'up')} JOIN b ON {_in('b', 6, 'up')} AND a.place
 def _q1(t: Tables, hot_first: bool):
     ticks = event_ticks(t, 2, 6)
     return m.probably_low_while_hot(
-        reading(t, "low2"), reading(t, "high2"), "place", hours(6, 1, ticks), ticks, 40.0, 0.5, 30.0, hot_first
+        reading(t, "low2"), reading(t, "high2", False), "place", hours(6, 1, ticks), ticks, 40.0, 0.5, 30.0, hot_first
     )
 
 
@@ -47,7 +47,7 @@ FROM tk JOIN a ON {_in('a', 6, 'up')} JOIN b ON {_in('b', 6, 'up')} AND a.place
 def _q4(t: Tables, hot_first: bool):
     ticks = event_ticks(t, 2, 6)
     out = m.low_probability_while_hot(
-        reading(t, "low2"), reading(t, "high2"), "place", hours(6, 1, ticks), ticks, 40.0, 60.0, 30.0, hot_first
+        reading(t, "low2"), reading(t, "high2", False), "place", hours(6, 1, ticks), ticks, 40.0, 60.0, 30.0, hot_first
     )
     return out.withColumn("p", F.round("p", 6))
 
