@@ -1 +1,217 @@
-"""Registered queries."""
+"""Registered queries: windows and continuous evaluation (C), batch and streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadtide.functions import terms
+from quadtide.operators import patterns as p
+from quadtide.operators import windows as w
+from quadtide.operators.patterns import Pattern
+from quadtide.plans.catalog import query
+from quadtide.plans.catalog import sqltext as s
+from quadtide.plans.catalog.views import event_ticks, hours, node
+from quadtide.sources.tables import Tables
+from quadtide.streaming import runner
+
+_CONTENT = "CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total"
+
+
+def _content_sql(every: int, tail: int, range_: int, step: int, where: str = "true") -> str:
+    return f"""SELECT tick, {_CONTENT} FROM (SELECT tick, {s.upper(step)} AS up FROM {s.ticks(every, tail)})
+ JOIN events ON ts >= up - INTERVAL {range_} HOUR AND ts < up WHERE {where} GROUP BY tick"""
+
+
+def _content(t: Tables, every: int, tail: int, range_: int, step: int):
+    ticks = event_ticks(t, every, tail)
+    aggs = {"n": ("count", F.lit(1)), "total": ("sum", F.col("value"))}
+    out = w.sliding_aggregate(t.events, "ts", hours(range_, step, ticks), ticks, [], aggs)
+    return out.withColumn("total", F.round("total", 4))
+
+
+query("C1_sliding_window", _content_sql(2, 6, 6, 1))(lambda t: _content(t, 2, 6, 6, 1))
+query("C2_tumbling_window", _content_sql(4, 4, 4, 4))(lambda t: _content(t, 4, 4, 4, 4))
+query("C3_window_with_gaps", _content_sql(3, 6, 2, 6))(lambda t: _content(t, 3, 6, 2, 6))
+query("C5_every_finer_than_step", _content_sql(1, 5, 5, 3))(lambda t: _content(t, 1, 5, 5, 3))
+query("C5_every_coarser_than_step", _content_sql(7, 5, 5, 2))(lambda t: _content(t, 7, 5, 5, 2))
+query("C12_ticks_share_windows", _content_sql(1, 12, 12, 6))(lambda t: _content(t, 1, 12, 12, 6))
+
+
+@query("C4_evaluation_ticks", f"SELECT tick, {s.upper(3)} AS upper, {s.upper(3)} - INTERVAL 6 HOUR AS lower FROM {s.ticks(2, 6)}")
+def _c4(t: Tables):
+    ticks = event_ticks(t, 2, 6)
+    win = hours(6, 3, ticks)
+    return ticks.frame(t.spark).select("tick", win.upper(F.col("tick")).alias("upper"), win.lower(F.col("tick")).alias("lower"))
+
+
+@query(
+    "C6_window_pattern_set_semantics",
+    f"""SELECT DISTINCT tick, {node('place', 'user_id')} AS place, event_type AS kind
+ FROM (SELECT tick, {s.upper(2)} AS up FROM {s.ticks(12, 24)}) JOIN events ON ts >= up - INTERVAL 24 HOUR AND ts < up""",
+)
+def _c6(t: Tables):
+    # Every event reports the same statement about its place, so equal statements meet in a window.
+    from quadtide.operators import quads as q
+    from quadtide.plans.catalog.views import DATA, ont
+
+    ticks = event_ticks(t, 12, 24)
+    stream = q.table_quads(
+        t.events, q.subject(DATA + "place/%s", F.col("user_id")),
+        {ont("reports"): q.text_value(F.col("event_type"))}, keep=["ts"],
+    )
+    placed = w.distinct_spans(w.spans(stream, "ts", hours(24, 2, ticks), ticks), q.KEY)
+    found = p.match(placed, Pattern("?place", ont("reports"), "?k"), keep=[w.LO, w.HI])
+    return w.unfold(found, ticks).select("tick", "place", terms.lex(F.col("k")).alias("kind"))
+
+
+@query(
+    "C7_multi_window_join",
+    f"""WITH tk AS (SELECT tick, {s.upper(1)} AS u1, {s.upper(3)} AS u2 FROM {s.ticks(2, 9)})
+SELECT tick, a.user_id, a.event_id AS first, b.event_id AS second FROM tk
+ JOIN events a ON a.ts >= u1 - INTERVAL 4 HOUR AND a.ts < u1 AND a.event_type = 'click'
+ JOIN events b ON b.ts >= u2 - INTERVAL 9 HOUR AND b.ts < u2 AND b.event_type = 'purchase' AND a.user_id = b.user_id""",
+)
+def _c7(t: Tables):
+    ticks = event_ticks(t, 2, 9)
+    side = lambda kind, name: t.events.where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
+    parts = [(side("click", "first"), "ts", hours(4, 1, ticks)), (side("purchase", "second"), "ts", hours(9, 3, ticks))]
+    return w.join_windows(parts, [["user_id"]], ticks)
+
+
+@query(
+    "C8_window_and_static",
+    f"""SELECT tick, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n
+ FROM (SELECT tick, {s.upper(1)} AS up FROM {s.ticks(6, 12)}) JOIN events ON ts >= up - INTERVAL 12 HOUR AND ts < up
+ JOIN customer ON c_custkey = user_id WHERE c_acctbal > 0 GROUP BY ALL""",
+)
+def _c8(t: Tables):
+    ticks = event_ticks(t, 6, 12)
+    static = t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    known = t.events.select("ts", "user_id").join(static, "user_id")
+    return w.sliding_aggregate(known, "ts", hours(12, 1, ticks), ticks, ["segment"], {"n": ("count", F.lit(1))})
+
+
+@query(
+    "C9_full_result_each_tick",
+    f"""SELECT tick, event_id, user_id FROM (SELECT tick, {s.upper(1)} AS up FROM {s.ticks(1, 3)})
+ JOIN events ON ts >= up - INTERVAL 3 HOUR AND ts < up WHERE value > 150""",
+)
+def _c9(t: Tables):
+    ticks = event_ticks(t, 1, 3)
+    rows = t.events.where(F.col("value") > 150).select("ts", "event_id", "user_id")
+    return w.window_rows(rows, "ts", hours(3, 1, ticks), ticks).drop("ts")
+
+
+@query(
+    "C10_one_shot",
+    """SELECT TIMESTAMP '2024-01-15 13:20:00' AS tick, event_id, value FROM events
+ WHERE ts >= TIMESTAMP '2024-01-15 01:00:00' AND ts < TIMESTAMP '2024-01-15 13:00:00'""",
+)
+def _c10(t: Tables):
+    ticks = w.Ticks.once("2024-01-15 13:20:00")
+    window = w.TimeWindow.of("PT12H", "PT1H", "2024-01-01")
+    return w.window_rows(t.events.select("ts", "event_id", "value"), "ts", window, ticks).drop("ts")
+
+
+@query("C11_out_of_order_rows", _content_sql(2, 6, 6, 1))
+def _c11(t: Tables):
+    shuffled = t.events.orderBy(F.xxhash64("event_id"))
+    ticks = event_ticks(t, 2, 6)
+    rows = w.window_rows(shuffled.select("ts", "value"), "ts", hours(6, 1, ticks), ticks)
+    return rows.groupBy("tick").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "C15_base_and_windows",
+    f"""SELECT tick, source, CAST(count(*) AS BIGINT) AS n FROM (
+ SELECT tick, 'window' AS source FROM (SELECT tick, {s.upper(6)} AS up FROM {s.ticks(24, 24)}) JOIN events ON ts >= up - INTERVAL 24 HOUR AND ts < up
+ UNION ALL SELECT tick, 'base' FROM {s.ticks(24, 24)}, customer) GROUP BY ALL""",
+)
+def _c15(t: Tables):
+    ticks = event_ticks(t, 24, 24)
+    rows = w.window_rows(t.events.select("ts"), "ts", hours(24, 6, ticks), ticks).select("tick", F.lit("window").alias("source"))
+    base = w.at_ticks(t.customer.select(F.lit("base").alias("source")), ticks)
+    return rows.unionByName(base).groupBy("tick", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "C17_elements_between",
+    """SELECT event_id, event_type, value FROM events
+ WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'""",
+)
+def _c17(t: Tables):
+    return w.elements_between(t.events, "ts", "2024-01-10 06:00:00", "2024-01-12 18:00:00").select("event_id", "event_type", "value")
+
+
+# Streaming: the same windows over readStream; rows come out when the watermark has passed a tick.
+
+_CLOSED = "(SELECT max(ts) FROM events)"
+
+
+@query(
+    "C1_sliding_window_streaming",
+    f"""SELECT tick, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total
+ FROM (SELECT tick FROM {s.ticks(2, 0)}) JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick
+ WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR GROUP BY ALL""",
+)
+def _stream_content(t: Tables):
+    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
+    rows = runner.stream_window(t.stream("events").select("ts", "event_type", "value"), "ts", window, ticks, "PT1H")
+    out = rows.groupBy("tick", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
+    return runner.drain(t.spark, out, "content").where(F.col("tick") <= closed)
+
+
+@query(
+    "C7_multi_window_join_streaming",
+    f"""SELECT tick, a.user_id, a.event_id AS first, b.event_id AS second FROM {s.ticks(2, 24)}
+ JOIN events a ON a.ts >= tick - INTERVAL 6 HOUR AND a.ts < tick AND a.event_type = 'click'
+ JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id
+ WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR""",
+)
+def _stream_join(t: Tables):
+    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
+
+    def side(kind: str, name: str):
+        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
+        return runner.stream_window(df, "ts", window, ticks, "PT1H")
+
+    joined = side("click", "first").join(side("purchase", "second"), ["tick", "user_id"])
+    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
+    return runner.drain(t.spark, joined, "join").where(F.col("tick") <= closed)
+
+
+@query(
+    "C8_window_and_static_streaming",
+    f"""SELECT tick, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n FROM {s.ticks(6, 24)}
+ JOIN events ON ts >= tick - INTERVAL 12 HOUR AND ts < tick JOIN customer ON c_custkey = user_id
+ WHERE tick <= {_CLOSED} - INTERVAL 8 HOUR GROUP BY ALL""",
+)
+def _stream_static(t: Tables):
+    ticks, window = w.Ticks.at("2024-01-01", "PT6H"), w.TimeWindow.of("PT12H", "PT1H", "2024-01-01")
+    static = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    known = t.stream("events").select("ts", "user_id").join(static, "user_id")
+    rows = runner.stream_window(known.select("ts", "segment"), "ts", window, ticks, "PT1H")
+    out = rows.groupBy("tick", "segment").agg(F.count(F.lit(1)).alias("n"))
+    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
+    return runner.drain(t.spark, out, "static").where(F.col("tick") <= closed)
+
+
+@query(
+    "F18_aggregate_after_stream_join",
+    f"""SELECT tick, CAST(count(*) AS BIGINT) AS pairs FROM {s.ticks(2, 24)}
+ JOIN events a ON a.ts >= tick - INTERVAL 6 HOUR AND a.ts < tick AND a.event_type = 'click'
+ JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id
+ WHERE tick <= {_CLOSED} - INTERVAL 27 HOUR GROUP BY tick""",
+)
+def _stream_join_agg(t: Tables):
+    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
+
+    def side(kind: str):
+        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id")
+        return runner.stream_window(df, "ts", window, ticks, "PT1H")
+
+    joined = side("click").join(side("purchase"), ["tick", "user_id"])
+    out = joined.groupBy("tick").agg(F.count(F.lit(1)).alias("pairs"))
+    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT24H")
+    return runner.drain(t.spark, out, "joinagg").where(F.col("tick") <= closed)

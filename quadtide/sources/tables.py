@@ -22,7 +22,8 @@ class Tables:
 
     def stream(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(self.path(name)).schema
-        return utc_times(self.spark.readStream.schema(schema).parquet(self.path(name)))
+        # A glob, because a streaming file source takes a folder or a pattern, and a table is either.
+        return utc_times(self.spark.readStream.schema(schema).parquet(self.path(name)[:-1] + "[t]"))
 
 
 def utc_times(df: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Text sources: graph statements with embedded statements, one record per Spark row.
 
 Spark splits the files into records and spreads them; a small tokenizer turns one record into
-statement rows inside ``mapInPandas``.
+statement rows inside ``mapInArrow``.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from quadtide.functions import terms
 from quadtide.operators.quads import with_typed
 from quadtide.vocab import DEFAULT_GRAPH, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, iri
 
+# The record reader travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROW_SCHEMA = (
     "elem_id string, g string, s string, p string, o string, "
     f"s_t {terms.TRIPLE_TYPE}, o_t {terms.TRIPLE_TYPE}"
@@ -216,21 +221,25 @@ class RecordReader:
 def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "") -> DataFrame:
     """Statement rows of ``records`` (value, file, elem_id, and optionally a ``prefixes`` map)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.struct([(n, pa.string()) for n in "spo"])
+        types = [pa.string()] * 5 + [part, part]
+        names = ["elem_id", "g", "s", "p", "o", "s_t", "o_t"]
         for batch in batches:
-            own = batch["prefixes"] if "prefixes" in batch else [None] * len(batch)
             rows = []
-            for text, file, elem, local in zip(batch["value"], batch["file"], batch["elem_id"], own):
-                known = dict(prefixes if local is None else local)
+            for record in batch.to_pylist():
+                local = record.get("prefixes")
+                known = dict(prefixes if local is None else local)  # a map arrives as pairs
                 start = known.pop("@base", base)
-                reader = RecordReader(text, file, known, start)
-                rows.extend((elem, *r) for r in reader.read())
-            out = pd.DataFrame(rows, columns=["elem_id", "g", "s", "p", "o", "s_t", "o_t"], dtype=object)
-            for c in ("s_t", "o_t"):
-                out[c] = [None if t is None else dict(zip("spo", t)) for t in out[c]]
-            yield out
-
-    return with_typed(records.mapInPandas(run, ROW_SCHEMA))
+                reader = RecordReader(record["value"], record["file"], known, start)
+                rows.extend((record["elem_id"], *r) for r in reader.read())
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            for i in (5, 6):
+                columns[i] = [None if t is None else dict(zip("spo", t)) for t in columns[i]]
+            arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return with_typed(records.mapInArrow(run, ROW_SCHEMA))
 
 
 _DIRECTIVE = r"(?i)@?(?:prefix\s+([^\s:]*:)|(base))\s*<([^>]*)>"
