@@ -175,7 +175,7 @@ def _sweep(t: Tables):
  hr AS (SELECT tick, person, avg(value) AS v FROM tk JOIN ok ON {_in('ok', 48, 'up')} WHERE event_type = 'click' GROUP BY ALL),
  br AS (SELECT tick, person, avg(value) AS v FROM tk JOIN ok ON {_in('ok', 48, 'up')} WHERE event_type = 'view' GROUP BY ALL),
  ox AS (SELECT tick, person, avg(value) AS v FROM tk JOIN ok ON {_in('ok', 48, 'up')} WHERE event_type = 'purchase' GROUP BY ALL)
-SELECT tick, person, c_mktsegment AS activity, round(hr.v, 6) AS avg_hr, round(br.v, 6) AS avg_br, round(ox.v, 6) AS avg_ox
+SELECT tick, person, c_mktsegment AS activity, round(hr.v, 8) AS avg_hr, round(br.v, 8) AS avg_br, round(ox.v, 8) AS avg_ox
 FROM hr JOIN br USING (tick, person) JOIN ox USING (tick, person) JOIN customer ON c_custkey = person
 WHERE hr.v > 40 + length(c_mktsegment) AND br.v < 70 - length(c_mktsegment) AND ox.v >= 5 AND ox.v <= 90""",
 )
@@ -194,5 +194,5 @@ def _vitals(t: Tables):
     kept = averages.join(situation, "person").where(
         (F.col("avg_hr") > 40 + F.col("n")) & (F.col("avg_br") < 70 - F.col("n")) & F.col("avg_ox").between(5, 90)
     )
-    rounded = [F.round(c, 6).alias(c) for c in ("avg_hr", "avg_br", "avg_ox")]
+    rounded = [F.round(c, 8).alias(c) for c in ("avg_hr", "avg_br", "avg_ox")]
     return kept.select("tick", "person", "activity", *rounded)
