@@ -10,6 +10,8 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ class Uncertain:
         return self.pick({k: p[1] for k, p in self.params.items()})
 
     def valid(self) -> Column:
-        rules = {k: KINDS[k].valid(*p) for k, p in self.params.items() if k in KINDS}
+        rules = {k: KINDS[k].valid(*p) if k in KINDS else p[0].isNotNull() for k, p in self.params.items()}
         return self.pick(rules)
 
     def struct(self) -> Column:
@@ -271,7 +273,7 @@ def _compare(x, y, against_number: Callable[[Uncertain, Column], Column], agains
     x, y = _value(x), _value(y)
     if y.known(POINT):
         return against_number(x, y.params[POINT][0])
-    if isinstance(y.kind, str):
+    if isinstance(y.kind, str) or POINT not in y.params:
         return against_dist(x, y)
     return F.when(y.kind == POINT, against_number(x, y.params[POINT][0])).otherwise(against_dist(x, y))
 
@@ -351,8 +353,6 @@ def sampled_less_than(samples: int = 10_000, seed: int = 7):
 
     The generator is seeded from the arguments, so a retried task gives the same number.
     """
-    import numpy as np
-    import pandas as pd
 
     def draw(rng, kind, a, b):
         if kind == NORMAL:
