@@ -174,13 +174,21 @@ def join_spans(left: DataFrame, right: DataFrame, on: list[str], longest: int) -
     return kept.withColumns({LO: lo, HI: hi}).drop("__bucket", "__l_lo", "__l_hi", "__r_lo", "__r_hi")
 
 
+def placed(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
+    """Spans of a table; one that has them already stays as it is."""
+    return df if LO in df.columns else spans(df, ts, window, ticks).drop(ts)
+
+
+def time_columns(df: DataFrame, ts: str = "ts") -> list[str]:
+    return [LO, HI] if LO in df.columns else [ts]
+
+
 def join_windows(parts: list[tuple[DataFrame, str, TimeWindow]], on: list[list[str]], ticks: Ticks) -> DataFrame:
     """Inner join of several window contents at the same tick; ``on[i]`` joins part i+1."""
     longest = max(w.max_ticks(ticks) for _, _, w in parts)
-    df, ts, window = parts[0]
-    out = spans(df, ts, window, ticks).drop(ts)
-    for (df, ts, window), keys in zip(parts[1:], on):
-        out = join_spans(out, spans(df, ts, window, ticks).drop(ts), keys, longest)
+    out = placed(*parts[0], ticks)
+    for part, keys in zip(parts[1:], on):
+        out = join_spans(out, placed(*part, ticks), keys, longest)
     return unfold(out, ticks)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quadtide import vocab
 from quadtide.functions import uncertainty as u
 from quadtide.plans import monitoring as m
 from quadtide.plans.catalog import query
 from quadtide.plans.catalog import sqltext as s
-from quadtide.plans.catalog.views import event_ticks, hours, reading, reading_sql
+from quadtide.plans.catalog.views import STREAM_TYPES, event_quads, event_ticks, hours, node, reading, reading_sql
+from quadtide.plans.observations import observations
 from quadtide.sources.tables import Tables
 
 
@@ -196,3 +198,15 @@ def _vitals(t: Tables):
     )
     rounded = [F.round(c, 8).alias(c) for c in ("avg_hr", "avg_br", "avg_ox")]
     return kept.select("tick", "person", "activity", *rounded)
+
+
+@query("Q1a_filter_over_statements", _Q1_SQL.replace("a.place,", f"{node('place', 'a.place')} AS place,"))
+def _q1_statements(t: Tables):
+    ticks = event_ticks(t, 2, 6)
+    window = hours(6, 1, ticks)
+
+    def side(name: str, annotated: bool):
+        stream = event_quads(t, where=F.col("event_type") == STREAM_TYPES[name]).withColumnRenamed("ts", "elem_ts")
+        return observations(stream, "place", vocab.FEATURE, window, ticks, annotated)
+
+    return m.probably_low_while_hot(side("low2", True), side("high2", False), "place", window, ticks, 40.0, 0.5, 30.0)

@@ -1,6 +1,6 @@
 """The continuous monitoring queries over observation tables.
 
-An observation table has ``ts``, a join key, ``value`` and, where readings are annotated, a
+An observation table has ``ts`` (or the span columns of a window), a join key, ``value`` and, where readings are annotated, a
 distribution struct ``unc``. Each function names its windows; results carry the evaluation ``tick``.
 """
 
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadtide.functions import uncertainty as u
-from quadtide.operators.windows import LO, Ticks, TimeWindow, join_spans, join_windows, spans, unfold
+from quadtide.operators.windows import (
+    Ticks, TimeWindow, join_spans, join_windows, placed, sliding_aggregate, time_columns, unfold,
+)
 
 
 def shifted(unc: str, value: str) -> u.Uncertain:
@@ -24,8 +26,8 @@ def probably_low_while_hot(
 ) -> DataFrame:
     """Two windows on one key: P(value1 + error < limit) >= probability and value2 > hot_above."""
     first = low.where(u.less_than(shifted("unc", "value"), limit) >= probability)
-    first = first.select("ts", key, F.col("value").alias("value1"))
-    second = hot.where(F.col("value") > hot_above).select("ts", key, F.col("value").alias("value2"))
+    first = first.select(*time_columns(first), key, F.col("value").alias("value1"))
+    second = hot.where(F.col("value") > hot_above).select(*time_columns(hot), key, F.col("value").alias("value2"))
     parts = [(first, "ts", window), (second, "ts", window)]
     out = join_windows(parts[::-1] if hot_first else parts, [[key]], ticks)
     return out.select("tick", key, "value1", "value2")
@@ -37,8 +39,8 @@ def low_probability_while_hot(
 ) -> DataFrame:
     """The same join, with the probability as an output column and plain filters on both sides."""
     first = low.where(F.col("value") < below).withColumn("p", u.less_than(shifted("unc", "value"), limit))
-    first = first.select("ts", key, F.col("value").alias("value1"), "p")
-    second = hot.where(F.col("value") > hot_above).select("ts", key, F.col("value").alias("value2"))
+    first = first.select(*time_columns(first), key, F.col("value").alias("value1"), "p")
+    second = hot.where(F.col("value") > hot_above).select(*time_columns(hot), key, F.col("value").alias("value2"))
     parts = [(first, "ts", window), (second, "ts", window)]
     out = join_windows(parts[::-1] if hot_first else parts, [[key]], ticks)
     return out.select("tick", key, "value1", "value2", "p")
@@ -70,7 +72,7 @@ def four_streams(
         else:
             df = df.where(p >= probability)
         extra = [f"p{i}"] if probability is None else []
-        parts.append((df.select("ts", key, F.col("value").alias(value), *extra), "ts", window))
+        parts.append((df.select(*time_columns(df), key, F.col("value").alias(value), *extra), "ts", window))
     out = join_windows(parts[::-1] if reverse else parts, [[key]] * 3, ticks)
     chances = [f"p{i}" for i in range(1, 5)] if probability is None else []
     return out.select("tick", key, *[f"value{i}" for i in range(1, 5)], *chances)
@@ -84,16 +86,16 @@ def readings_differ(
 
     ``mu1`` is the error of every reading of the first stream.
     """
-    a = first.select("ts", key, F.col("value").alias("value1"), mu1.alias("__u1"))
-    b = second.select("ts", key, F.col("value").alias("value2"), F.col("unc").alias("__u2"))
-    c = third.where(F.col("value") > hot_above).select("ts", key, F.col("value").alias("value3"))
+    a = first.select(*time_columns(first), key, F.col("value").alias("value1"), mu1.alias("__u1"))
+    b = second.select(*time_columns(second), key, F.col("value").alias("value2"), F.col("unc").alias("__u2"))
+    c = third.where(F.col("value") > hot_above).select(*time_columns(third), key, F.col("value").alias("value3"))
     parts = [(a, "ts", window), (b, "ts", window), (c, "ts", window)]
     longest = window.max_ticks(ticks)
-    placed = [spans(d, t, w, ticks).drop(t) for d, t, w in parts]
+    one, two, three = [placed(*part, ticks) for part in parts]
     if reverse:
-        joined = join_spans(join_spans(placed[2], placed[1], [key], longest), placed[0], [key], longest)
+        joined = join_spans(join_spans(three, two, [key], longest), one, [key], longest)
     else:
-        joined = join_spans(join_spans(placed[0], placed[1], [key], longest), placed[2], [key], longest)
+        joined = join_spans(join_spans(one, two, [key], longest), three, [key], longest)
     x, y = shifted("__u1", "value1"), shifted("__u2", "value2")
     joined = joined.withColumns({"p1": u.less_than(x, y), "p2": u.greater_than(x, y)})
     out = ["tick", key, "value1", "value2", "value3"]
@@ -114,9 +116,11 @@ def linked_events(
     """
     chance = u.less_than(shifted("unc", "value"), F.col("threshold"))
     swept = events.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    kept = swept.where(chance >= probability).select("ts", "id", F.col("value").alias("value1"), "threshold")
-    kept = spans(kept, "ts", window, ticks).drop("ts").join(links, "id")
-    other = spans(targets.select("ts", "target", F.col("value").alias("value2")), "ts", window, ticks).drop("ts")
+    kept = swept.where(chance >= probability)
+    kept = kept.select(*time_columns(events), "id", F.col("value").alias("value1"), "threshold")
+    kept = placed(kept, "ts", window, ticks).join(links, "id")
+    other = targets.select(*time_columns(targets), "target", F.col("value").alias("value2"))
+    other = placed(other, "ts", window, ticks)
     out = join_spans(kept, other, ["target"], window.max_ticks(ticks))
     return unfold(out, ticks).select("tick", "prop", "threshold", "id", "target", "value1", "value2")
 
@@ -125,16 +129,9 @@ def window_averages(
     parts: dict[str, tuple[DataFrame, TimeWindow]], key: str, ticks: Ticks
 ) -> DataFrame:
     """Average of each stream per key and tick; only keys that all streams report at a tick."""
-    from quadtide.operators.windows import sliding_aggregate
-
     out = None
     for name, (df, window) in parts.items():
         one = sliding_aggregate(df, "ts", window, ticks, [key], {name: ("avg", F.col("value"))})
         out = one if out is None else out.join(one, ["tick", key])
     return out
 
-
-__all__ = [
-    "LO", "four_streams", "linked_events", "low_probability_while_hot", "probably_low_while_hot",
-    "readings_differ", "shifted", "window_averages",
-]

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from quadtide.functions import terms
 from quadtide.operators.quads import with_typed
-from quadtide.vocab import DEFAULT_GRAPH, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, iri
+from quadtide.vocab import DEFAULT_GRAPH, GENERATED_AT, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, iri
 
 # The record reader travels with the job, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROW_SCHEMA = (
     "elem_id string, g string, s string, p string, o string, "
-    f"s_t {terms.TRIPLE_TYPE}, o_t {terms.TRIPLE_TYPE}"
+    f"s_t {terms.TRIPLE_TYPE}, o_t {terms.TRIPLE_TYPE}, elem_time string"
 )
 
 # Most prefix declarations a dataset may have to be handed to every task.
@@ -131,7 +131,8 @@ class RecordReader:
                     self.block(s[0])
                 else:
                     self.predicates(s)
-        return self.rows
+        # A record is a set of statements: an asserted one may also be written out.
+        return list(dict.fromkeys(self.rows))
 
     def directive(self, store) -> None:
         self.take()
@@ -223,8 +224,8 @@ def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.struct([(n, pa.string()) for n in "spo"])
-        types = [pa.string()] * 5 + [part, part]
-        names = ["elem_id", "g", "s", "p", "o", "s_t", "o_t"]
+        types = [pa.string()] * 5 + [part, part, pa.string()]
+        names = ["elem_id", "g", "s", "p", "o", "s_t", "o_t", "elem_time"]
         for batch in batches:
             rows = []
             for record in batch.to_pylist():
@@ -232,7 +233,9 @@ def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "")
                 known = dict(prefixes if local is None else local)  # a map arrives as pairs
                 start = known.pop("@base", base)
                 reader = RecordReader(record["value"], record["file"], known, start)
-                rows.extend((record["elem_id"], *r) for r in reader.read())
+                found = reader.read()
+                time = max((r[3] for r in found if r[0] == DEFAULT_GRAPH and r[2] == GENERATED_AT), default=None)
+                rows.extend((record["elem_id"], *r, time) for r in found)
             columns = list(zip(*rows)) if rows else [()] * len(names)
             for i in (5, 6):
                 columns[i] = [None if t is None else dict(zip("spo", t)) for t in columns[i]]
@@ -289,20 +292,19 @@ def read_elements(spark: SparkSession, path: str, prefixes: dict[str, str] | Non
     """Stream elements from text files with one element per line (first line: declarations)."""
     lines = _with_source(spark.read.text(path))
     records, known = _with_prefixes(_elements(lines), lines, prefixes)
-    return with_element_time(parse_records(records, known, base))
+    return _timed(parse_records(records, known, base))
+
+
+def _timed(quads: DataFrame) -> DataFrame:
+    """Event time of an element; one that states no readable time belongs to the epoch."""
+    time = F.coalesce(terms.moment(F.col("elem_time")), F.lit(0).cast("timestamp"))
+    return quads.withColumn("elem_ts", time).drop("elem_time")
 
 
 def stream_elements(spark: SparkSession, path: str, prefixes: dict[str, str], base: str = "") -> DataFrame:
     """The same from a growing folder; declarations are given, as a stream has no first pass."""
     lines = _with_source(spark.readStream.text(path))
-    return parse_records(_elements(lines), prefixes, base)
-
-
-def with_element_time(quads: DataFrame) -> DataFrame:
-    """Add ``elem_ts`` to the rows of each element."""
-    from quadtide.operators.quads import element_times
-
-    return quads.join(element_times(quads), "elem_id")
+    return _timed(parse_records(_elements(lines), prefixes, base))
 
 
 def read_dataset(
@@ -316,14 +318,14 @@ def read_dataset(
     """
     if unit == "file":
         records = _with_source(spark.read.text(path, wholetext=True)).withColumn("elem_id", F.col("file"))
-        return parse_records(records, prefixes or {}, base).drop("elem_id").dropDuplicates(["g", "s", "p", "o"])
+        return parse_records(records, prefixes or {}, base).drop("elem_id", "elem_time").dropDuplicates(["g", "s", "p", "o"])
     lines = _with_source(spark.read.text(path))
     separated = lines if unit == "line" else _with_source(spark.read.text(path, lineSep=".\n"))
     records = _elements(separated)
     if unit == "statement":
         records = records.withColumn("value", F.concat("value", F.lit(" .")))
     records, known = _with_prefixes(records, lines, prefixes)
-    return parse_records(records, known, base).drop("elem_id").dropDuplicates(["g", "s", "p", "o"])
+    return parse_records(records, known, base).drop("elem_id", "elem_time").dropDuplicates(["g", "s", "p", "o"])
 
 
 def load_into(quads: DataFrame, loaded: DataFrame, graph: str) -> DataFrame:
