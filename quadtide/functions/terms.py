@@ -202,14 +202,16 @@ def decode_triple(term: Column, depth: int = 3) -> Column:
     raises an error beyond, so no statement is lost silently.
     """
     body = F.substring(term, F.lit(4), F.length(term) - 6)
-    flat = rf"(?s)^([^<\s]\S*|{_IRI}) ({_IRI}) (.*)$"
-    deep = rf"(?s)^(<< {_nested(depth - 1)} {_IRI} {_nested(depth - 1)} >>) ({_IRI}) (.*)$"
-
-    def split(pattern: str) -> Column:
-        return F.struct(*[F.regexp_extract(body, pattern, i).alias(n) for i, n in enumerate("spo", start=1)])
-
+    # A plain subject and the predicate hold no space, so they end at the first one.
+    s = F.substring_index(body, " ", 1)
+    rest = F.substring(body, F.length(s) + 2, F.length(body))
+    p = F.substring_index(rest, " ", 1)
+    o = F.substring(rest, F.length(p) + 2, F.length(rest))
+    flat = F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
+    pattern = rf"(?s)^(<< {_nested(depth - 1)} {_IRI} {_nested(depth - 1)} >>) ({_IRI}) (.*)$"
+    deep = F.struct(*[F.regexp_extract(body, pattern, i).alias(n) for i, n in enumerate("spo", start=1)])
     too_deep = F.raise_error(F.concat(F.lit("cannot split embedded statement: "), term)).cast(TRIPLE_TYPE)
     return F.when(
         is_triple(term),
-        F.when(body.rlike(flat), split(flat)).when(body.rlike(deep), split(deep)).otherwise(too_deep),
+        F.when(~is_triple(body), flat).when(body.rlike(pattern), deep).otherwise(too_deep),
     )

@@ -109,22 +109,33 @@ def distinct_quads(quads: DataFrame, also: list[str] | None = None) -> DataFrame
 
 
 def assert_embedded(quads: DataFrame, depth: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """Assert every embedded statement, at any level, in the graph of the statement around it."""
+    """Assert every embedded statement, to ``depth`` levels, in the graph of the statement around it.
+
+    One pass: each level unfolds the statements that the level before has added. A statement nested
+    deeper raises an error.
+    """
     keep = keep or []
-    known = with_typed(quads)
-    level = F.filter(F.array("s_t", "o_t"), lambda t: t.isNotNull())
-    levels = [level]
-    for _ in range(depth - 1):
-        inner = F.flatten(
-            F.transform(levels[-1], lambda t: F.array(terms.decode_triple(t["s"]), terms.decode_triple(t["o"])))
+    cols = [*keep, "g", "s", "p", "o", "o_num", "o_ts"]
+    out = with_typed(quads).select(*cols, "s_t", "o_t", F.lit(True).alias("__new"))
+    for level in range(depth + 1):
+        flat = F.col("s_t").isNull() & F.col("o_t").isNull()
+        if level == depth:
+            error = F.raise_error(F.lit(f"statements are nested more than {depth} levels")).cast("boolean")
+            return distinct_quads(out.where(~F.col("__new") | flat | error).drop("__new"), keep)
+        own = F.struct(F.lit(False).alias("new"), F.struct("s", "p", "o").alias("t"))
+        inner = [F.when(F.col("__new") & F.col(t).isNotNull(), F.struct(F.lit(True).alias("new"), F.col(t).alias("t"))) for t in ("s_t", "o_t")]
+        # The row itself, and what it embeds if that has not been unfolded before.
+        unfolded = out.select("*", F.explode(F.array(own, *inner)).alias("__q")).where(F.col("__q").isNotNull())
+        new = F.col("__q.new")
+        s, o = F.col("__q.t.s"), F.col("__q.t.o")
+        out = unfolded.select(
+            *keep, "g", s.alias("s"), F.col("__q.t.p").alias("p"), o.alias("o"),
+            F.when(new, terms.num(o)).otherwise(F.col("o_num")).alias("o_num"),
+            F.when(new, terms.moment(o)).otherwise(F.col("o_ts")).alias("o_ts"),
+            F.when(new, terms.decode_triple(s)).otherwise(F.col("s_t")).alias("s_t"),
+            F.when(new, terms.decode_triple(o)).otherwise(F.col("o_t")).alias("o_t"), new.alias("__new"),
         )
-        levels.append(F.filter(inner, lambda t: t.isNotNull()))
-    # A flat statement, the usual case, takes no part in the unfolding.
-    nested = known.where(F.col("s_t").isNotNull() | F.col("o_t").isNotNull())
-    found = nested.select(*keep, "g", F.explode(reduce(lambda a, b: F.concat(a, b), levels)).alias("t"))
-    asserted = with_typed(found.select(*keep, "g", "t.s", "t.p", "t.o"))
-    cols = [*keep, *KEY, *TYPED]
-    return distinct_quads(known.select(*cols).unionByName(asserted.select(*cols)), keep)
+    raise AssertionError("unreachable")
 
 
 def element_times(quads: DataFrame, element: str = "elem_id") -> DataFrame:

@@ -44,13 +44,13 @@ def instant(at: str | datetime | int) -> int:
     return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
 
 
-def _floor_div(x: Column, n: int) -> Column:
+def _floor_div(x: str, n: int) -> str:
     # Exact on longs, also below zero; a double division is not.
-    return F.call_function("div", x - F.pmod(x, F.lit(n)), F.lit(n))
+    return f"(({x} - pmod({x}, {n}L)) div {n}L)"
 
 
-def _ceil_div(x: Column, n: int) -> Column:
-    return -_floor_div(-x, n)
+def _ceil_div(x: str, n: int) -> str:
+    return f"(-{_floor_div(f'(-({x}))', n)})"
 
 
 @dataclass(frozen=True)
@@ -117,16 +117,16 @@ class TimeWindow:
 
 def spans(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
     """Add the first and last tick number that see each row; rows no tick sees are dropped."""
-    at = F.unix_micros(F.col(ts))
-    ref, step = F.lit(window.ref), window.step
-    first_upper = (_floor_div(at - ref, step) + 1) * F.lit(step) + ref
-    past_upper = (_floor_div(at + F.lit(window.width) - ref, step) + 1) * F.lit(step) + ref
-    lo = _ceil_div(first_upper - F.lit(ticks.start), ticks.every)
-    hi = _ceil_div(past_upper - F.lit(ticks.start), ticks.every) - 1
-    lo = F.greatest(lo, F.lit(0).cast("long"))
+    at, step = f"(unix_micros(`{ts}`) - {window.ref}L)", window.step
+    # A tick sees the row from the first window edge after it up to the one that passes it by.
+    from_edge = f"({_floor_div(at, step)} + 1) * {step}L"
+    past_edge = f"({_floor_div(f'({at} + {window.width}L)', step)} + 1) * {step}L"
+    shift = window.ref - ticks.start
+    lo = f"greatest({_ceil_div(f'{from_edge} + {shift}L', ticks.every)}, 0L)"
+    hi = f"{_ceil_div(f'{past_edge} + {shift}L', ticks.every)} - 1L"
     if ticks.count is not None:
-        hi = F.least(hi, F.lit(ticks.count - 1).cast("long"))
-    return df.withColumns({LO: lo, HI: hi}).where(F.col(LO) <= F.col(HI))
+        hi = f"least({hi}, {ticks.count - 1}L)"
+    return df.withColumns({LO: F.expr(lo), HI: F.expr(hi)}).where(f"{LO} <= {HI}")
 
 
 def unfold(df: DataFrame, ticks: Ticks) -> DataFrame:
@@ -161,17 +161,15 @@ def join_spans(left: DataFrame, right: DataFrame, on: list[str], longest: int) -
     size = max(1, longest)
 
     def bucketed(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        first, last = _floor_div(F.col(LO), size), _floor_div(F.col(HI), size)
-        out = df.withColumn("__bucket", F.explode(F.sequence(first, last)))
-        return out.withColumnsRenamed({LO: lo, HI: hi})
+        buckets = F.expr(f"explode(sequence({_floor_div(LO, size)}, {_floor_div(HI, size)}))")
+        return df.withColumn("__bucket", buckets).withColumnsRenamed({LO: lo, HI: hi})
 
     joined = bucketed(left, "__l_lo", "__l_hi").join(
         bucketed(right, "__r_lo", "__r_hi"), on=[*on, "__bucket"], how="inner"
     )
-    lo = F.greatest("__l_lo", "__r_lo")
-    hi = F.least("__l_hi", "__r_hi")
-    kept = joined.where((lo <= hi) & (F.col("__bucket") == _floor_div(lo, size)))
-    return kept.withColumns({LO: lo, HI: hi}).drop("__bucket", "__l_lo", "__l_hi", "__r_lo", "__r_hi")
+    lo, hi = "greatest(__l_lo, __r_lo)", "least(__l_hi, __r_hi)"
+    kept = joined.where(f"{lo} <= {hi} AND __bucket = {_floor_div(lo, size)}")
+    return kept.withColumns({LO: F.expr(lo), HI: F.expr(hi)}).drop("__bucket", "__l_lo", "__l_hi", "__r_lo", "__r_hi")
 
 
 def placed(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:

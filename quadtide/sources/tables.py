@@ -11,6 +11,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -18,7 +19,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return utc_times(self.spark.read.parquet(self.path(name)))
+        if name not in self._read:
+            self._read[name] = utc_times(self.spark.read.parquet(self.path(name)))
+        return self._read[name]
 
     def stream(self, name: str) -> DataFrame:
         schema = self.spark.read.parquet(self.path(name)).schema

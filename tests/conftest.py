@@ -10,7 +10,8 @@ from quadtide.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", 4)
+    session = build_session("tests", "local[8]", 2)
+    session.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
