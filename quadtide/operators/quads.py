@@ -169,8 +169,8 @@ def wide_rows(quads: DataFrame, columns: dict[str, tuple[str, str]], keys: list[
 
 
 def write_quads(quads: DataFrame, path: str, files: int | None = None) -> None:
-    """Parquet clustered by predicate and subject, so that constant patterns skip row groups."""
-    cols = ["p", "s"]
+    """Parquet clustered by predicate, subject, object: constant patterns skip row groups, hot ones spread."""
+    cols = ["p", "s", "o"]
     laid = quads.repartitionByRange(files, *cols) if files else quads.repartitionByRange(*cols)
     laid.sortWithinPartitions(*cols).write.mode("errorifexists").parquet(path)
 

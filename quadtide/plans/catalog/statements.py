@@ -18,6 +18,7 @@ from quadtide.plans.catalog.views import (
     CUSTOMER_SQL, DATA, ONT, PLACE_SQL, customer_quads, event_quads, event_ticks, hours, node, ont, place_quads,
 )
 from quadtide.session import fresh_path
+from quadtide.streaming import runner
 from quadtide.sources import sinks, trig
 from quadtide.sources.tables import Tables
 from quadtide.operators.windows import window_rows
@@ -27,7 +28,7 @@ _HEADER = (
     f"@prefix xsd: <{vocab.XSD}> . @prefix unc: <{vocab.UNC}> . @prefix : <{ONT}> . @base <{DATA}> ."
 )
 _PREFIXES = {
-    "rdf": vocab.RDF, "sosa": vocab.SOSA, "prov": vocab.PROV, "xsd": vocab.XSD, "unc": vocab.UNC, "": ONT, "@base": DATA,
+    "rdf": vocab.RDF, "sosa": vocab.SOSA, "prov": vocab.PROV, "xsd": vocab.XSD, "unc": vocab.UNC, "": ONT,
 }
 
 
@@ -72,9 +73,7 @@ _A2_SQL = f"""SELECT ts AS elem_ts, {node('observation', 'event_id')} AS obs, {n
  'N(0,' || json_extract_string(props, '$.k') || '.5)' AS unc FROM events"""
 
 
-@query("A2_stream_from_files", _A2_SQL)
-def _a2(t: Tables):
-    elements = trig.read_elements(t.spark, _write_lines(t, _element_lines(t), "stream"))
+def _fold(elements: DataFrame) -> DataFrame:
     # One element carries one observation, so its statements fold into a row without a join.
     plain = F.col("s_t").isNull()
     fold = elements.groupBy("elem_id", "elem_ts").agg(
@@ -86,6 +85,19 @@ def _a2(t: Tables):
     return fold.select("elem_ts", "obs", "place", "value", "unc")
 
 
+@query("A2_stream_from_files", _A2_SQL)
+def _a2(t: Tables):
+    return _fold(trig.read_elements(t.spark, _write_lines(t, _element_lines(t), "stream")))
+
+
+@query("A2_stream_from_files_streaming", _A2_SQL)
+def _a2_stream(t: Tables):
+    path = _write_lines(t, _element_lines(t), "stream")
+    elements = trig.stream_elements(t.spark, path, _PREFIXES, DATA)
+    wanted = elements.where(F.col("p").isin(vocab.FEATURE, vocab.HAS_RESULT, vocab.UNCERTAINTY))
+    return _fold(runner.drain(t.spark, wanted.select("elem_id", "elem_ts", "s", "p", "o", "o_num", "s_t"), "elements"))
+
+
 @query("A5_element_time", "SELECT event_id AS elem_id, ts AS elem_ts FROM events")
 def _a5(t: Tables):
     return q.element_times(event_quads(t).drop("ts"))

@@ -176,7 +176,7 @@ def _stream_join(t: Tables):
         df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
         return runner.stream_window(df, "ts", window, ticks, "PT1H")
 
-    joined = side("click", "first").join(side("purchase", "second"), ["tick", "user_id"])
+    joined = runner.join_streams(side("click", "first"), side("purchase", "second"), ["user_id"], salts=4)
     closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
     return runner.drain(t.spark, joined, "join").where(F.col("tick") <= closed)
 
@@ -215,3 +215,30 @@ def _stream_join_agg(t: Tables):
     out = joined.groupBy("tick").agg(F.count(F.lit(1)).alias("pairs"))
     closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT24H")
     return runner.drain(t.spark, out, "joinagg").where(F.col("tick") <= closed)
+
+
+_STREAM_SIDES = f"""WITH tk AS (SELECT tick FROM {s.ticks(2, 24)} WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR),
+ a AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'click'),
+ b AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'purchase')"""
+
+
+def _stream_sides(t: Tables):
+    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
+
+    def side(kind: str, name: str):
+        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
+        return runner.stream_window(df, "ts", window, ticks, "PT1H")
+
+    return side("click", "first"), side("purchase", "second"), runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
+
+
+@query("E4_optional_streaming", f"{_STREAM_SIDES} SELECT tick, user_id, a.event_id AS first, b.event_id AS second FROM a LEFT JOIN b USING (tick, user_id)")
+def _stream_optional(t: Tables):
+    first, second, closed = _stream_sides(t)
+    return runner.drain(t.spark, runner.optional_stream(first, second, ["user_id"]), "optional").where(F.col("tick") <= closed)
+
+
+@query("E6_minus_streaming", f"{_STREAM_SIDES} SELECT tick, user_id, event_id AS first FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tick = a.tick AND b.user_id = a.user_id)")
+def _stream_minus(t: Tables):
+    first, second, closed = _stream_sides(t)
+    return runner.drain(t.spark, runner.minus_stream(first, second, ["user_id"]), "minus").where(F.col("tick") <= closed)

@@ -47,6 +47,7 @@ _TOKEN = re.compile(
     )""",
     re.X | re.S,
 )
+_SCHEME = re.compile(r"[A-Za-z][\w+.-]*:")
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 _PLAIN_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
@@ -68,32 +69,36 @@ def _quoted(text: str) -> str:
 class RecordReader:
     """Statements of one record; embedded statements are asserted as they are read."""
 
-    def __init__(self, text: str, scope: str, prefixes: dict[str, str], base: str):
-        self.tokens = [(m.lastgroup, m.group(m.lastgroup)) for m in self._scan(text) if m.lastgroup != "skip"]
+    def __init__(self, text: str, scope: str, prefixes: dict[str, str], base: str, names: dict[str, str] | None = None):
+        self.tokens = self._scan(text)
         self.at = 0
         self.scope, self.prefixes, self.base = scope, dict(prefixes), base
+        # Names written before, already as IRIs; shared by records with the same declarations.
+        self.names = {} if names is None else names
         self.blank = 0
         self.graph = DEFAULT_GRAPH
         self.rows: list[tuple] = []
 
     @staticmethod
-    def _scan(text: str):
-        end = len(text.rstrip())
-        at = 0
-        while at < end:
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise ValueError(f"unexpected text: {text[at:at + 60]!r}")
-            at = m.end()
-            yield m
+    def _scan(text: str) -> list[tuple[str, str]]:
+        text = text.rstrip()
+        tokens, end = [], 0
+        for m in iter(_TOKEN.scanner(text).match, None):
+            end = m.end()
+            if m.lastgroup != "skip":
+                tokens.append((m.lastgroup, m[m.lastgroup]))
+        if end < len(text):
+            raise ValueError(f"unexpected text: {text[end:end + 60]!r}")
+        tokens.append(("end", ""))
+        return tokens
 
     def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+        return self.tokens[self.at]
 
     def take(self, mark: str | None = None) -> tuple[str, str]:
-        token = self.peek()
-        if mark is not None and token[1] != mark:
-            raise ValueError(f"expected {mark!r}, found {token[1]!r}")
+        token = self.tokens[self.at]
+        if token[0] == "end" or mark is not None and token[1] != mark:
+            raise ValueError(f"expected {mark or 'a term'!r}, found {token[1] or 'the end'!r}")
         self.at += 1
         return token
 
@@ -111,10 +116,14 @@ class RecordReader:
         self.rows.append((self.graph, s[0], p, o[0], s[1], o[1]))
 
     def resolve(self, text: str) -> str:
-        return iri(text if re.match(r"[A-Za-z][\w+.-]*:", text) else urljoin(self.base, text) if self.base else text)
+        if not self.base or ":" in text and _SCHEME.match(text):
+            return f"<{text}>"
+        if text and text[0] not in "/#?." and "/." not in text and self.base[-1] == "/":
+            return f"<{self.base}{text}>"
+        return f"<{urljoin(self.base, text)}>"
 
     def read(self) -> list[tuple]:
-        while self.at < len(self.tokens):
+        while self.peek()[0] != "end":
             kind, text = self.peek()
             if text.lower() in ("@prefix", "prefix"):
                 self.directive(lambda: self.prefixes.__setitem__(self.take()[1][:-1], _raw(self.take()[1][1:-1])))
@@ -137,6 +146,7 @@ class RecordReader:
     def directive(self, store) -> None:
         self.take()
         store()
+        self.names = {}
         self.skip(".")
 
     def block(self, graph: str) -> None:
@@ -172,10 +182,13 @@ class RecordReader:
         if kind == "iri":
             return self.resolve(_raw(text[1:-1])), None
         if kind == "name":
-            prefix, _, local = text.partition(":")
-            if prefix not in self.prefixes:
-                raise ValueError(f"prefix {prefix!r} is not declared")
-            return self.resolve(self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)), None
+            known = self.names.get(text)
+            if known is None:
+                prefix, _, local = text.partition(":")
+                if prefix not in self.prefixes:
+                    raise ValueError(f"prefix {prefix!r} is not declared")
+                known = self.names[text] = self.resolve(self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local))
+            return known, None
         if kind == "bnode":
             return f"_:{self.scope}{text[2:]}", None
         if kind == "num":
@@ -225,22 +238,26 @@ def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.struct([(n, pa.string()) for n in "spo"])
         types = [pa.string()] * 5 + [part, part, pa.string()]
-        names = ["elem_id", "g", "s", "p", "o", "s_t", "o_t", "elem_time"]
+        fields = ["elem_id", "g", "s", "p", "o", "s_t", "o_t", "elem_time"]
+        shared: dict[str, str] = {}
         for batch in batches:
+            if len(shared) > 50_000:
+                shared.clear()
             rows = []
             for record in batch.to_pylist():
                 local = record.get("prefixes")
                 known = dict(prefixes if local is None else local)  # a map arrives as pairs
                 start = known.pop("@base", base)
-                reader = RecordReader(record["value"], record["file"], known, start)
+                names = shared if local is None else {}
+                reader = RecordReader(record["value"], record["file"], known, start, names)
                 found = reader.read()
                 time = max((r[3] for r in found if r[0] == DEFAULT_GRAPH and r[2] == GENERATED_AT), default=None)
                 rows.extend((record["elem_id"], *r, time) for r in found)
-            columns = list(zip(*rows)) if rows else [()] * len(names)
+            columns = list(zip(*rows)) if rows else [()] * len(types)
             for i in (5, 6):
                 columns[i] = [None if t is None else dict(zip("spo", t)) for t in columns[i]]
             arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays, names=fields)
 
     return with_typed(records.mapInArrow(run, ROW_SCHEMA))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from quadtide.operators.windows import Ticks, TimeWindow, micros, window_rows
+from quadtide.operators.skew import salted_join
 from quadtide.session import fresh_path
 
 
@@ -21,6 +22,32 @@ def stream_window(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks, dela
     return rows.withWatermark("tick", f"{slack} microseconds")
 
 
+def join_streams(left: DataFrame, right: DataFrame, on: list[str], salts: int = 1) -> DataFrame:
+    """Window contents of two streams at the same tick; both sides are kept only until it closes."""
+    keys = ["tick", *on]
+    return left.join(right, keys, "inner") if salts == 1 else salted_join(left, right, keys, salts)
+
+
+def _left_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    keys = ["tick", *on]
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn("__found", F.lit(True))
+    matched = F.lit(True)
+    for k in keys:
+        matched = matched & (F.col(k) == F.col(f"__r_{k}"))
+    return left.join(other, matched, "left_outer").drop(*[f"__r_{k}" for k in keys])
+
+
+def optional_stream(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """OPTIONAL between two streams: the unmatched rows of a tick come when it closes."""
+    return _left_outer(left, right, on).drop("__found")
+
+
+def minus_stream(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """MINUS and NOT EXISTS between two streams."""
+    out = _left_outer(left, right.select("tick", *on), on)
+    return out.where(F.col("__found").isNull()).drop("__found")
+
+
 def closed_ticks(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks, delay: str) -> Column:
     """A time up to which every evaluation is surely emitted once the stream has read ``df``."""
     last = df.agg(F.max(F.unix_micros(ts))).first()[0]
