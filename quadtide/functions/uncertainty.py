@@ -242,7 +242,8 @@ def _less_normal_uniform(x: Params, y: Params) -> Column:
         z = (at - x[0]) / sd
         return z * phi(z) + phi_density(z)
 
-    return sd * (area(y[1]) - area(y[0])) / (y[1] - y[0])
+    # Rounding may leave the difference a hair outside the unit interval.
+    return _clip01(sd * (area(y[1]) - area(y[0])) / (y[1] - y[0]))
 
 
 _PAIRS = {

@@ -109,7 +109,7 @@ query("Q5b_bind_four_windows_static_inverted", _four_sql(True))(lambda t: _four(
 
 def _differ_sql(bind: bool) -> str:
     p1 = f"(1 - {s.less_nu('r2.value', 'r2.b', '(r1.value-10)', '(r1.value+10)')})"
-    cols = "round(p1, 6) AS p1, round(1 - p1, 6) AS p2" if bind else ""
+    cols = "abs(round(p1, 6)) AS p1, abs(round(1 - p1, 6)) AS p2" if bind else ""
     where = "" if bind else "WHERE p1 >= 0.7 OR 1 - p1 >= 0.7"
     return f"""WITH {_tick_cte(12, 12, 12)},
  r1 AS {reading_sql('low1')}, r2 AS {reading_sql('low2')}, r3 AS (SELECT * FROM {reading_sql('high1')} WHERE value > 10),

@@ -36,7 +36,7 @@ def _j1(t: Tables):
 
 
 def _against(name: str, k_sql: str, expr, k):
-    sql = f"SELECT p_partkey, round({expr(s.cdf('kind', 'a', 'b', k_sql))}, 6) AS p FROM {_PARSED}"
+    sql = f"SELECT p_partkey, abs(round({expr(s.cdf('kind', 'a', 'b', k_sql))}, 6)) AS p FROM {_PARSED}"
 
     def build(t: Tables, fn):
         return _parts(t).select("p_partkey", F.round(fn(u.from_struct(F.col("d")), k), 6).alias("p"))
@@ -73,13 +73,13 @@ def _pairs(t: Tables):
     return rows, x, y
 
 
-@query("J6_less_than_distribution", f"SELECT o, n, q, round({_LESS}, 6) AS p FROM {_PAIR_SQL}")
+@query("J6_less_than_distribution", f"SELECT o, n, q, abs(round({_LESS}, 6)) AS p FROM {_PAIR_SQL}")
 def _j6(t: Tables):
     rows, x, y = _pairs(t)
     return rows.select("o", "n", "q", F.round(u.less_than(x, y), 6).alias("p"))
 
 
-@query("J7_greater_than_distribution", f"SELECT o, n, q, round(1 - ({_LESS}), 6) AS p FROM {_PAIR_SQL}")
+@query("J7_greater_than_distribution", f"SELECT o, n, q, abs(round(1 - ({_LESS}), 6)) AS p FROM {_PAIR_SQL}")
 def _j7(t: Tables):
     rows, x, y = _pairs(t)
     return rows.select("o", "n", "q", F.round(u.greater_than(x, y), 6).alias("p"))

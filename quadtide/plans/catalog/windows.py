@@ -146,6 +146,7 @@ def _c17(t: Tables):
 # Streaming: the same windows over readStream; rows come out when the watermark has passed a tick.
 
 _CLOSED = "(SELECT max(ts) FROM events)"
+_BOTH_CLOSED = "(SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) FROM events)"
 
 
 @query(
@@ -202,7 +203,7 @@ def _stream_static(t: Tables):
     f"""SELECT tick, CAST(count(*) AS BIGINT) AS pairs FROM {s.ticks(2, 24)}
  JOIN events a ON a.ts >= tick - INTERVAL 6 HOUR AND a.ts < tick AND a.event_type = 'click'
  JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id
- WHERE tick <= {_CLOSED} - INTERVAL 27 HOUR GROUP BY tick""",
+ WHERE tick <= {_BOTH_CLOSED} - INTERVAL 27 HOUR GROUP BY tick""",
 )
 def _stream_join_agg(t: Tables):
     ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
@@ -213,11 +214,11 @@ def _stream_join_agg(t: Tables):
 
     joined = side("click").join(side("purchase"), ["tick", "user_id"])
     out = joined.groupBy("tick").agg(F.count(F.lit(1)).alias("pairs"))
-    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT24H")
+    closed = _both_closed(t, window, ticks, "PT24H")
     return runner.drain(t.spark, out, "joinagg").where(F.col("tick") <= closed)
 
 
-_STREAM_SIDES = f"""WITH tk AS (SELECT tick FROM {s.ticks(2, 24)} WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR),
+_STREAM_SIDES = f"""WITH tk AS (SELECT tick FROM {s.ticks(2, 24)} WHERE tick <= {_BOTH_CLOSED} - INTERVAL 4 HOUR),
  a AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'click'),
  b AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'purchase')"""
 
@@ -229,7 +230,13 @@ def _stream_sides(t: Tables):
         df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
         return runner.stream_window(df, "ts", window, ticks, "PT1H")
 
-    return side("click", "first"), side("purchase", "second"), runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
+    return side("click", "first"), side("purchase", "second"), _both_closed(t, window, ticks, "PT1H")
+
+
+def _both_closed(t: Tables, window: w.TimeWindow, ticks: w.Ticks, delay: str):
+    """The watermark of a join follows the stream that is further behind."""
+    of = lambda kind: t.events.where(F.col("event_type") == kind)
+    return F.least(*[runner.closed_ticks(of(kind), "ts", window, ticks, delay) for kind in ("click", "purchase")])
 
 
 @query("E4_optional_streaming", f"{_STREAM_SIDES} SELECT tick, user_id, a.event_id AS first, b.event_id AS second FROM a LEFT JOIN b USING (tick, user_id)")

@@ -20,7 +20,8 @@ from quadtide.functions import terms
 from quadtide.operators.quads import with_typed
 from quadtide.vocab import DEFAULT_GRAPH, GENERATED_AT, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, iri
 
-# The record reader travels with the job, so executors need not have this package installed.
+# The record reader travels with the job, so executors need not have this package installed. For
+# that, code that runs in tasks uses no function of another module of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROW_SCHEMA = (
@@ -47,6 +48,7 @@ _TOKEN = re.compile(
     )""",
     re.X | re.S,
 )
+_STRING = iri(XSD + "string")
 _SCHEME = re.compile(r"[A-Za-z][\w+.-]*:")
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 _PLAIN_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
@@ -228,7 +230,7 @@ class RecordReader:
         if kind == "type":
             self.take()
             datatype = self.term()[0]
-            return quoted if datatype == iri(XSD + "string") else f"{quoted}^^{datatype}"
+            return quoted if datatype == _STRING else f"{quoted}^^{datatype}"
         return quoted
 
 
