@@ -201,17 +201,24 @@ def decode_triple(term: Column, depth: int = 3) -> Column:
     The object may be nested to any depth. A nested subject is matched to ``depth`` levels and
     raises an error beyond, so no statement is lost silently.
     """
-    body = F.substring(term, F.lit(4), F.length(term) - 6)
-    # A plain subject and the predicate hold no space, so they end at the first one.
-    s = F.substring_index(body, " ", 1)
-    rest = F.substring(body, F.length(s) + 2, F.length(body))
-    p = F.substring_index(rest, " ", 1)
-    o = F.substring(rest, F.length(p) + 2, F.length(rest))
-    flat = F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
-    pattern = rf"(?s)^(<< {_nested(depth - 1)} {_IRI} {_nested(depth - 1)} >>) ({_IRI}) (.*)$"
-    deep = F.struct(*[F.regexp_extract(body, pattern, i).alias(n) for i, n in enumerate("spo", start=1)])
+    nested = rf"(?s)^(<< {_nested(depth - 1)} {_IRI} {_nested(depth - 1)} >>) {_IRI} "
     too_deep = F.raise_error(F.concat(F.lit("cannot split embedded statement: "), term)).cast(TRIPLE_TYPE)
-    return F.when(
-        is_triple(term),
-        F.when(~is_triple(body), flat).when(body.rlike(pattern), deep).otherwise(too_deep),
-    )
+
+    def split(body: Column) -> Column:
+        plain = F.substring_index(body, " ", 1)
+        return _once(F.when(is_triple(body), F.regexp_extract(body, nested, 1)).otherwise(plain), lambda s: after(body, s))
+
+    def after(body: Column, s: Column) -> Column:
+        # The predicate holds no space, so it ends at the first one.
+        rest = F.substring(body, F.length(s) + 2, F.length(body))
+        parts = _once(rest, lambda r: _once(F.substring_index(r, " ", 1), lambda p: F.struct(
+            s.alias("s"), p.alias("p"), F.substring(r, F.length(p) + 2, F.length(r)).alias("o")
+        )))
+        return F.when(s != "", parts).otherwise(too_deep)
+
+    return F.when(is_triple(term), _once(F.substring(term, F.lit(4), F.length(term) - 6), split))
+
+
+def _once(value: Column, use) -> Column:
+    """Evaluate ``value`` once for all its uses, by way of a one-element array."""
+    return F.transform(F.array(value), use)[0]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Margin used by strict comparisons against a number.
@@ -182,7 +182,7 @@ def parse(text: Column) -> Column:
     """Distribution literal text to a struct; NULL where the text names no distribution.
 
     The text is matched once per field and several times in a pushed-down filter: bind the result
-    with :func:`let` before filtering on it.
+    with :func:`quadtide.functions.binding.let` before filtering on it.
     """
     two = "".join(k for k, rule in KINDS.items() if rule.args == 2)
     out = _parsed(text, rf"^([{two}])\({_NUMBER},{_NUMBER}\)$", 3)
@@ -199,18 +199,6 @@ def _parsed(text: Column, pattern: str, last: int) -> Column:
     return Uncertain(kind, {k: (a, b) for k in KINDS}).struct()
 
 
-def let(df: DataFrame, **values: Column) -> DataFrame:
-    """Bind costly expressions to columns that are evaluated once per row.
-
-    A filter on a plain projected column is pushed below the projection, with the expression copied
-    to every place that uses it. A generated column is not rewritten that way.
-    """
-    names = {f"__let_{n}": v for n, v in values.items()}
-    bound = F.inline(F.array(F.struct(*[F.col(f"__let_{n}").alias(n) for n in values])))
-    kept = [c for c in df.columns if c not in values]
-    return df.withColumns(names).select(*kept, bound)
-
-
 def _value(x: Uncertain | Column | float | int) -> Uncertain:
     return x if isinstance(x, Uncertain) else point(x)
 

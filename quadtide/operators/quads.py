@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadtide.functions import terms
+from quadtide.functions.binding import let
 from quadtide.vocab import DEFAULT_GRAPH, GENERATED_AT, iri
 
 KEY = ["g", "s", "p", "o"]
@@ -116,6 +117,9 @@ def assert_embedded(quads: DataFrame, depth: int = 3, keep: list[str] | None = N
     """
     keep = keep or []
     cols = [*keep, "g", "s", "p", "o", "o_num", "o_ts"]
+    if "s_t" not in quads.columns:
+        # Terms that are computed on the fly would otherwise be computed again for each of their parts.
+        quads = let(quads, s=F.col("s"), o=F.col("o"))
     out = with_typed(quads).select(*cols, "s_t", "o_t", F.lit(True).alias("__new"))
     for level in range(depth + 1):
         flat = F.col("s_t").isNull() & F.col("o_t").isNull()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quadtide.functions import registry
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
 from quadtide.plans.catalog import query
 from quadtide.plans.catalog import sqltext as s
 from quadtide.sources.tables import Tables
@@ -25,7 +26,7 @@ def _parts(t: Tables):
         .when(F.col("p_partkey") % 6 == 2, "X(1,2)").when(F.col("p_partkey") % 6 == 3, F.concat(F.lit("N("), size, F.lit(",0)")))
         .when(F.col("p_partkey") % 6 == 4, "U(3,1)").otherwise(F.concat(F.lit("N(-"), size, F.lit(",2e1)")))
     )
-    return u.let(t.part.select("p_partkey", "p_size", "p_retailprice"), d=u.parse(text))
+    return let(t.part.select("p_partkey", "p_size", "p_retailprice"), d=u.parse(text))
 
 
 
@@ -205,7 +206,7 @@ def _l2(t: Tables):
 @query("L3_custom_datatype", f"SELECT p_partkey, kind, a, b, true AS same FROM {_PARSED} WHERE kind IS NOT NULL")
 def _l3(t: Tables):
     rows = _parts(t).where(F.col("d").isNotNull())
-    back = u.let(rows, again=u.parse(u.from_struct(F.col("d")).text()))
+    back = let(rows, again=u.parse(u.from_struct(F.col("d")).text()))
     return back.select("p_partkey", "d.kind", "d.a", "d.b", (F.col("d") == F.col("again")).alias("same"))
 
 
@@ -227,7 +228,7 @@ def _l4(t: Tables):
     _register_exponential()
     try:
         text = F.concat(F.lit("E("), (F.col("p_size") / 10.0).cast("string"), F.lit(")"))
-        rows = u.let(t.part, d=u.parse(text))
+        rows = let(t.part, d=u.parse(text))
         return rows.select("p_partkey", F.round(u.less_than(u.from_struct(F.col("d")), 0.4), 6).alias("p"))
     finally:
         # The registry is global; the other queries know the two given families only.

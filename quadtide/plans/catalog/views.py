@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
 from quadtide.operators import quads as q
 from quadtide.operators.windows import Ticks, TimeWindow
 from quadtide.sources.tables import Tables
@@ -22,7 +23,7 @@ def reading(t: Tables, name: str, annotated: bool | None = None) -> DataFrame:
     out = df.select("ts", "event_id", F.col("user_id").alias("place"), "value", "props")
     if annotated:
         k = F.get_json_object("props", "$.k")
-        out = u.let(out, unc=u.parse(F.concat(F.lit("N(0,"), k, F.lit(".5)"))))
+        out = let(out, unc=u.parse(F.concat(F.lit("N(0,"), k, F.lit(".5)"))))
     return out.drop("props")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quadtide import vocab
 from quadtide.functions import terms
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
 from quadtide.operators import patterns as p
 from quadtide.operators.patterns import Pattern, Quoted
 from quadtide.operators.windows import HI, LO, Ticks, TimeWindow, distinct_spans, join_spans, spans
@@ -56,7 +57,7 @@ def observations(
     columns = {"value": terms.num(F.col("v"))}
     if annotated:
         columns["unc"] = u.parse(terms.lex(F.col("u")))
-    return u.let(found, **columns).select(key, *columns, LO, HI)
+    return let(found, **columns).select(key, *columns, LO, HI)
 
 
 def sensors_of(static: DataFrame, kind: str, location: str) -> DataFrame:
@@ -68,7 +69,7 @@ def sensors_of(static: DataFrame, kind: str, location: str) -> DataFrame:
 def class_errors(static: DataFrame, kind: str, name: str, annotation: str = vocab.UNCERTAINTY) -> DataFrame:
     """The error distribution stated once for a whole class of sensors."""
     found = p.match(static, Pattern(kind, annotation, "?u"))
-    return u.let(found, **{name: u.parse(terms.lex(F.col("u")))}).select(name)
+    return let(found, **{name: u.parse(terms.lex(F.col("u")))}).select(name)
 
 
 def by_location(readings: DataFrame, sensors: DataFrame) -> DataFrame:

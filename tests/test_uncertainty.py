@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
 
 N, U = u.normal, u.uniform
 
@@ -94,7 +95,7 @@ def test_memoised_keeps_every_row(spark):
 
 def test_filter_on_a_bound_literal_is_not_copied(spark):
     df = spark.createDataFrame([("N(0,1)",), ("bad",)], "x string")
-    bound = u.let(df, d=u.parse(F.col("x"))).where(u.less_than(u.from_struct(F.col("d")), 0.5) > 0.5)
+    bound = let(df, d=u.parse(F.col("x"))).where(u.less_than(u.from_struct(F.col("d")), 0.5) > 0.5)
     plan = bound._jdf.queryExecution().optimizedPlan().toString()
     condition = next(line for line in plan.splitlines() if "Filter" in line)
     assert "regexp_extract" not in condition
