@@ -67,28 +67,29 @@ def _triple(s: Column, p: Column, o: Column) -> Column:
 def table_quads(
     df: DataFrame, s: Column, columns: dict[str, Column], g: Column | None = None,
     annotations: dict[str, dict[str, Column]] | None = None, keep: list[str] | None = None,
+    also: list[tuple[Column, Column, str, Column]] | None = None,
 ) -> DataFrame:
     """Statement view of a table: one scan, one row per non-NULL cell.
 
     ``columns`` maps predicate terms to object columns. ``annotations`` maps a predicate to further
-    statements *about* that statement.
+    statements *about* that statement. ``also`` lists statements with a graph and subject of their own.
     """
     keep = keep or []
     g = F.lit(DEFAULT_GRAPH) if g is None else g
     none = F.lit(None).cast(terms.TRIPLE_TYPE)
+
+    def row(g: Column, s: Column, p: str, obj: Column, about: Column = none) -> Column:
+        return F.struct(g.alias("g"), s.alias("s"), F.lit(p).alias("p"), obj.alias("v"), about.alias("s_t"))
+
     rows = []
     for p, obj in columns.items():
-        rows.append(F.struct(s.alias("s"), F.lit(p).alias("p"), obj.alias("v"), none.alias("s_t")))
+        rows.append(row(g, s, p, obj))
         for p2, obj2 in (annotations or {}).get(p, {}).items():
             about = F.when(obj["o"].isNotNull(), _triple(s, F.lit(p), obj["o"]))
-            rows.append(
-                F.struct(
-                    terms.triple(s, F.lit(p), obj["o"]).alias("s"), F.lit(p2).alias("p"), obj2.alias("v"),
-                    about.alias("s_t"),
-                )
-            )
-    wide = df.select(*keep, g.alias("g"), F.explode(F.array(*rows)).alias("q"))
-    out = wide.select(*keep, "g", "q.s", "q.p", "q.v.o", "q.v.o_num", "q.v.o_ts", "q.s_t")
+            rows.append(row(g, terms.triple(s, F.lit(p), obj["o"]), p2, obj2, about))
+    rows += [row(*extra) for extra in also or []]
+    wide = df.select(*keep, F.explode(F.array(*rows)).alias("q"))
+    out = wide.select(*keep, "q.g", "q.s", "q.p", "q.v.o", "q.v.o_num", "q.v.o_ts", "q.s_t")
     return out.withColumn("o_t", none).where(F.col("o").isNotNull() & F.col("s").isNotNull())
 
 

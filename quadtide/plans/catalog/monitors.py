@@ -207,6 +207,7 @@ def _q1_statements(t: Tables):
 
     def side(name: str, annotated: bool):
         stream = event_quads(t, where=F.col("event_type") == STREAM_TYPES[name]).withColumnRenamed("ts", "elem_ts")
-        return observations(stream, "place", vocab.FEATURE, window, ticks, annotated)
+        # Every event is an observation of its own: no statement comes twice.
+        return observations(stream, "place", vocab.FEATURE, window, ticks, annotated, distinct=False)
 
     return m.probably_low_while_hot(side("low2", True), side("high2", False), "place", window, ticks, 40.0, 0.5, 30.0)

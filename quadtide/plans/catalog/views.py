@@ -109,19 +109,15 @@ def event_quads(t: Tables, annotated: bool = True, where=None) -> DataFrame:
     df = t.events if where is None else t.events.where(where)
     k = F.get_json_object("props", "$.k")
     unc = F.concat(F.lit('"N(0,'), k, F.lit(f'.5)"^^<{vocab.DISTRIBUTION}>'))
-    body = q.table_quads(
+    graph = q.subject(DATA + "graph/%s", F.col("event_id"))
+    return q.table_quads(
         df, q.subject(DATA + "observation/%s", F.col("event_id")),
         {
             vocab.RDF_TYPE: q.term_value(F.concat(F.lit("<" + ONT), "event_type", F.lit(">"))),
             vocab.FEATURE: q.resource(DATA + "place/%s", F.col("user_id")),
             vocab.HAS_RESULT: q.double_value(F.col("value")),
         },
-        g=q.subject(DATA + "graph/%s", F.col("event_id")),
-        annotations={vocab.HAS_RESULT: {vocab.UNCERTAINTY: q.term_value(unc)}} if annotated else None,
-        keep=["event_id", "ts"],
-    )
-    time = q.table_quads(
-        df, q.subject(DATA + "graph/%s", F.col("event_id")), {vocab.GENERATED_AT: q.time_value(F.col("ts"))},
+        g=graph, annotations={vocab.HAS_RESULT: {vocab.UNCERTAINTY: q.term_value(unc)}} if annotated else None,
         keep=["event_id", "ts"],
-    )
-    return body.unionByName(time).withColumnRenamed("event_id", "elem_id")
+        also=[(F.lit(vocab.DEFAULT_GRAPH), graph, vocab.GENERATED_AT, q.time_value(F.col("ts")))],
+    ).withColumnRenamed("event_id", "elem_id")
