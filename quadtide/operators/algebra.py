@@ -12,7 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadtide.operators.patterns import cross, join_solutions
+from quadtide.operators.patterns import conjunction, cross, join_solutions
 
 
 def _shared(left: DataFrame, right: DataFrame) -> list[str]:
@@ -172,7 +172,7 @@ def visible(df: DataFrame) -> DataFrame:
 
 def group(spark: SparkSession, *parts: DataFrame, filters: list[Column] | None = None) -> DataFrame:
     """A group pattern: conjunction of its parts, then its filters. No parts: one empty solution."""
-    out = reduce(join_solutions, parts) if parts else spark.range(1).select()
+    out = conjunction(list(parts)) if parts else spark.range(1).select()
     for f in filters or []:
         out = out.where(f)
     return out

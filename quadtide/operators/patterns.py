@@ -124,14 +124,18 @@ def join_solutions(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, shared, "inner") if shared else cross(left, right)
 
 
-def basic_pattern(quads: DataFrame, patterns: list[Pattern], keep: list[str] | None = None) -> DataFrame:
-    """Conjunction of patterns over one table (``keep``: tick or element columns to agree on)."""
-    parts = [match(quads, p, keep) for p in patterns]
-    out, rest = parts[0], parts[1:]
+def conjunction(parts: list[DataFrame]) -> DataFrame:
+    """Join of several solution tables, each time with one that shares a variable where there is one."""
+    out, rest = parts[0], list(parts[1:])
     while rest:
-        # Take a connected pattern next where there is one: the order then never forces a product.
         i = next((i for i, r in enumerate(rest) if set(r.columns) & set(out.columns)), 0)
         out = join_solutions(out, rest.pop(i))
+    return out
+
+
+def basic_pattern(quads: DataFrame, patterns: list[Pattern], keep: list[str] | None = None) -> DataFrame:
+    """Conjunction of patterns over one table (``keep``: tick or element columns to agree on)."""
+    out = conjunction([match(quads, p, keep) for p in patterns])
     hidden = [c for c in out.columns if c.startswith("__anon")]
     return out.drop(*hidden)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadtide.functions import registry
@@ -14,6 +13,7 @@ from quadtide.plans.catalog import query
 from quadtide.plans.catalog import sqltext as s
 from quadtide.plans.catalog.views import customer_quads, event_ticks, hours, ont
 from quadtide.sources.tables import Tables
+from quadtide.vocab import XSD
 
 
 @query(
@@ -164,22 +164,24 @@ def _f12(t: Tables):
     return g.grouped(t.orders, [F.col("o_orderstatus").alias("status")], {"geometric_mean": F.round(price, 2)})
 
 
+_TERMS = """(SELECT '<http://example.org/data/customer/' || c_custkey || '>' AS o, 2 AS kind, NULL::BIGINT AS num FROM customer
+ UNION ALL SELECT '_:n' || n_nationkey, 1, NULL FROM nation
+ UNION ALL SELECT '"' || p_partkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', 3, p_partkey FROM part)"""
+
+
 @query(
     "F13_order_by_terms",
-    """SELECT o, CAST(row_number() OVER (ORDER BY kind, num, o) AS INTEGER) AS place FROM (
- SELECT '<http://example.org/data/region/' || r_regionkey || '>' AS o, 2 AS kind, NULL AS num FROM region
- UNION ALL SELECT '_:n' || n_nationkey, 1, NULL FROM nation
- UNION ALL SELECT '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', 3, n_nationkey FROM nation)""",
+    f"""SELECT 'first' AS which, o FROM (SELECT o FROM {_TERMS} ORDER BY kind, num, o LIMIT 60)
+ UNION ALL SELECT 'last', o FROM (SELECT o FROM {_TERMS} ORDER BY kind DESC, num DESC, o DESC LIMIT 60)""",
 )
 def _f13(t: Tables):
-    from quadtide.vocab import XSD
-
-    iris = t.region.select(terms.iri(F.concat(F.lit("http://example.org/data/region/"), "r_regionkey")).alias("o"))
+    # The ends of the order show it in a comparison that ignores the order of rows.
+    iris = t.customer.select(terms.iri(F.concat(F.lit("http://example.org/data/customer/"), "c_custkey")).alias("o"))
     blanks = t.nation.select(terms.bnode(F.concat(F.lit("n"), "n_nationkey")).alias("o"))
-    numbers = t.nation.select(terms.number(F.col("n_nationkey"), XSD + "integer").alias("o"))
+    numbers = t.part.select(terms.number(F.col("p_partkey"), XSD + "integer").alias("o"))
     rows = iris.unionByName(blanks).unionByName(numbers)
-    # The place is only there to make the order visible in an unordered comparison.
-    return rows.withColumn("place", F.row_number().over(W.orderBy(terms.order_key(F.col("o")).asc_nulls_first())))
+    first = g.page(g.order_terms(rows, ("o", True)), 60).withColumn("which", F.lit("first"))
+    return first.unionByName(g.page(g.order_terms(rows, ("o", False)), 60).withColumn("which", F.lit("last")))
 
 
 @query("F14_limit_offset", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 35")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
 from quadtide.operators.windows import (
     Ticks, TimeWindow, join_spans, join_windows, placed, sliding_aggregate, time_columns, unfold,
 )
@@ -114,14 +115,16 @@ def linked_events(
 
     ``events``: ts, id, value, unc. ``links``: id, prop, target. ``targets``: ts, target, value.
     """
-    chance = u.less_than(shifted("unc", "value"), F.col("threshold"))
-    swept = events.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    kept = swept.where(chance >= probability)
-    kept = kept.select(*time_columns(events), "id", F.col("value").alias("value1"), "threshold")
+    reading = shifted("unc", "value")
+    passed = F.array_compact(F.array(*[F.when(u.less_than(reading, t) >= probability, F.lit(float(t))) for t in thresholds]))
+    # A row is joined once, whatever number of thresholds it passes, and multiplied at the end.
+    kept = let(events, passed=passed).where(F.size("passed") > 0)
+    kept = kept.select(*time_columns(events), "id", F.col("value").alias("value1"), "passed")
     kept = placed(kept, "ts", window, ticks).join(links, "id")
     other = targets.select(*time_columns(targets), "target", F.col("value").alias("value2"))
     other = placed(other, "ts", window, ticks)
     out = join_spans(kept, other, ["target"], window.max_ticks(ticks))
+    out = out.withColumn("threshold", F.explode("passed"))
     return unfold(out, ticks).select("tick", "prop", "threshold", "id", "target", "value1", "value2")
 
 

@@ -308,7 +308,10 @@ def _elements(lines: DataFrame) -> DataFrame:
 
 
 def read_elements(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, base: str = "") -> DataFrame:
-    """Stream elements from text files with one element per line (first line: declarations)."""
+    """Stream elements from text files with one element per line (first line: declarations).
+
+    Given ``prefixes``, the files are read once; without, a first pass looks for the declarations.
+    """
     lines = _with_source(spark.read.text(path))
     records, known = _with_prefixes(_elements(lines), lines, prefixes)
     return _timed(parse_records(records, known, base))

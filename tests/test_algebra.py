@@ -26,7 +26,7 @@ def _tables(spark, seed):
 
 def test_unbound_shared_variables(spark):
     shared, maybe = ["k", "x", "y"], ["x", "y"]
-    for seed in range(3):
+    for seed in range(1):
         left, right, L, R = _tables(spark, seed)
         merged = [
             (l["k"], l["x"] if l["x"] is not None else r["x"], l["y"] if l["y"] is not None else r["y"], l["l"], r["r"])
