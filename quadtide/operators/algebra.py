@@ -1,7 +1,8 @@
 """Solutions algebra. A solution is a row, a variable a column, unbound is NULL.
 
-Shared variables that may be unbound are named in ``maybe``. For those, each side is split by which
-of them are bound, and every pair of parts is an ordinary equi-join: no nested loop over NULLs.
+Shared variables that may be unbound on the left are named in ``maybe``, on the right in
+``maybe_right`` (by default the same). Each side is split by which of them are bound, and every pair
+of parts is an ordinary equi-join: no nested loop over NULLs.
 """
 
 from __future__ import annotations
@@ -26,24 +27,33 @@ def _bound(maybe: list[str], flags: tuple[bool, ...]) -> Column:
 
 
 def _parts(df: DataFrame, maybe: list[str]):
+    """The table by which of the variables are unbound, with the set of those."""
     for flags in product((True, False), repeat=len(maybe)):
-        yield df.where(_bound(maybe, flags)), {c for c, f in zip(maybe, flags) if f}
+        yield df.where(_bound(maybe, flags)) if maybe else df, {c for c, f in zip(maybe, flags) if not f}
 
 
-def _keys(shared: list[str], maybe: list[str], left: set[str], right: set[str]) -> list[str]:
-    return [c for c in shared if c not in maybe or (c in left and c in right)]
+def _sides(left: DataFrame, right: DataFrame, maybe: list[str] | None, maybe_right: list[str] | None):
+    """Shared variables, and which of them may be unbound on the left and on the right."""
+    shared = _shared(left, right)
+    on_left = [c for c in maybe or [] if c in shared]
+    on_right = on_left if maybe_right is None else [c for c in maybe_right if c in shared]
+    return shared, on_left, on_right
 
 
-def join(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) -> DataFrame:
+def _keys(shared: list[str], left_unbound: set[str], right_unbound: set[str]) -> list[str]:
+    return [c for c in shared if c not in left_unbound and c not in right_unbound]
+
+
+def join(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
     """Compatible solutions of both sides."""
-    shared, maybe = _shared(left, right), [c for c in maybe or [] if c in right.columns]
-    if not maybe:
+    shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
+    if not on_left and not on_right:
         return join_solutions(left, right)
     out = []
     columns = [*left.columns, *[c for c in right.columns if c not in shared]]
-    for l, l_bound in _parts(left, maybe):
-        for r, r_bound in _parts(right, maybe):
-            keys = _keys(shared, maybe, l_bound, r_bound)
+    for l, l_unbound in _parts(left, on_left):
+        for r, r_unbound in _parts(right, on_right):
+            keys = _keys(shared, l_unbound, r_unbound)
             loose = [c for c in shared if c not in keys]
             r = r.withColumnsRenamed({c: f"__r_{c}" for c in loose})
             pair = l.join(r, keys, "inner") if keys else cross(l, r)
@@ -52,15 +62,19 @@ def join(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) -> D
     return reduce(DataFrame.unionByName, out)
 
 
-def optional(left: DataFrame, right: DataFrame, condition: Column | None = None, maybe: list[str] | None = None) -> DataFrame:
+def optional(
+    left: DataFrame, right: DataFrame, condition: Column | None = None, maybe: list[str] | None = None,
+    maybe_right: list[str] | None = None,
+) -> DataFrame:
     """Left join; ``condition`` is the filter inside the OPTIONAL and may use both sides."""
-    shared, maybe = _shared(left, right), [c for c in maybe or [] if c in right.columns]
+    shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
     if not shared:
         return left.join(right, F.lit(True) if condition is None else condition, "left")
-    if maybe:
+    if on_left or on_right:
         if condition is not None:
             raise ValueError("an inner filter with unbound shared variables: filter the right side first")
-        return join(left, right, maybe).unionByName(not_exists(left, right, maybe), allowMissingColumns=True)
+        unmatched = not_exists(left, right, on_left, on_right)
+        return join(left, right, on_left, on_right).unionByName(unmatched, allowMissingColumns=True)
     if condition is None:
         return left.join(right, shared, "left")
     renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
@@ -73,15 +87,13 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def not_exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) -> DataFrame:
+def not_exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
     """Left solutions without a compatible right solution."""
-    shared, maybe = _shared(left, right), [c for c in maybe or [] if c in right.columns]
-    if not maybe:
-        return _anti(left, right, shared)
+    shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
     out = []
-    for l, l_bound in _parts(left, maybe):
-        for r, r_bound in _parts(right, maybe):
-            l = _anti(l, r, _keys(shared, maybe, l_bound, r_bound))
+    for l, l_unbound in _parts(left, on_left):
+        for r, r_unbound in _parts(right, on_right):
+            l = _anti(l, r, _keys(shared, l_unbound, r_unbound))
         out.append(l)
     return reduce(DataFrame.unionByName, out)
 
@@ -98,31 +110,29 @@ def _semi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.limit(1).select(F.lit(True).alias("__any")), F.col("__any"), "left_semi")
 
 
-def exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) -> DataFrame:
+def exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
     """Left solutions with a compatible right solution."""
-    shared, maybe = _shared(left, right), [c for c in maybe or [] if c in right.columns]
-    if not maybe:
+    shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
+    if not on_left and not on_right:
         return _semi(left, right, shared)
     out = []
-    for l, l_bound in _parts(left, maybe):
-        for r, r_bound in _parts(right, maybe):
-            keys = _keys(shared, maybe, l_bound, r_bound)
+    for l, l_unbound in _parts(left, on_left):
+        for r, r_unbound in _parts(right, on_right):
+            keys = _keys(shared, l_unbound, r_unbound)
             out.append(_semi(l, r, keys))
             l = _anti(l, r, keys)
     return reduce(DataFrame.unionByName, out)
 
 
-def minus(left: DataFrame, right: DataFrame, maybe: list[str] | None = None) -> DataFrame:
+def minus(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
     """Drop left solutions compatible with a right one that shares at least one bound variable."""
-    shared, maybe = _shared(left, right), [c for c in maybe or [] if c in right.columns]
+    shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
     if not shared:
         return left
-    if not maybe:
-        return _anti(left, right, shared)
     out = []
-    for l, l_bound in _parts(left, maybe):
-        for r, r_bound in _parts(right, maybe):
-            keys = _keys(shared, maybe, l_bound, r_bound)
+    for l, l_unbound in _parts(left, on_left):
+        for r, r_unbound in _parts(right, on_right):
+            keys = _keys(shared, l_unbound, r_unbound)
             if keys:
                 l = _anti(l, r, keys)
         out.append(l)
@@ -137,7 +147,7 @@ def values(spark: SparkSession, variables: dict[str, str], rows: list[tuple]) ->
 def join_values(left: DataFrame, inline: DataFrame, rows: list[tuple]) -> DataFrame:
     """Join with inline data; only the UNDEF columns pay for NULL tolerance."""
     undef = [c for i, c in enumerate(inline.columns) if any(r[i] is None for r in rows)]
-    return join(left, inline, undef)
+    return join(left, inline, [], undef)
 
 
 def bind(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quadtide.session import shared_dir
 
 
+# After this many rounds the tables of the single rounds are written into one.
+COMPACT_ROUNDS = 16
+
+
 def step(quads: DataFrame, predicate: str) -> DataFrame:
     """Pairs of one predicate."""
     return quads.where(F.col("p") == predicate).select(F.col("s").alias("x"), F.col("o").alias("y"))
@@ -77,6 +81,8 @@ def one_or_more(pairs: DataFrame, starts: DataFrame | None = None, shortest: boo
         frontier = reached.join(seen.select("x", "y"), ["x", "y"], "left_anti")
         frontier = frontier.select("x", "y", F.lit(length).alias("length")).checkpoint()
         seen = seen.unionByName(frontier)
+        if length % COMPACT_ROUNDS == 0:
+            seen = seen.checkpoint()
     return seen if shortest else seen.select("x", "y")
 
 

@@ -209,7 +209,7 @@ def _e4_twice(t: Tables):
     first = a.optional(customer, orders.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 300000))).select("c", "id")
     urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT")
     second = urgent.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    return a.optional(first, second, maybe=["id"])
+    return a.optional(first, second, maybe=["id"], maybe_right=[])
 
 
 @query(
@@ -243,7 +243,7 @@ def _e6_none(t: Tables):
 )
 def _e6_unbound(t: Tables):
     left = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("c"))
-    return a.minus(left, t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("c")), maybe=["c"])
+    return a.minus(left, t.customer.where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("c")), maybe=["c"], maybe_right=[])
 
 
 @query("E7_filter_exists", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
