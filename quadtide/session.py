@@ -17,6 +17,10 @@ RUNTIME_CONF = {
     # HotSpot compiles no method above 8000 bytes of bytecode. Beyond that, separate small methods
     # are several times faster than one large interpreted one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+# Settings a session takes only when it is made.
+STATIC_CONF = {
     # Recording the Python call site of every column expression triples the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -29,7 +33,7 @@ def build_session(app: str = "quadtide", master: str | None = None, shuffle: int
         builder = builder.master(master)
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
