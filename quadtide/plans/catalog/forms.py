@@ -30,9 +30,10 @@ def _g1(t: Tables):
 
 @query(
     "G2_construct",
-    f"""SELECT {node('graph', 'n_regionkey')} AS g, {node('nation', 'n_nationkey')} AS s, '{ont('label')}' AS p, '"' || n_name || '"' AS o, CAST(1 AS BIGINT) AS n FROM nation
- UNION ALL SELECT 'urn:default', '<< ' || {node('nation', 'n_nationkey')} || ' {ont('label')} "' || n_name || '" >>', '{ont('statedIn')}', {node('graph', 'n_regionkey')}, 1 FROM nation
- UNION ALL SELECT 'urn:default', 'blank', '{ont('about')}', {node('nation', 'n_nationkey')}, 1 FROM nation""",
+    f"""WITH named AS (SELECT g, s AS n, o AS name FROM {PLACE_SQL} WHERE p = '{ont('name')}' AND g <> 'urn:default')
+ SELECT g, n AS s, '{ont('label')}' AS p, name AS o, CAST(1 AS BIGINT) AS n FROM named
+ UNION ALL SELECT 'urn:default', '<< ' || n || ' {ont('label')} ' || name || ' >>', '{ont('statedIn')}', g, 1 FROM named
+ UNION ALL SELECT 'urn:default', 'blank', '{ont('about')}', n, 1 FROM named""",
 )
 def _g2(t: Tables):
     named = p.match(p.in_graph(place_quads(t), "?g"), Pattern("?n", ont("name"), "?name", "?g"))

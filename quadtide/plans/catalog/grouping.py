@@ -115,14 +115,15 @@ def _f8(t: Tables):
 
 @query(
     "F9_group_concat",
-    """SELECT n_regionkey AS region, string_agg(n_name, ' ' ORDER BY n_name) AS names,
- string_agg(n_name, ', ' ORDER BY n_nationkey DESC) AS by_key, string_agg(DISTINCT left(n_name, 8), '|' ORDER BY left(n_name, 8)) AS short
- FROM nation GROUP BY n_regionkey""",
+    """SELECT o_custkey AS customer, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey::VARCHAR) AS keys,
+ string_agg(o_orderstatus, ', ' ORDER BY o_orderkey DESC) AS newest_first, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses
+ FROM orders GROUP BY o_custkey""",
 )
 def _f9(t: Tables):
-    return g.grouped(t.nation, [F.col("n_regionkey").alias("region")], {
-        "names": g.group_concat(F.col("n_name")), "by_key": g.group_concat(F.col("n_name"), ", ", -F.col("n_nationkey")),
-        "short": g.group_concat(F.substring("n_name", 1, 8), "|", distinct=True),
+    return g.grouped(t.orders, [F.col("o_custkey").alias("customer")], {
+        "keys": g.group_concat(F.col("o_orderkey").cast("string")),
+        "newest_first": g.group_concat(F.col("o_orderstatus"), ", ", -F.col("o_orderkey")),
+        "statuses": g.group_concat(F.col("o_orderstatus"), "|", distinct=True),
     })
 
 

@@ -34,9 +34,9 @@ def _h1(t: Tables):
     return h.from_each(path, ("customer", "region"))
 
 
-@query("H2_inverse", f"SELECT o AS region, s AS nation FROM {PLACE_SQL} WHERE p = '{ont('region')}'")
+@query("H2_inverse", f"SELECT o AS nation, s AS customer FROM {CUSTOMER_SQL} WHERE p = '{ont('nation')}'")
 def _h2(t: Tables):
-    return h.from_each(h.inverse(h.step(place_quads(t), ont("region"))), ("region", "nation"))
+    return h.from_each(h.inverse(h.step(customer_quads(t), ont("nation"))), ("nation", "customer"))
 
 
 @query("H3_alternative", f"SELECT s AS x, o AS y FROM {CUSTOMER_SQL} WHERE p IN ('{ont('name')}', '{ont('segment')}')")

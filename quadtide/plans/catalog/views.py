@@ -60,7 +60,8 @@ def node(kind: str, key: str) -> str:
 
 
 def place_quads(t: Tables) -> DataFrame:
-    """Regions and nations; each nation in the named graph of its region, regions in the default one."""
+    """Places and who is there: nations in the named graph of their region, suppliers spread over the
+    same graphs, regions in the default one."""
     region = q.table_quads(
         t.region, q.subject(DATA + "region/%s", F.col("r_regionkey")),
         {vocab.RDF_TYPE: q.term_value(F.lit(ont("Region"))), ont("name"): q.text_value(F.col("r_name"))},
@@ -73,7 +74,15 @@ def place_quads(t: Tables) -> DataFrame:
         },
         g=q.subject(DATA + "graph/%s", F.col("n_regionkey")),
     )
-    return region.unionByName(nation)
+    supplier = q.table_quads(
+        t.supplier, q.subject(DATA + "supplier/%s", F.col("s_suppkey")),
+        {
+            vocab.RDF_TYPE: q.term_value(F.lit(ont("Supplier"))), ont("name"): q.text_value(F.col("s_name")),
+            ont("basedIn"): q.resource(DATA + "nation/%s", F.col("s_nationkey")),
+        },
+        g=q.subject(DATA + "graph/%s", F.col("s_nationkey") % 5),
+    )
+    return region.unionByName(nation).unionByName(supplier)
 
 
 PLACE_SQL = f"""(
@@ -81,7 +90,10 @@ PLACE_SQL = f"""(
  UNION ALL SELECT 'urn:default', {node('region', 'r_regionkey')}, '{ont('name')}', '"' || r_name || '"' FROM region
  UNION ALL SELECT {node('graph', 'n_regionkey')}, {node('nation', 'n_nationkey')}, '{vocab.RDF_TYPE}', '{ont('Nation')}' FROM nation
  UNION ALL SELECT {node('graph', 'n_regionkey')}, {node('nation', 'n_nationkey')}, '{ont('name')}', '"' || n_name || '"' FROM nation
- UNION ALL SELECT {node('graph', 'n_regionkey')}, {node('nation', 'n_nationkey')}, '{ont('region')}', {node('region', 'n_regionkey')} FROM nation)"""
+ UNION ALL SELECT {node('graph', 'n_regionkey')}, {node('nation', 'n_nationkey')}, '{ont('region')}', {node('region', 'n_regionkey')} FROM nation
+ UNION ALL SELECT {node('graph', '(s_nationkey % 5)')}, {node('supplier', 's_suppkey')}, '{vocab.RDF_TYPE}', '{ont('Supplier')}' FROM supplier
+ UNION ALL SELECT {node('graph', '(s_nationkey % 5)')}, {node('supplier', 's_suppkey')}, '{ont('name')}', '"' || s_name || '"' FROM supplier
+ UNION ALL SELECT {node('graph', '(s_nationkey % 5)')}, {node('supplier', 's_suppkey')}, '{ont('basedIn')}', {node('nation', 's_nationkey')} FROM supplier)"""
 
 
 def customer_quads(t: Tables) -> DataFrame:
