@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quadtide.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,7 +28,7 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 def test_every_inventory_item_has_a_query():
@@ -39,7 +40,7 @@ def test_every_inventory_item_has_a_query():
     assert not set(wanted) - have
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_equals_sql(spark, database, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
