@@ -4,9 +4,9 @@ Texts with equal shingle sets form one class, and all further work is on classes
 row each. MinHash signatures are cut into bands; classes that agree on a band are candidates. Inside a
 bucket of a band every member is compared with the bucket's smallest class only, and the links found
 give components. Buckets that then still hold several components compare members of different ones in
-blocks: signatures first, which gives families of look-alikes, then the full sets within a family. So
-no link between different texts is lost, members already joined are never paired, and what a block
-compares leaves it as a spanning forest of at most its size instead of as pairs.
+blocks: signatures first, which gives families of look-alike components, then the full sets within a
+family. So no link between different texts is lost, members already joined are never paired, and what a
+task compares leaves it as a spanning forest over components instead of as pairs.
 
 A candidate pair is verified in three steps: set sizes that exclude the threshold; signatures read in
 batches, dropping the pair as soon as the posterior probability of reaching the threshold (uniform
@@ -178,18 +178,26 @@ def components(edges: DataFrame) -> DataFrame:
         e = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def _forest(n: int, pairs) -> list[int]:
-    """Positions of the pairs (rows of two member numbers) that join what the earlier ones have not."""
-    up, used = list(range(n)), []
-    for k, (x, y) in enumerate(pairs):
-        while up[x] != x:
+class Forest:
+    """Edges between components, without those that join what earlier ones of the task have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
             up[x] = x = up[up[x]]
-        while up[y] != y:
-            up[y] = y = up[up[y]]
-        if x != y:
-            up[x] = y
-            used.append(k)
-    return used
+        return x
+
+    def new(self, edges) -> list[tuple[int, int]]:
+        out = []
+        for a, b in edges:
+            x, y = self._top(a), self._top(b)
+            if x != y:
+                self.up[x] = y
+                out.append((a, b))
+        return out
 
 
 def _members(col: pa.Array, i: int, *names: str) -> list:
@@ -207,19 +215,11 @@ def _open_pairs(t: pa.RecordBatch, i: int):
     ok = roots[x] != roots[y]
     if t.column("same")[i].as_py():
         ok &= ids[x] < ids[y]
-    return ids, x[ok], y[ok]
+    return roots, x[ok], y[ok]
 
 
-def _edges(ids: np.ndarray, x: np.ndarray, y: np.ndarray, out: tuple[list, list]) -> None:
-    number = {v: k for k, v in enumerate(dict.fromkeys(ids.tolist()))}
-    pairs = [(number[a], number[b]) for a, b in zip(ids[x].tolist(), ids[y].tolist())]
-    for k in _forest(len(number), pairs):
-        out[0].append(int(ids[x[k]]))
-        out[1].append(int(ids[y[k]]))
-
-
-def _batch(out: tuple[list, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+def _batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[j] for e in edges], pa.int64()) for j in (0, 1)], ["a", "b"])
 
 
 def block_pairs(rows: DataFrame, key: str, payload: list[str], size: int) -> DataFrame:
@@ -242,24 +242,26 @@ def block_pairs(rows: DataFrame, key: str, payload: list[str], size: int) -> Dat
 
 
 def look_alikes(rows: DataFrame, conf: NearDup) -> DataFrame:
-    """Edges that connect what signatures do not rule out, among rows (``bk``, ``id``, ``root``, ``n``, ``sig``)."""
+    """Edges between roots with members that signatures do not rule out, among rows (``bk``, ``id``,
+    ``root``, ``n``, ``sig``)."""
     steps = conf.least_matches()
 
     def compare(batches):
+        forest = Forest()
         for t in batches:
-            out = ([], [])
+            out = []
             for i in range(t.num_rows):
-                ids, x, y = _open_pairs(t, i)
+                roots, x, y = _open_pairs(t, i)
                 parts = [_members(t.column(c), i, "n", "sig") for c in ("one", "two")]
                 n = np.concatenate([p[0].to_numpy(zero_copy_only=False) for p in parts])
-                sig = np.frombuffer(b"".join(s for p in parts for s in p[1].to_pylist()), np.uint16).reshape(len(ids), -1)
+                sig = np.frombuffer(b"".join(s for p in parts for s in p[1].to_pylist()), np.uint16).reshape(len(roots), -1)
                 ok = np.minimum(n[x], n[y]) * conf.den >= np.maximum(n[x], n[y]) * conf.num
                 x, y, seen, found = x[ok], y[ok], 0, np.zeros(ok.sum(), np.int32)
                 for upto, least in steps:
                     found += (sig[x, seen:upto] == sig[y, seen:upto]).sum(axis=1, dtype=np.int32)
                     ok = found >= least
                     x, y, found, seen = x[ok], y[ok], found[ok], upto
-                _edges(ids, x, y, out)
+                out += forest.new(zip(roots[x].tolist(), roots[y].tolist()))
             yield _batch(out)
 
     return block_pairs(rows, "bk", ["n", "sig"], 64).mapInArrow(compare, "a long, b long").distinct()
@@ -281,18 +283,18 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def family_links(rows: DataFrame, conf: NearDup) -> DataFrame:
-    """Exact links that connect different components, among rows (``family``, ``id``, ``root``, ``text``)."""
+    """Edges between roots with members that are linked, among rows (``family``, ``id``, ``root``, ``text``)."""
 
     def verify(batches):
-        shingles = Shingler(conf.k)
+        shingles, forest = Shingler(conf.k), Forest()
         for t in batches:
-            out = ([], [])
+            out = []
             for i in range(t.num_rows):
-                ids, x, y = _open_pairs(t, i)
+                roots, x, y = _open_pairs(t, i)
                 sets = [shingles(s) for c in ("one", "two") for s in _members(t.column(c), i, "text")[0].to_pylist()]
                 n, common = np.array([len(s) for s in sets]), common_counts(sets)[x, y]
                 ok = conf.den * common >= conf.num * (n[x] + n[y] - common)
-                _edges(ids, x[ok], y[ok], out)
+                out += forest.new(zip(roots[x[ok]].tolist(), roots[y[ok]].tolist()))
             yield _batch(out)
 
     return small_batches(block_pairs(rows, "family", ["text"], 64), 4).mapInArrow(verify, "a long, b long").distinct()
@@ -325,9 +327,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = labelled.join(mixed, "bk").join(known, "id")
     alike = saved(look_alikes(open_rows, conf), "alike")
     if not alike.isEmpty():
-        families = components(alike)
-        families = families.union(families.select("root", "root").distinct()).toDF("id", "family")
-        families = families.join(roots, "id", "left").select("id", "family", F.coalesce("root", "id").alias("root"))
+        families = components(alike).toDF("root", "family")
+        families = families.union(families.select("family", "family").distinct())
+        members = roots.select("id", "root").union(families.select("root", "root")).union(roots.select("root", "root")).distinct()
+        families = members.join(families, "root").select("id", "root", "family")
         texts = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
         rows = texts.join(families, "id").dropDuplicates(["id", "text"])
         more = saved(family_links(rows, conf), "links")
