@@ -125,14 +125,14 @@ class ChunkTokenizer:
         return out
 
 
-def assign(lengths: list[int], room: list[int], linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
-    """Pieces (document, start, length, sequence, offset), and (document, start) of what found no room.
+def assign(lengths: list[int], room: list[int], linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """Pieces (document, start, length, sequence, offset), and (document, start, length) of what found no room.
 
     A document longer than the largest sequence is first cut at its multiples.
     """
     most = max(room, default=0)
     if not most:
-        return [], [(d, 0) for d, n in enumerate(lengths) if n]
+        return [], [(d, 0, n) for d, n in enumerate(lengths) if n]
     items = [(min(most, n - s), d, s) for d, n in enumerate(lengths) for s in range(0, n, most)]
     items.sort(key=lambda x: (-x[0], x[1], x[2]))
     left, cost, pieces, over = np.array(room), np.zeros(len(room)), [], []
