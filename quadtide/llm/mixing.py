@@ -98,19 +98,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of ``docs`` in the order of their virtual finish time, repeated once per pass that takes
     them; a document cut at the end of the budget keeps its first words. Rows without words go.
     """
-    key, size, words, turn, finish = fresh(docs, "mix_id", "mix_size", "mix_words", "mix_turn", "mix_finish")
-    plan = shares(docs, id_col, text_col, source_col, conf)
-    # Rows that repeat an id are told apart by their size and place in it.
+    key, size, words, turn, finish, skey, nth, own = fresh(docs, "mix_key", "mix_size", "mix_words", "mix_turn", "mix_finish", "mix_source", "row_nth", "row_key")
+    name = lambda i: F.coalesce(i.cast("long").cast("string"), F.lit("none"))
+    plan = shares(docs, id_col, text_col, source_col, conf).where("target > 0 AND size > 0")
     passes = F.array(*(F.struct(taken_in(n).alias("words"), ((F.col("before") + F.col("size") + n * F.col("source_size")) / F.col("target")).alias("finish")) for n in range(conf.passes)))
-    same = Window.partitionBy("id", "size", "skey").orderBy("before")
-    plan = plan.where("target > 0 AND size > 0").withColumn("nth", F.row_number().over(same))
-    plan = plan.select("id", "size", "skey", "nth", F.explode(passes).alias("p")).where("p.words > 0")
-    plan = plan.select(F.col("id").alias(key), F.col("size").alias(size), F.col("skey").alias("mix_skey"), F.col("nth").alias(turn), F.col("p.words").alias(words), F.col("p.finish").alias(finish))
-    skey, mine, nth = fresh(docs, "row_skey", "row_size", "row_nth")
-    rows = docs.withColumn(mine, word_count(column(docs, text_col))).withColumn(skey, _key(column(docs, source_col).cast("string")))
-    rows = rows.where(F.col(mine) > 0).withColumn(nth, F.row_number().over(Window.partitionBy(column(rows, id_col).cast("long"), mine, skey).orderBy(column(rows, text_col))))
-    on = column(rows, id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(size)) & (F.col(skey) == F.col("mix_skey")) & (F.col(nth) == F.col(turn))
-    out = rows.join(plan, on)
+    # Rows that repeat an id are told apart by their size and place in it.
+    plan = plan.select(name(F.col("id")).alias(key), F.col("size").alias(size), F.col("skey").alias(skey), "before", passes.alias("passes"))
+    plan = plan.withColumn(turn, F.row_number().over(Window.partitionBy(key, size, skey).orderBy("before")))
+    plan = plan.select(key, size, skey, turn, F.explode("passes").alias("p")).where("p.words > 0").select(key, size, skey, turn, F.col("p.words").alias(words), F.col("p.finish").alias(finish))
+    rows = docs.withColumns({own: name(column(docs, id_col)), size: word_count(column(docs, text_col)), skey: _key(column(docs, source_col).cast("string"))})
+    rows = rows.where(F.col(size) > 0).withColumnRenamed(own, key)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, size, skey).orderBy(column(rows, text_col))))
+    # As a difference the place is no join key, so the join takes the rows as the window left them.
+    out = rows.alias("r").join(plan.alias("p"), [key, size, skey]).where(F.col(nth) - F.col(turn) == 0)
     # Possessive, so a long prefix neither backtracks nor recurses.
     first = F.regexp_substr(column(out, text_col), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col(words), F.lit("}+")))
     out = out.withColumn(text_col, F.when(F.col(words) < F.col(size), first).otherwise(column(out, text_col)))
