@@ -81,17 +81,23 @@ def abs_(x: Column) -> Column:
     return F.abs(x)
 
 
+def _whole(x: Column, rounded: Column) -> Column:
+    """Doubles from 2**53 on are whole already; they, NaN and infinities do not fit through a long."""
+    value = _lit(x).cast("double")
+    return F.when(F.abs(value) < float(1 << 53), rounded.cast("double")).otherwise(value)
+
+
 def ceil(x: Column) -> Column:
-    return F.ceil(x).cast("double")
+    return _whole(x, F.ceil(x))
 
 
 def floor(x: Column) -> Column:
-    return F.floor(x).cast("double")
+    return _whole(x, F.floor(x))
 
 
 def round_(x: Column) -> Column:
     """Halves go up, also below zero."""
-    return F.floor(x + 0.5).cast("double")
+    return _whole(x, F.floor(x + 0.5))
 
 
 def rand(seed: int | None = None) -> Column:

@@ -47,7 +47,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where the session names none."""
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master gets a folder of this machine; on a cluster its
+    executors could not read that, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quadtide-"))
         current = sc.getCheckpointDir()
     return current

@@ -61,3 +61,13 @@ def test_registry(spark):
         registry.call("http://f/none")
     registry.register_aggregate("http://f/agg", lambda x: F.max(x))
     assert one(spark, registry.aggregate("http://f/agg", F.col("id"))) == 0
+
+
+def test_rounding_of_extremes(spark):
+    values = [1e20, -1e20, float("inf"), float("-inf"), 2.0**53, -2.5, 2.5, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select(k.ceil(F.col("x")), k.floor(F.col("x")), k.round_(F.col("x"))).collect()
+    assert [tuple(r) for r in got[:5]] == [(v,) * 3 for v in values[:5]]
+    assert [tuple(r) for r in got[5:]] == [(-2.0, -3.0, -2.0), (3.0, 2.0, 3.0), (None,) * 3]
+    nan = spark.range(1).select(k.floor(F.lit(float("nan")))).first()[0]
+    assert nan != nan
