@@ -47,6 +47,7 @@ OUTSIDE_NAMES = frozenset(
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+NO_WORDS: frozenset[str] = frozenset()
 INSIDE = frozenset("article main".split())
 INSIDE_NAMES = frozenset("article body content entry main post story text".split())
 
@@ -55,7 +56,6 @@ INSIDE_NAMES = frozenset("article body content entry main post story text".split
 class Block:
     text: str
     path: tuple[tuple[int, str], ...]  # numbered open elements, outermost first
-    names: frozenset[str]
     outside: bool
     inside: bool
     linked: int  # characters inside links
@@ -77,7 +77,8 @@ class Costs:
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; elements that never show text are left out."""
-    stack: list[tuple[int, str, frozenset[str], bool, bool]] = []
+    stack: list[tuple[int, str]] = []
+    state = [(False, False, False)]  # outside, inside, in a link: of the page and of each open element
     out: list[Block] = []
     parts: list[str] = []
     linked = count = pos = 0
@@ -86,8 +87,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            names = frozenset().union(*(s[2] for s in stack)) if stack else frozenset()
-            out.append(Block(text, tuple((s[0], s[1]) for s in stack), names, bool(stack and stack[-1][3]), bool(stack and stack[-1][4]), linked))
+            out.append(Block(text, tuple(stack), state[-1][0], state[-1][1], linked))
         parts.clear()
         linked = 0
 
@@ -95,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(s[1] == "a" for s in stack):
+            if state[-1][2]:
                 linked += len(text)
 
     while True:
@@ -114,6 +114,7 @@ def blocks_of(page: str) -> list[Block]:
             if any(s[1] == name for s in stack):
                 while stack.pop()[1] != name:
                     pass
+                del state[len(stack) + 1 :]
         elif name in VOID:
             if name == "hr":
                 flush()
@@ -128,20 +129,22 @@ def blocks_of(page: str) -> list[Block]:
         else:
             if name in BLOCK:
                 flush()
-                implied = CLOSES.get(name, ())
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] in implied), None)
+                implied = CLOSES.get(name)
+                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] in implied), None) if implied else None
                 if at is not None and not any(s[1] in ("table", "ul", "ol", "dl", "div", "article", "section") for s in stack[at:]):
-                    del stack[at:]
-            words = frozenset(w.lower() for a in ATTRIBUTE.finditer(attributes) for w in WORDS_IN_NAME.findall(a[2] or a[3] or a[4] or ""))
-            up_out, up_in = (stack[-1][3], stack[-1][4]) if stack else (False, False)
+                    del stack[at:], state[at + 1 :]
+            words = NO_WORDS
+            if attributes:
+                words = frozenset(w.lower() for a in ATTRIBUTE.finditer(attributes) for w in WORDS_IN_NAME.findall(a[2] or a[3] or a[4] or ""))
+            up_out, up_in, linking = state[-1]
             own_in = name in INSIDE or (name in ("div", "section") and bool(words & INSIDE_NAMES))
             # A heading's own wrapper inside the article is part of it.
             own_out = (name in OUTSIDE and not (name == "header" and up_in)) or (name not in HEADINGS and name not in INSIDE and name != "body" and bool(words & OUTSIDE_NAMES) and not own_in)
             own_out = own_out or bool(words & {"comment", "comments", "sidebar", "respond", "replies"})
             count += 1
-            stack.append((count, name, words, up_out or own_out, up_in or own_in))
-            if attributes.endswith("/") and name not in BLOCK:
-                stack.pop()
+            if not attributes.endswith("/") or name in BLOCK:
+                stack.append((count, name))
+                state.append((up_out or own_out, up_in or own_in, linking or name == "a"))
     say(page[pos:])
     flush()
     return out
