@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadtide.functions import terms
 from quadtide.operators.patterns import Quoted, is_var
-from quadtide.operators.quads import KEY, TYPED, distinct_quads, with_typed
+from quadtide.operators.quads import KEY, TYPED, assert_embedded, distinct_quads, with_typed
 from quadtide.session import shared_dir
 from quadtide.vocab import DEFAULT_GRAPH
 
@@ -20,15 +20,21 @@ def _term(position, columns: list[str]) -> Column:
     if is_var(position):
         return F.col(position[1:])
     if position.startswith("_:"):
-        # A blank node of the template is new in every solution and the same within one.
-        row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns])
-        return F.concat(F.lit(position + "_"), F.sha2(row, 256))
+        # A blank node of the template is new in every solution, equal ones too, and the same within one.
+        return F.concat(F.lit(position + "_"), F.col("__solution").cast("string"))
     return F.lit(position)
 
 
+def _positions(parts) -> list:
+    """Terms of a template, those of embedded statements too."""
+    return [y for x in parts for y in (_positions((x.s, x.p, x.o)) if isinstance(x, Quoted) else [x])]
+
+
 def construct(solutions: DataFrame, template: Template) -> DataFrame:
     """Statements of a template filled with every solution; incomplete or ill-formed ones are left out."""
     rows = []
+    if any(isinstance(x, str) and x.startswith("_:") for t in template for x in _positions(t)):
+        solutions = solutions.withColumn("__solution", F.monotonically_increasing_id())
     for t in template:
         s, p, o = (_term(x, solutions.columns) for x in t[:3])
         g = _term(t[3], solutions.columns) if len(t) > 3 else F.lit(DEFAULT_GRAPH)
@@ -66,7 +72,9 @@ def _same_columns(quads: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def insert_data(quads: DataFrame, rows: DataFrame) -> DataFrame:
-    return distinct_quads(quads.unionByName(_same_columns(quads, rows)))
+    """The rows come in with the statements they embed."""
+    more = [c for c in quads.columns if c not in (*KEY, *TYPED)]
+    return distinct_quads(quads.unionByName(_same_columns(quads, assert_embedded(rows, keep=more))))
 
 
 def delete_data(quads: DataFrame, rows: DataFrame) -> DataFrame:

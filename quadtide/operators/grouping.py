@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadtide.functions import terms
+from quadtide.session import shared_dir
 
 
 def count_all() -> Column:
@@ -96,6 +97,24 @@ def order_terms(df: DataFrame, *columns: tuple[str, bool]) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def numbered(df: DataFrame, *keys: Column, name: str = "position") -> DataFrame:
+    """Rows with their place in the order, from 1.
+
+    Tasks hold ranges of the order; a place is the place in the task and the rows of the tasks before,
+    of which there is one number per task.
+    """
+    shared_dir(df.sparkSession)
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = laid.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    # The number of the task is in the upper bits, the place in the task in the lower 33.
+    task = F.shiftright("__id", 33)
+    sizes = laid.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__task", before.alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return laid.withColumn("__task", task).join(F.broadcast(starts), "__task").select(*df.columns, place.alias(name))
+
+
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     out = df.offset(offset) if offset else df
     return out if limit is None else out.limit(limit)

@@ -7,7 +7,6 @@ subject and object, a :class:`Quoted` statement. A match is a DataFrame with one
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -43,12 +42,12 @@ def is_var(x) -> bool:
     return isinstance(x, str) and x.startswith("?")
 
 
-def match(quads: DataFrame, pattern: Pattern, keep: list[str] | None = None, asserted: bool = False) -> DataFrame:
+def match(quads: DataFrame, pattern: Pattern, keep: list[str] | None = None, asserted: bool = True) -> DataFrame:
     """Solutions of one pattern.
 
-    Statements about statements are always stored with their inner statement asserted, so an
-    embedded pattern is answered from the outer row alone. ``asserted=True`` checks the inner one,
-    for tables that lost it.
+    An embedded pattern is found where its inner statement is in the same graph too. ``asserted=False``
+    is the caller's word that no inner statement is missing, as in what the readers give; the outer row
+    alone answers it then.
     """
     keep = keep or []
     quads = with_typed(quads) if any(isinstance(x, Quoted) for x in (pattern.s, pattern.o)) else quads
@@ -109,12 +108,8 @@ def contains(quads: DataFrame, s: str, p: str, o: str, g: str) -> DataFrame:
     return found.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-def cross(left: DataFrame, right: DataFrame, small: int = 10_000) -> DataFrame:
-    """All pairs. The side found to be small is copied to every task; else Spark pairs partitions."""
-    if right.limit(small + 1).count() <= small:
-        return left.crossJoin(F.broadcast(right))
-    if left.limit(small + 1).count() <= small:
-        return F.broadcast(left).crossJoin(right)
+def cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs. Spark copies a side whose size in bytes is below its threshold, else pairs partitions."""
     return left.crossJoin(right)
 
 
@@ -133,9 +128,9 @@ def conjunction(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def basic_pattern(quads: DataFrame, patterns: list[Pattern], keep: list[str] | None = None) -> DataFrame:
+def basic_pattern(quads: DataFrame, patterns: list[Pattern], keep: list[str] | None = None, asserted: bool = True) -> DataFrame:
     """Conjunction of patterns over one table (``keep``: tick or element columns to agree on)."""
-    out = conjunction([match(quads, p, keep) for p in patterns])
+    out = conjunction([match(quads, p, keep, asserted) for p in patterns])
     hidden = [c for c in out.columns if c.startswith("__anon")]
     return out.drop(*hidden)
 
@@ -182,36 +177,48 @@ def in_graph(quads: DataFrame, graph: str) -> DataFrame:
 
 
 def reify(quads: DataFrame) -> DataFrame:
-    """Replace statements about statements by rdf:Statement nodes."""
+    """Replace embedded statements, as subject and as object, by rdf:Statement nodes.
+
+    One level: what is embedded in an embedded statement stays inside the node's description.
+    """
     known = with_typed(quads)
-    node = terms.bnode(F.sha2(F.concat_ws(" ", "g", "s"), 256))
-    nested = known.where(F.col("s_t").isNotNull())
-    flat = known.where(F.col("s_t").isNull()).select(*KEY, *TYPED)
-    outer = nested.withColumn("s", node).withColumn("s_t", F.lit(None).cast(terms.TRIPLE_TYPE)).select(*KEY, *TYPED)
-    parts = nested.select("g", node.alias("s"), "s_t").distinct()
+    none = F.lit(None).cast(terms.TRIPLE_TYPE)
+    node = lambda term: terms.bnode(F.sha2(F.concat_ws(" ", F.col("g"), term), 256))
+    place = lambda c: F.when(F.col(f"{c}_t").isNotNull(), node(F.col(c))).otherwise(F.col(c)).alias(c)
+    outer = known.select("g", place("s"), "p", place("o"), "o_num", "o_ts", none.alias("s_t"), none.alias("o_t"))
+    ends = F.array(*[F.struct(F.col(c).alias("term"), F.col(f"{c}_t").alias("t")) for c in "so"])
+    parts = known.where("s_t IS NOT NULL OR o_t IS NOT NULL").select("g", F.explode(ends).alias("x")).where("x.t IS NOT NULL")
+    parts = parts.select("g", node(F.col("x.term")).alias("s"), "x.t").distinct()
     pairs = F.array(*[
         F.struct(F.lit(p).alias("p"), o.alias("o"))
         for p, o in (
-            (RDF_TYPE, F.lit(RDF_STATEMENT)), (RDF_SUBJECT, F.col("s_t.s")),
-            (RDF_PREDICATE, F.col("s_t.p")), (RDF_OBJECT, F.col("s_t.o")),
+            (RDF_TYPE, F.lit(RDF_STATEMENT)), (RDF_SUBJECT, F.col("t.s")), (RDF_PREDICATE, F.col("t.p")), (RDF_OBJECT, F.col("t.o")),
         )
     ])
     described = with_typed(parts.select("g", "s", F.explode(pairs).alias("x")).select("g", "s", "x.p", "x.o"))
-    return reduce(DataFrame.unionByName, [flat, outer, described.select(*KEY, *TYPED)])
+    return outer.unionByName(described.select(*KEY, *TYPED))
 
 
 def unreify(quads: DataFrame) -> DataFrame:
-    """The statements that rdf:Statement nodes describe, with the node's other properties on them."""
+    """Every statement, with embedded statements in place of the rdf:Statement nodes that describe them.
+
+    The descriptions go; a node without subject, predicate and object stays as it is.
+    """
+    known = with_typed(quads)
     props = {"t_s": RDF_SUBJECT, "t_p": RDF_PREDICATE, "t_o": RDF_OBJECT}
     aggs = [F.max(F.when(F.col("p") == p, F.col("o"))).alias(n) for n, p in props.items()]
-    nodes = quads.where(F.col("p").isin(*props.values())).groupBy("g", F.col("s").alias("node")).agg(*aggs)
+    nodes = known.where(F.col("p").isin(*props.values())).groupBy("g", F.col("s").alias("node")).agg(*aggs)
     nodes = nodes.where(F.col("t_s").isNotNull() & F.col("t_p").isNotNull() & F.col("t_o").isNotNull())
-    own = [RDF_TYPE, *props.values()]
-    rest = quads.where(~F.col("p").isin(own)).withColumnRenamed("s", "node")
-    about_it = rest.join(nodes, ["g", "node"])
-    return about_it.select(
-        "g", terms.triple(F.col("t_s"), F.col("t_p"), F.col("t_o")).alias("s"), "p", "o",
-        *[c for c in ("o_num", "o_ts") if c in quads.columns],
-        F.struct(F.col("t_s").alias("s"), F.col("t_p").alias("p"), F.col("t_o").alias("o")).alias("s_t"),
-        F.lit(None).cast(terms.TRIPLE_TYPE).alias("o_t"),
-    )
+    parts = F.struct(F.col("t_s").alias("s"), F.col("t_p").alias("p"), F.col("t_o").alias("o"))
+    nodes = nodes.select("g", "node", parts.alias("t"))
+    at = lambda c: nodes.select(F.col("g"), F.col("node").alias(c), F.col("t").alias(f"__{c}"))
+    rows = known.join(at("s"), ["g", "s"], "left").join(at("o"), ["g", "o"], "left")
+    own = F.col("p").isin(*props.values()) | ((F.col("p") == RDF_TYPE) & (F.col("o") == RDF_STATEMENT))
+    rows = rows.where(F.col("__s").isNull() | ~own)
+
+    def term(c: str):
+        t = F.col(f"__{c}")
+        return F.when(t.isNotNull(), terms.triple(t["s"], t["p"], t["o"])).otherwise(F.col(c)).alias(c)
+
+    back = [F.coalesce(f"__{c}", f"{c}_t").alias(f"{c}_t") for c in "so"]
+    return rows.select("g", term("s"), "p", term("o"), "o_num", "o_ts", *back)

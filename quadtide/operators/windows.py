@@ -126,6 +126,11 @@ def spans(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame
     hi = f"{_ceil_div(f'{past_edge} + {shift}L', ticks.every)} - 1L"
     if ticks.count is not None:
         hi = f"least({hi}, {ticks.count - 1}L)"
+    if ticks.count:
+        # Said once more as a plain range of times, which reaches the scan.
+        last = ticks.start + (ticks.count - 1) * ticks.every
+        lower, upper = (t - (t - window.ref) % step for t in (ticks.start, last))
+        df = elements_between(df, ts, lower - window.width, upper)
     return df.withColumns({LO: F.expr(lo), HI: F.expr(hi)}).where(f"{LO} <= {HI}")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import terms
+from quadtide.operators import forms
 from quadtide.operators import patterns as p
 from quadtide.operators import quads as q
 from quadtide.operators.patterns import Pattern, Quoted
@@ -159,7 +160,7 @@ def _a9(t: Tables):
 def _a10(t: Tables):
     path = fresh_path(t.spark, "statements")
     sinks.write_statements(event_quads(t), path)
-    back = trig.read_dataset(t.spark, path, prefixes={}, unit="line")
+    back = trig.read_dataset(t.spark, path, prefixes={}, unit="line", labels="dataset")
     value = F.max(F.when(F.col("p") == vocab.HAS_RESULT, F.col("o_num")))
     about = back.where(F.col("g") != vocab.DEFAULT_GRAPH).groupBy("g").agg(
         F.max("s_t.s").alias("inner_s"), value.alias("value"), F.max(terms.num(F.col("s_t.o"))).alias("about"),
@@ -308,7 +309,18 @@ def _b5(t: Tables):
 @query("B5_embedded_pattern", _ANNOTATED_SQL)
 def _b5_fast(t: Tables):
     outer = Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g")
-    return p.match(event_quads(t), outer).withColumn("value", terms.num(F.col("v"))).drop("v")
+    return p.match(event_quads(t), outer, asserted=False).withColumn("value", terms.num(F.col("v"))).drop("v")
+
+
+@query("B5_embedded_pattern_after_delete", f"{_ANNOTATED_SQL} WHERE event_type <> 'click'")
+def _b5_deleted(t: Tables):
+    # The inner statements of clicks go, so what is said about them is no longer found.
+    quads = event_quads(t).drop("elem_id", "ts")
+    clicks = p.match(quads, Pattern("?s", vocab.RDF_TYPE, ont("click")))
+    reported = quads.where((F.col("p") == vocab.HAS_RESULT) & F.col("s_t").isNull()).join(clicks, "s", "left_semi")
+    outer = Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g")
+    found = p.match(forms.delete_data(quads, reported), outer)
+    return found.withColumn("value", terms.num(F.col("v"))).drop("v")
 
 
 @query(
@@ -404,3 +416,21 @@ def _b10_back(t: Tables):
     back = p.unreify(p.reify(event_quads(t).drop("elem_id", "ts")))
     found = p.match(back, Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g"))
     return found.select("g", "obs", terms.num(F.col("v")).alias("value"), "unc")
+
+
+_REGION = f"'<< ' || s || ' ' || p || ' ' || o || ' >>'"
+
+
+@query(
+    "B10_reified_round_trip",
+    f"""SELECT g, s, p, o FROM {PLACE_SQL}
+ UNION ALL SELECT g, {_REGION}, '{ont('statedBy')}', s FROM {PLACE_SQL} WHERE p = '{ont('region')}'
+ UNION ALL SELECT g, s, '{ont('states')}', {_REGION} FROM {PLACE_SQL} WHERE p = '{ont('region')}'""",
+)
+def _b10_whole(t: Tables):
+    quads = place_quads(t).select(*q.KEY)
+    region = quads.where(F.col("p") == ont("region"))
+    inner = terms.triple(F.col("s"), F.col("p"), F.col("o"))
+    about = region.select("g", inner.alias("s"), F.lit(ont("statedBy")).alias("p"), F.col("s").alias("o"))
+    states = region.select("g", "s", F.lit(ont("states")).alias("p"), inner.alias("o"))
+    return p.unreify(p.reify(quads.unionByName(about).unionByName(states))).select(*q.KEY)

@@ -143,59 +143,58 @@ def _c17(t: Tables):
     return w.elements_between(t.events, "ts", "2024-01-10 06:00:00", "2024-01-12 18:00:00").select("event_id", "event_type", "value")
 
 
-# Streaming: the same windows over readStream; rows come out when the watermark has passed a tick.
+# Streaming: the same windows over readStream; rows come out when the watermark has passed a tick, and
+# the last ones when the stream has ended.
 
-_CLOSED = "(SELECT max(ts) FROM events)"
-_BOTH_CLOSED = "(SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) FROM events)"
+
+def _continuous(t: Tables, every: int, range_: int):
+    """Ticks without an end from the first day of the data, and a window that slides by an hour."""
+    ticks = w.Ticks(event_ticks(t, every, 0).start, w.micros(f"PT{every}H"))
+    return ticks, hours(range_, 1, ticks)
+
+
+def _side(t: Tables, kind: str, columns: list, ends: str):
+    ticks, window = _continuous(t, 2, 6)
+    df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", *columns)
+    return runner.stream_window(runner.with_end(df, ends), "ts", window, ticks, "PT1H")
 
 
 @query(
     "C1_sliding_window_streaming",
     f"""SELECT tick, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total
- FROM (SELECT tick FROM {s.ticks(2, 0)}) JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick
- WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR GROUP BY ALL""",
+ FROM (SELECT tick FROM {s.ticks(2, 24)}) JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick GROUP BY ALL""",
 )
 def _stream_content(t: Tables):
-    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
-    rows = runner.stream_window(t.stream("events").select("ts", "event_type", "value"), "ts", window, ticks, "PT1H")
+    (ticks, window), ends = _continuous(t, 2, 6), runner.end_folder(t.spark)
+    stream = runner.with_end(t.stream("events").select("ts", "event_type", "value"), ends)
+    rows = runner.stream_window(stream, "ts", window, ticks, "PT1H")
     out = rows.groupBy("tick", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
-    return runner.drain(t.spark, out, "content").where(F.col("tick") <= closed)
+    return runner.drain(t.spark, out, "content", ends)
 
 
 @query(
     "C7_multi_window_join_streaming",
     f"""SELECT tick, a.user_id, a.event_id AS first, b.event_id AS second FROM {s.ticks(2, 24)}
  JOIN events a ON a.ts >= tick - INTERVAL 6 HOUR AND a.ts < tick AND a.event_type = 'click'
- JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id
- WHERE tick <= {_CLOSED} - INTERVAL 4 HOUR""",
+ JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id""",
 )
 def _stream_join(t: Tables):
-    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
-
-    def side(kind: str, name: str):
-        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
-        return runner.stream_window(df, "ts", window, ticks, "PT1H")
-
-    joined = runner.join_streams(side("click", "first"), side("purchase", "second"), ["user_id"], salts=4)
-    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
-    return runner.drain(t.spark, joined, "join").where(F.col("tick") <= closed)
+    first, second, ends = _stream_sides(t)
+    return runner.drain(t.spark, runner.join_streams(first, second, ["user_id"], salts=4), "join", ends)
 
 
 @query(
     "C8_window_and_static_streaming",
     f"""SELECT tick, c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n FROM {s.ticks(6, 24)}
- JOIN events ON ts >= tick - INTERVAL 12 HOUR AND ts < tick JOIN customer ON c_custkey = user_id
- WHERE tick <= {_CLOSED} - INTERVAL 8 HOUR GROUP BY ALL""",
+ JOIN events ON ts >= tick - INTERVAL 12 HOUR AND ts < tick JOIN customer ON c_custkey = user_id GROUP BY ALL""",
 )
 def _stream_static(t: Tables):
-    ticks, window = w.Ticks.at("2024-01-01", "PT6H"), w.TimeWindow.of("PT12H", "PT1H", "2024-01-01")
+    (ticks, window), ends = _continuous(t, 6, 12), runner.end_folder(t.spark)
     static = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    known = t.stream("events").select("ts", "user_id").join(static, "user_id")
-    rows = runner.stream_window(known.select("ts", "segment"), "ts", window, ticks, "PT1H")
+    known = t.stream("events").select("ts", "user_id").join(static, "user_id").select("ts", "segment")
+    rows = runner.stream_window(runner.with_end(known, ends), "ts", window, ticks, "PT1H")
     out = rows.groupBy("tick", "segment").agg(F.count(F.lit(1)).alias("n"))
-    closed = runner.closed_ticks(t.events, "ts", window, ticks, "PT1H")
-    return runner.drain(t.spark, out, "static").where(F.col("tick") <= closed)
+    return runner.drain(t.spark, out, "static", ends)
 
 
 @query(
@@ -203,49 +202,32 @@ def _stream_static(t: Tables):
     f"""SELECT tick, CAST(count(*) AS BIGINT) AS pairs FROM {s.ticks(2, 24)}
  JOIN events a ON a.ts >= tick - INTERVAL 6 HOUR AND a.ts < tick AND a.event_type = 'click'
  JOIN events b ON b.ts >= tick - INTERVAL 6 HOUR AND b.ts < tick AND b.event_type = 'purchase' AND a.user_id = b.user_id
- WHERE tick <= {_BOTH_CLOSED} - INTERVAL 27 HOUR GROUP BY tick""",
+ GROUP BY tick""",
 )
 def _stream_join_agg(t: Tables):
-    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
-
-    def side(kind: str):
-        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id")
-        return runner.stream_window(df, "ts", window, ticks, "PT1H")
-
-    joined = side("click").join(side("purchase"), ["tick", "user_id"])
+    ends = runner.end_folder(t.spark)
+    joined = _side(t, "click", [], ends).join(_side(t, "purchase", [], ends), ["tick", "user_id"])
     out = joined.groupBy("tick").agg(F.count(F.lit(1)).alias("pairs"))
-    closed = _both_closed(t, window, ticks, "PT24H")
-    return runner.drain(t.spark, out, "joinagg").where(F.col("tick") <= closed)
+    return runner.drain(t.spark, out, "joinagg", ends)
 
 
-_STREAM_SIDES = f"""WITH tk AS (SELECT tick FROM {s.ticks(2, 24)} WHERE tick <= {_BOTH_CLOSED} - INTERVAL 4 HOUR),
+_STREAM_SIDES = f"""WITH tk AS (SELECT tick FROM {s.ticks(2, 24)}),
  a AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'click'),
  b AS (SELECT tick, user_id, event_id FROM tk JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE event_type = 'purchase')"""
 
 
 def _stream_sides(t: Tables):
-    ticks, window = w.Ticks.at("2024-01-01", "PT2H"), w.TimeWindow.of("PT6H", "PT1H", "2024-01-01")
-
-    def side(kind: str, name: str):
-        df = t.stream("events").where(F.col("event_type") == kind).select("ts", "user_id", F.col("event_id").alias(name))
-        return runner.stream_window(df, "ts", window, ticks, "PT1H")
-
-    return side("click", "first"), side("purchase", "second"), _both_closed(t, window, ticks, "PT1H")
-
-
-def _both_closed(t: Tables, window: w.TimeWindow, ticks: w.Ticks, delay: str):
-    """The watermark of a join follows the stream that is further behind."""
-    of = lambda kind: t.events.where(F.col("event_type") == kind)
-    return F.least(*[runner.closed_ticks(of(kind), "ts", window, ticks, delay) for kind in ("click", "purchase")])
+    ends = runner.end_folder(t.spark)
+    return *[_side(t, kind, [F.col("event_id").alias(n)], ends) for kind, n in (("click", "first"), ("purchase", "second"))], ends
 
 
 @query("E4_optional_streaming", f"{_STREAM_SIDES} SELECT tick, user_id, a.event_id AS first, b.event_id AS second FROM a LEFT JOIN b USING (tick, user_id)")
 def _stream_optional(t: Tables):
-    first, second, closed = _stream_sides(t)
-    return runner.drain(t.spark, runner.optional_stream(first, second, ["user_id"]), "optional").where(F.col("tick") <= closed)
+    first, second, ends = _stream_sides(t)
+    return runner.drain(t.spark, runner.optional_stream(first, second, ["user_id"]), "optional", ends)
 
 
 @query("E6_minus_streaming", f"{_STREAM_SIDES} SELECT tick, user_id, event_id AS first FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tick = a.tick AND b.user_id = a.user_id)")
 def _stream_minus(t: Tables):
-    first, second, closed = _stream_sides(t)
-    return runner.drain(t.spark, runner.minus_stream(first, second, ["user_id"]), "minus").where(F.col("tick") <= closed)
+    first, second, ends = _stream_sides(t)
+    return runner.drain(t.spark, runner.minus_stream(first, second, ["user_id"]), "minus", ends)

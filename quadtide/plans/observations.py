@@ -19,22 +19,32 @@ from quadtide.operators.windows import HI, LO, Ticks, TimeWindow, distinct_spans
 from quadtide.vocab import iri
 
 
+def _open(pattern: Pattern | Quoted) -> bool:
+    """Is there a position that neither a constant nor a variable names, so that statements may differ?"""
+    parts = [pattern.s, pattern.p, pattern.o, *([pattern.g] if isinstance(pattern, Pattern) else [])]
+    named = isinstance(pattern, Quoted) and pattern.ref
+    return not named and any(x is None or isinstance(x, Quoted) and _open(x) for x in parts)
+
+
 def window_pattern(
     stream: DataFrame, patterns: list[Pattern], window: TimeWindow, ticks: Ticks, distinct: bool = True
 ) -> DataFrame:
     """WINDOW { patterns }: solutions with the ticks at which all parts are in the window.
 
     Statements that several elements repeat count once per tick; ``distinct=False`` skips that
-    where the source is known not to repeat any.
+    where the source is known not to repeat any. Elements carry the statements they embed, as readers
+    give them.
     """
     out = None
     longest = window.max_ticks(ticks)
     for pattern in patterns:
         # Spans come after the constants of the pattern have cut the stream down.
-        found = p.match(stream, pattern, keep=["elem_ts"])
+        whole = ["__g", "__s", "__p", "__o"] if distinct and _open(pattern) else []
+        copies = stream.withColumns({c: F.col(c[2:]) for c in whole})
+        found = p.match(copies, pattern, keep=["elem_ts", *whole], asserted=False)
         one = spans(found, "elem_ts", window, ticks).drop("elem_ts")
         if distinct:
-            one = distinct_spans(one, [c for c in one.columns if c not in (LO, HI)])
+            one = distinct_spans(one, [c for c in one.columns if c not in (LO, HI)]).drop(*whole)
         if out is None:
             out = one
         else:

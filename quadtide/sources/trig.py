@@ -71,13 +71,15 @@ def _quoted(text: str) -> str:
 class RecordReader:
     """Statements of one record; embedded statements are asserted as they are read."""
 
-    def __init__(self, text: str, scope: str, prefixes: dict[str, str], base: str, names: dict[str, str] | None = None):
+    def __init__(self, text: str, scope: str, prefixes: dict[str, str], base: str, names: dict[str, str] | None = None,
+                 record: str | None = None):
+        """``scope`` is where a written blank node label is one node, ``record`` names the unwritten ones."""
         self.tokens = self._scan(text)
         self.at = 0
         self.scope, self.prefixes, self.base = scope, dict(prefixes), base
         # Names written before, already as IRIs; shared by records with the same declarations.
         self.names = {} if names is None else names
-        self.blank = 0
+        self.record, self.blank = scope if record is None else record, 0
         self.graph = DEFAULT_GRAPH
         self.rows: list[tuple] = []
 
@@ -112,7 +114,8 @@ class RecordReader:
 
     def fresh(self) -> str:
         self.blank += 1
-        return f"_:{self.scope}b{self.blank}"
+        # No label starts with a dash, so no written one is met.
+        return f"_:{self.record}-{self.blank}"
 
     def emit(self, s, p, o) -> None:
         self.rows.append((self.graph, s[0], p, o[0], s[1], o[1]))
@@ -234,27 +237,48 @@ class RecordReader:
         return quoted
 
 
+def _known(record: dict) -> dict[str, str]:
+    """Declarations that hold for a record: the last one above it in its file, else the first one of
+    the file, else the dataset's."""
+    known = {d["name"]: d["target"] for d in record["common"] or ()}
+    here, met = (record["block"], record["rec"]), set()
+    for d in record["own"] or ():
+        if d["name"] not in met or (d["block"], d["rec"]) < here:
+            known[d["name"]] = d["target"]
+        met.add(d["name"])
+    return known
+
+
 def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "") -> DataFrame:
-    """Statement rows of ``records`` (value, file, elem_id, and optionally a ``prefixes`` map)."""
+    """Statement rows of ``records``: value, file, block, optionally a ``scope`` and declarations.
+
+    A record is numbered in its split, which one task reads from top to bottom, so equal records stay
+    distinct and a repeated task gives the same numbers. A blank node without a label belongs to its
+    record, a labelled one to ``scope``, by default the record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.struct([(n, pa.string()) for n in "spo"])
         types = [pa.string()] * 5 + [part, part, pa.string()]
         fields = ["elem_id", "g", "s", "p", "o", "s_t", "o_t", "elem_time"]
         shared: dict[str, str] = {}
+        numbers: dict[tuple, int] = {}
         for batch in batches:
             if len(shared) > 50_000:
                 shared.clear()
             rows = []
             for record in batch.to_pylist():
-                local = record.get("prefixes")
-                known = dict(prefixes if local is None else local)  # a map arrives as pairs
+                split = record["file"], record["block"]
+                numbers[split] = numbers.get(split, 0) + 1
+                element = record.get("elem_id") or f"{split[0]}-{split[1]}-{numbers[split]}"
+                local = "common" in record
+                known = _known(record) if local else dict(prefixes)
                 start = known.pop("@base", base)
-                names = shared if local is None else {}
-                reader = RecordReader(record["value"], record["file"], known, start, names)
+                names = {} if local else shared
+                reader = RecordReader(record["value"], record.get("scope") or f"{element}--", known, start, names, element)
                 found = reader.read()
                 time = max((r[3] for r in found if r[0] == DEFAULT_GRAPH and r[2] == GENERATED_AT), default=None)
-                rows.extend((record["elem_id"], *r, time) for r in found)
+                rows.extend((element, *r, time) for r in found)
             columns = list(zip(*rows)) if rows else [()] * len(types)
             for i in (5, 6):
                 columns[i] = [None if t is None else dict(zip("spo", t)) for t in columns[i]]
@@ -267,53 +291,61 @@ def parse_records(records: DataFrame, prefixes: dict[str, str], base: str = "")
 _DIRECTIVE = r"(?i)@?(?:prefix\s+([^\s:]*:)|(base))\s*<([^>]*)>"
 
 
-def declared_prefixes(lines: DataFrame) -> DataFrame:
-    """(file, name, target) of every prefix and base declaration; the base is named ``@base``."""
-    found = lines.where(F.lower(F.ltrim("value")).rlike(r"^@?(prefix|base)\b"))
+def declared_prefixes(records: DataFrame) -> DataFrame:
+    """(file, block, rec, i, name, target) of every prefix and base declaration, in this order within a
+    file; the base is named ``@base``."""
+    found = records.where(F.col("value").rlike(r"(?im)^\s*@?(prefix|base)\b"))
     pairs = F.arrays_zip(
         F.regexp_extract_all("value", F.lit(_DIRECTIVE), 1).alias("n"),
         F.regexp_extract_all("value", F.lit(_DIRECTIVE), 3).alias("v"),
     )
-    one = found.select("file", F.explode(pairs).alias("x"))
+    one = found.select("file", "block", "rec", F.posexplode(pairs).alias("i", "x"))
     name = F.when(F.col("x.n") == "", "@base").otherwise(F.regexp_replace("x.n", ":$", ""))
-    return one.select("file", name.alias("name"), F.col("x.v").alias("target")).distinct()
+    return one.select("file", "block", "rec", "i", name.alias("name"), F.col("x.v").alias("target"))
 
 
-def _with_prefixes(records: DataFrame, lines: DataFrame, prefixes: dict[str, str] | None) -> tuple[DataFrame, dict]:
+def _with_prefixes(records: DataFrame, prefixes: dict[str, str] | None) -> tuple[DataFrame, dict]:
     """Records and the declarations that hold for them.
 
-    Usually all files agree and the declarations go to the tasks as a small map. Files that
-    contradict each other get their own by a join on the file.
+    Usually all files agree and the declarations go to the tasks as a small map. Where a name has
+    several targets, or there are very many names, records get the declarations of their file by a
+    join; for a name its file does not declare, the first file by name that does counts.
     """
     if prefixes is not None:
         return records, prefixes
-    declared = declared_prefixes(lines)
+    declared = declared_prefixes(records)
     rows = declared.select("name", "target").distinct().limit(MAX_PREFIXES + 1).collect()
     if len({r["name"] for r in rows}) == len(rows) <= MAX_PREFIXES:
         return records, {r["name"]: r["target"] for r in rows}
-    per_file = declared.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("prefixes"))
-    return records.join(per_file, "file", "left"), {}
+    at = F.struct("block", "rec", "i", "name", "target")
+    own = declared.groupBy("file").agg(F.sort_array(F.collect_list(at)).alias("own"))
+    first = declared.groupBy("name").agg(F.min_by("target", F.struct("file", "block", "rec", "i")).alias("target"))
+    common = first.agg(F.collect_list(F.struct("name", "target")).alias("common"))
+    return records.join(own, "file", "left").crossJoin(common), {}
 
 
 def _with_source(df: DataFrame) -> DataFrame:
-    """File name, short enough to keep blank nodes of different files apart, and record identity."""
+    """Records with their file (a short name) and split; declarations stay in and yield no rows."""
     path = F.col("_metadata.file_path")
-    return df.select("value", F.concat(F.lit("f"), F.substring(F.md5(path), 1, 12)).alias("file"))
+    rows = df.select(
+        "value", F.concat(F.lit("f"), F.substring(F.md5(path), 1, 12)).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    return rows.where(F.trim("value") != "")
 
 
-def _elements(lines: DataFrame) -> DataFrame:
-    """Records with an identity; declarations stay in and yield no rows."""
-    body = lines.where(F.trim("value") != "")
-    return body.withColumn("elem_id", F.sha2(F.concat("file", F.lit(" "), "value"), 256))
+def _numbered(records: DataFrame) -> DataFrame:
+    """Records of a table with their place in the file, and with an identity that a join keeps."""
+    return records.withColumn("rec", F.monotonically_increasing_id()).withColumn("elem_id", F.concat("file", F.lit("-"), "rec"))
 
 
 def read_elements(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, base: str = "") -> DataFrame:
     """Stream elements from text files with one element per line (first line: declarations).
 
+    An element is read on its own, so a blank node label is one node within it only.
     Given ``prefixes``, the files are read once; without, a first pass looks for the declarations.
     """
-    lines = _with_source(spark.read.text(path))
-    records, known = _with_prefixes(_elements(lines), lines, prefixes)
+    records, known = _with_prefixes(_numbered(_with_source(spark.read.text(path))), prefixes)
     return _timed(parse_records(records, known, base))
 
 
@@ -325,35 +357,36 @@ def _timed(quads: DataFrame) -> DataFrame:
 
 def stream_elements(spark: SparkSession, path: str, prefixes: dict[str, str], base: str = "") -> DataFrame:
     """The same from a growing folder; declarations are given, as a stream has no first pass."""
-    lines = _with_source(spark.readStream.text(path))
-    return _timed(parse_records(_elements(lines), prefixes, base))
+    return _timed(parse_records(_with_source(spark.readStream.text(path)), prefixes, base))
 
 
 def read_dataset(
-    spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, base: str = "", unit: str = "statement"
+    spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, base: str = "", unit: str = "statement",
+    labels: str = "file",
 ) -> DataFrame:
     """Static statements.
 
     ``unit`` is what one task reads at a time: ``line`` (statements that end where the line ends),
     ``statement`` (ends with a dot at the end of a line, no graph blocks across such dots), or
-    ``file`` (anything, as long as single files are small).
+    ``file`` (anything, as long as single files are small). A blank node label is one node in its
+    ``file``, or in the whole ``dataset`` for a folder that was written as one.
     """
-    if unit == "file":
-        records = _with_source(spark.read.text(path, wholetext=True)).withColumn("elem_id", F.col("file"))
-        return parse_records(records, prefixes or {}, base).drop("elem_id", "elem_time").dropDuplicates(["g", "s", "p", "o"])
-    lines = _with_source(spark.read.text(path))
-    separated = lines if unit == "line" else _with_source(spark.read.text(path, lineSep=".\n"))
-    records = _elements(separated)
+    split = {"line": {}, "statement": {"lineSep": ".\n"}, "file": {"wholetext": True}}[unit]
+    records = _numbered(_with_source(spark.read.text(path, **split)))
+    whole = F.concat(F.lit("d"), F.substring(F.md5(F.lit(path)), 1, 12))
+    records = records.withColumn("scope", whole if labels == "dataset" else F.col("file"))
     if unit == "statement":
         records = records.withColumn("value", F.concat("value", F.lit(" .")))
-    records, known = _with_prefixes(records, lines, prefixes)
+    if unit == "file" and prefixes is None:
+        prefixes = {}
+    records, known = _with_prefixes(records, prefixes)
     return parse_records(records, known, base).drop("elem_id", "elem_time").dropDuplicates(["g", "s", "p", "o"])
 
 
 def load_into(quads: DataFrame, loaded: DataFrame, graph: str) -> DataFrame:
-    """LOAD ... INTO GRAPH: every loaded statement goes to one graph."""
-    from quadtide.operators.quads import KEY, TYPED, distinct_quads
+    """LOAD ... INTO GRAPH: every loaded statement, and what it embeds, goes to one graph."""
+    from quadtide.operators.quads import KEY, TYPED, assert_embedded, distinct_quads
 
     cols = [*KEY, *TYPED]
     placed = loaded.withColumn("g", F.lit(graph))
-    return distinct_quads(with_typed(quads).select(*cols).unionByName(with_typed(placed).select(*cols)))
+    return distinct_quads(with_typed(quads).select(*cols).unionByName(assert_embedded(placed).select(*cols)))

@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from quadtide.operators.windows import Ticks, TimeWindow, micros, window_rows
 from quadtide.operators.skew import salted_join
 from quadtide.session import fresh_path
 
+# The time of the row that marks the end of a stream.
+END = "9999-01-01 00:00:00"
+
 
 def stream_window(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks, delay: str) -> DataFrame:
     """Window contents of a stream, watermarked on the evaluation time.
 
     A row reaches ticks up to RANGE + STEP after its own time, so that much is added to the allowed
     delay: a tick is closed once rows ``delay`` older than the newest one can no longer change it.
+    A mark of the end (``with_end``) moves the watermark and is in no window.
     """
     slack = window.width + window.step + micros(delay)
     rows = window_rows(df, ts, window, ticks).drop(ts)
-    return rows.withWatermark("tick", f"{slack} microseconds")
+    return rows.withWatermark("tick", f"{slack} microseconds").where(F.col("tick") < F.lit(END).cast("timestamp"))
+
+
+def end_folder(spark: SparkSession, ts: str = "ts") -> str:
+    """An empty folder for the mark of a stream's end."""
+    path = fresh_path(spark, "end")
+    spark.createDataFrame([], f"`{ts}` timestamp").write.parquet(path)
+    return path
+
+
+def with_end(stream: DataFrame, ends: str, ts: str = "ts") -> DataFrame:
+    """The stream and, once it is written to ``ends``, a row with a time after all others.
+
+    Its other columns are zero or empty rather than NULL, because a join lets no NULL key reach the
+    watermark. Filter the stream before.
+    """
+    marks = stream.sparkSession.readStream.schema(f"`{ts}` timestamp").parquet(ends)
+
+    def blank(t: T.DataType):
+        value = "" if isinstance(t, T.StringType) else 0 if isinstance(t, (T.NumericType, T.BooleanType)) else None
+        return F.lit(value).cast(t)
+
+    marks = marks.select(*[(F.col(ts) if f.name == ts else blank(f.dataType)).alias(f.name) for f in stream.schema])
+    return stream.unionByName(marks)
 
 
 def join_streams(left: DataFrame, right: DataFrame, on: list[str], salts: int = 1) -> DataFrame:
@@ -48,12 +76,6 @@ def minus_stream(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return out.where(F.col("__found").isNull()).drop("__found")
 
 
-def closed_ticks(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks, delay: str) -> Column:
-    """A time up to which every evaluation is surely emitted once the stream has read ``df``."""
-    last = df.agg(F.max(F.unix_micros(ts))).first()[0]
-    return F.timestamp_micros(F.lit(last - micros(delay) - window.step - ticks.every))
-
-
 def start(stream: DataFrame, path: str, checkpoint: str, name: str | None = None, available_now: bool = True) -> DataStreamWriter:
     """Append results to parquet files, exactly once, with progress kept in ``checkpoint``."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
@@ -63,11 +85,18 @@ def start(stream: DataFrame, path: str, checkpoint: str, name: str | None = None
     return writer.trigger(availableNow=True) if available_now else writer
 
 
-def drain(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all data there is and return what it has emitted."""
-    out = fresh_path(spark, f"{label}-out")
-    query = start(stream, out, fresh_path(spark, f"{label}-state")).start()
-    query.awaitTermination()
+def drain(spark: SparkSession, stream: DataFrame, label: str, ends: str | None = None, ts: str = "ts") -> DataFrame:
+    """Run a stream over all data there is and return what it has emitted.
+
+    With ``ends`` the stream is over then: a second run from the same state reads the mark of the end,
+    and the evaluations that were still open come out.
+    """
+    out, state = fresh_path(spark, f"{label}-out"), fresh_path(spark, f"{label}-state")
+    start(stream, out, state).start().awaitTermination()
+    if ends is not None:
+        mark = spark.range(1).select(F.lit(END).cast("timestamp").alias(ts))
+        mark.write.mode("append").parquet(ends)
+        start(stream, out, state).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
