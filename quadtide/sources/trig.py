@@ -292,16 +292,16 @@ _DIRECTIVE = r"(?i)@?(?:prefix\s+([^\s:]*:)|(base))\s*<([^>]*)>"
 
 
 def declared_prefixes(records: DataFrame) -> DataFrame:
-    """(file, block, rec, i, name, target) of every prefix and base declaration, in this order within a
+    """(path, file, block, rec, i, name, target) of every prefix and base declaration, in this order within a
     file; the base is named ``@base``."""
     found = records.where(F.col("value").rlike(r"(?im)^\s*@?(prefix|base)\b"))
     pairs = F.arrays_zip(
         F.regexp_extract_all("value", F.lit(_DIRECTIVE), 1).alias("n"),
         F.regexp_extract_all("value", F.lit(_DIRECTIVE), 3).alias("v"),
     )
-    one = found.select("file", "block", "rec", F.posexplode(pairs).alias("i", "x"))
+    one = found.select("path", "file", "block", "rec", F.posexplode(pairs).alias("i", "x"))
     name = F.when(F.col("x.n") == "", "@base").otherwise(F.regexp_replace("x.n", ":$", ""))
-    return one.select("file", "block", "rec", "i", name.alias("name"), F.col("x.v").alias("target"))
+    return one.select("path", "file", "block", "rec", "i", name.alias("name"), F.col("x.v").alias("target"))
 
 
 def _with_prefixes(records: DataFrame, prefixes: dict[str, str] | None) -> tuple[DataFrame, dict]:
@@ -311,15 +311,15 @@ def _with_prefixes(records: DataFrame, prefixes: dict[str, str] | None) -> tuple
     several targets, or there are very many names, records get the declarations of their file by a
     join; for a name its file does not declare, the first file by name that does counts.
     """
+    declared, records = declared_prefixes(records), records.drop("path")
     if prefixes is not None:
         return records, prefixes
-    declared = declared_prefixes(records)
     rows = declared.select("name", "target").distinct().limit(MAX_PREFIXES + 1).collect()
     if len({r["name"] for r in rows}) == len(rows) <= MAX_PREFIXES:
         return records, {r["name"]: r["target"] for r in rows}
     at = F.struct("block", "rec", "i", "name", "target")
     own = declared.groupBy("file").agg(F.sort_array(F.collect_list(at)).alias("own"))
-    first = declared.groupBy("name").agg(F.min_by("target", F.struct("file", "block", "rec", "i")).alias("target"))
+    first = declared.groupBy("name").agg(F.min_by("target", F.struct("path", "block", "rec", "i")).alias("target"))
     common = first.agg(F.collect_list(F.struct("name", "target")).alias("common"))
     return records.join(own, "file", "left").crossJoin(common), {}
 
@@ -328,7 +328,7 @@ def _with_source(df: DataFrame) -> DataFrame:
     """Records with their file (a short name) and split; declarations stay in and yield no rows."""
     path = F.col("_metadata.file_path")
     rows = df.select(
-        "value", F.concat(F.lit("f"), F.substring(F.md5(path), 1, 12)).alias("file"),
+        "value", path.alias("path"), F.concat(F.lit("f"), F.substring(F.md5(path), 1, 12)).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     )
     return rows.where(F.trim("value") != "")
@@ -357,7 +357,7 @@ def _timed(quads: DataFrame) -> DataFrame:
 
 def stream_elements(spark: SparkSession, path: str, prefixes: dict[str, str], base: str = "") -> DataFrame:
     """The same from a growing folder; declarations are given, as a stream has no first pass."""
-    return _timed(parse_records(_with_source(spark.readStream.text(path)), prefixes, base))
+    return _timed(parse_records(_with_source(spark.readStream.text(path)).drop("path"), prefixes, base))
 
 
 def read_dataset(

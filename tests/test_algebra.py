@@ -124,6 +124,26 @@ def test_construct_blank_nodes_per_solution(spark):
     assert sorted(len(v) for v in by_node.values()) == [1, 2]
 
 
+def test_construct_from_equal_solutions(spark):
+    sol = spark.createDataFrame([("<http://a>",)] * 3, "s string")
+    assert f.construct(sol, [("_:n", "<http://p>", "?s")]).count() == 3
+
+
+def test_inserted_statements_bring_what_they_embed(spark):
+    quads = spark.createDataFrame([("g", "<s>", "<p>", "<o>")], "g string, s string, p string, o string")
+    more = spark.createDataFrame([("g", "<< <http://a> <http://b> <http://c> >>", "<http://d>", "<http://e>")], quads.schema)
+    assert ("g", "<http://a>", "<http://b>", "<http://c>") in rows(f.insert_data(quads, more))
+    both = f.modify(quads, more.select("s"), insert=[("<http://x>", "<http://y>", "?s")], with_graph="g")
+    assert ("g", "<http://a>", "<http://b>", "<http://c>") in rows(both) and both.count() == 3
+
+
+def test_places_in_an_order(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"))
+    got = g.numbered(df.repartition(5), F.col("x").desc())
+    assert got.count() == 1000 and got.where("x + position != 1000").count() == 0
+    assert g.numbered(df.limit(0), F.col("x")).count() == 0
+
+
 def test_updates(spark):
     quads = spark.createDataFrame([("g", "<s>", "<p>", "<o>"), ("h", "<s>", "<p>", "<x>")], "g string, s string, p string, o string")
     swap = f.modify(quads, quads.where("g = 'g'").select("s", "o"), [("?s", "<p>", "?o")], [("?o", "<p>", "?s")], with_graph="g")

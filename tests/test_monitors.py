@@ -9,6 +9,7 @@ from quadtide import vocab
 from quadtide.functions import uncertainty as u
 from quadtide.operators.windows import Ticks, TimeWindow, instant
 from quadtide.plans import monitoring as m
+from quadtide.operators.patterns import Pattern
 from quadtide.plans import observations as o
 from quadtide.sources import trig
 from tests.conftest import rows
@@ -145,6 +146,19 @@ def test_readings_differ_from_statements(spark, files, reverse):
     assert rows(kept, "value1", "value2") == rows(out.where("p1 >= 0.6 or p2 >= 0.6"), "value1", "value2")
 
 
+def test_equal_statements_count_once_and_different_ones_each(spark):
+    """A position left open: statements that differ there are different solutions, repeated ones are not."""
+    lines = [("e1", 0, "<a>"), ("e2", 1, "<a>"), ("e3", 1, "<b>")]
+    df = spark.createDataFrame([(e, t, "<g>", "<s>", "<p>", x) for e, t, x in lines], "elem_id string, sec int, g string, s string, p string, o string")
+    stream = df.withColumn("elem_ts", F.timestamp_micros(F.lit(START) + F.col("sec") * 1_000_000))
+    window, ticks = TimeWindow.of("PT5S", "PT1S", START), Ticks.at(START, "PT1S", 4)
+    from quadtide.operators.windows import unfold
+
+    for pattern, n in ((Pattern("?s", "<p>", None, "?g"), 2), (Pattern("?s", "<p>", "?o", "?g"), 2), (Pattern("?s", "<p>", "<a>"), 1)):
+        got = unfold(o.window_pattern(stream, [pattern], window, ticks), ticks)
+        assert got.where(F.unix_micros("tick") == START + 2_000_000).count() == n
+
+
 def test_statements_in_different_elements_meet_in_the_window(spark):
     """The value and its place come in two elements; only ticks that see both give a row."""
     lines = [

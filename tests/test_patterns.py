@@ -44,8 +44,8 @@ def test_embedded_pattern_same_graph(spark):
     data = [("g1", e, Y, '"m"'), ("g1", X, Y, X), ("g2", e, Y, '"n"')]
     quads = spark.createDataFrame(data, "g string, s string, p string, o string")
     pattern = Pattern(Quoted("?a", "?b", "?c", ref="?t"), "?d", "?m", "?g")
-    assert p.match(quads, pattern).count() == 2
-    assert rows(p.match(quads, pattern, asserted=True), "g", "t") == [("g1", e)]
+    assert p.match(quads, pattern, asserted=False).count() == 2
+    assert rows(p.match(quads, pattern), "g", "t") == [("g1", e)]
     both = Pattern(Quoted(Quoted("?a", None, None), None, None), None, "?m")
     assert p.match(quads, both).count() == 0
 
@@ -55,7 +55,19 @@ def test_reified_and_back(spark):
     quads = spark.createDataFrame([("g", e, Y, '"m"'), ("g", e, X, '"n"'), ("g", X, Y, X)], "g string, s string, p string, o string")
     plain = p.reify(quads)
     assert plain.count() == 3 + 4
-    assert rows(p.unreify(plain), "s", "p", "o") == sorted([(e, Y, '"m"'), (e, X, '"n"')])
+    assert rows(p.unreify(plain), "s", "p", "o") == rows(quads, "s", "p", "o")
+
+
+def test_reified_objects_and_other_statements_come_back(spark):
+    e = f"<< {X} {Y} {X} >>"
+    data = [("g", X, Y, e), ("g", e, Y, e), ("g", X, Y, X), ("g", Y, vocab.RDF_TYPE, X), ("h", X, Y, e), ("g", "_:n", vocab.RDF_SUBJECT, X)]
+    quads = spark.createDataFrame(data, "g string, s string, p string, o string")
+    plain = p.reify(quads)
+    assert plain.count() == 6 + 2 * 4
+    assert plain.where(terms.is_triple(F.col("s")) | terms.is_triple(F.col("o"))).count() == 0
+    back = p.unreify(plain)
+    assert rows(back, "g", "s", "p", "o") == sorted(data)
+    assert back.where("o_t is not null").count() == 3
 
 
 def test_graph_variable_sees_named_graphs_only(spark):

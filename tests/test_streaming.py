@@ -51,6 +51,19 @@ def test_elements_from_a_growing_folder(spark, tmp_path):
     assert {str(r.elem_ts) for r in got.collect()} == {"2024-01-01 00:00:00"}
 
 
+def test_the_end_of_a_stream_closes_every_tick(spark, tmp_path):
+    window, ticks = w.TimeWindow.of("PT10S", "PT5S", T0), w.Ticks.at(T0, "PT5S")
+    for seconds in (range(0, 60, 2), ()):
+        source = tmp_path / f"in{len(seconds)}"
+        write(spark, source, "a", seconds)
+        ends = runner.end_folder(spark)
+        stream = spark.readStream.schema("ts timestamp, n long").parquet(str(source))
+        side = lambda: runner.stream_window(runner.with_end(stream, ends), "ts", window, ticks, "PT5S")
+        counts = runner.drain(spark, side().groupBy("tick").agg(F.count(F.lit(1)).alias("n")), "counts", ends)
+        batch = w.window_rows(spark.read.parquet(str(source)), "ts", window, ticks)
+        assert rows(counts, "tick", "n") == rows(batch.groupBy("tick").agg(F.count(F.lit(1)).alias("n")), "tick", "n")
+
+
 def test_table_files_per_batch(spark, tmp_path):
     source = tmp_path / "in"
     write(spark, source, "a", range(4))
