@@ -97,12 +97,16 @@ class Uncertain:
 
 @dataclass(frozen=True)
 class Kind:
-    """What a distribution family has to say: validity, P(X <= k), and shifting by a number."""
+    """What a distribution family has to say: validity, P(X <= k), and shifting by a number.
+
+    ``draw(rng, a, b, n)`` gives ``n`` samples from a numpy generator, where the family can be sampled.
+    """
 
     valid: Callable[[Column, Column], Column]
     cdf: Callable[[Column, Column, Column], Column]
     shift: Callable[[Column, Column, Column], Params]
     args: int = 2
+    draw: Callable | None = None
 
 
 def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
@@ -135,11 +139,13 @@ KINDS: dict[str, Kind] = {
         valid=lambda a, b: a.isNotNull() & (b > 0),
         cdf=lambda a, b, k: phi((k - a) / F.sqrt(b)),
         shift=lambda a, b, k: (a + k, b),
+        draw=lambda rng, a, b, n: rng.normal(a, b**0.5, n),
     ),
     UNIFORM: Kind(
         valid=lambda a, b: a < b,
         cdf=lambda a, b, k: _clip01((k - a) / (b - a)),
         shift=lambda a, b, k: (a + k, b + k),
+        draw=lambda rng, a, b, n: rng.uniform(a, b, n),
     ),
 }
 
@@ -340,15 +346,11 @@ def fuzzy_implies(a: Column, b: Column) -> Column:
 def sampled_less_than(samples: int = 10_000, seed: int = 7):
     """Monte-Carlo P(X < Y) over two distribution structs, for families without a closed form.
 
-    The generator is seeded from the arguments, so a retried task gives the same number.
+    Every family known when this is called can be sampled if it has a ``draw``; a number is itself. The
+    generator is seeded from the arguments, so a retried task gives the same number.
     """
-
-    def draw(rng, kind, a, b):
-        if kind == NORMAL:
-            return rng.normal(a, math.sqrt(b), samples)
-        if kind == UNIFORM:
-            return rng.uniform(a, b, samples)
-        return None
+    draws = {name: rule.draw for name, rule in KINDS.items() if rule.draw}
+    draws[POINT] = lambda rng, a, b, n: np.full(n, a)
 
     @F.pandas_udf("double")
     def estimate(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
@@ -359,8 +361,11 @@ def sampled_less_than(samples: int = 10_000, seed: int = 7):
                 continue
             key = np.frombuffer(np.array([l.a, l.b, r.a, r.b], dtype="float64").tobytes(), dtype="uint32")
             rng = np.random.default_rng([seed, ord(l.kind), ord(r.kind), *key.tolist()])
-            left, right = draw(rng, *l), draw(rng, *r)
-            out.append(None if left is None or right is None else float((left < right).mean()))
+            if l.kind not in draws or r.kind not in draws:
+                out.append(None)
+                continue
+            left, right = (draws[v.kind](rng, v.a, v.b, samples) for v in (l, r))
+            out.append(float((left < right).mean()))
         return pd.Series(out, dtype="float64")
 
     return estimate

@@ -1,8 +1,10 @@
 """Solutions algebra. A solution is a row, a variable a column, unbound is NULL.
 
 Shared variables that may be unbound on the left are named in ``maybe``, on the right in
-``maybe_right`` (by default the same). Each side is split by which of them are bound, and every pair
-of parts is an ordinary equi-join: no nested loop over NULLs.
+``maybe_right`` (by default the same). Which of them a row binds is a code, and a row is keyed once
+for every code the other side may have, so one equi-join over one pass of each side finds all
+compatible pairs. Rows without a key left are spread over slices: no nested loop over NULLs, and no
+broadcast of a side of unknown size.
 """
 
 from __future__ import annotations
@@ -13,25 +15,16 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadtide.operators.patterns import conjunction, cross, join_solutions
+from quadtide.operators.patterns import conjunction, join_solutions
+
+#: Parts in which the left rows without a key are joined; every part sees all right rows without one.
+SLICES = 32
 
 
 def _shared(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in right.columns]
 
 
-def _bound(maybe: list[str], flags: tuple[bool, ...]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(c).isNotNull() if f else F.col(c).isNull() for c, f in zip(maybe, flags)], F.lit(True)
-    )
-
-
-def _parts(df: DataFrame, maybe: list[str]):
-    """The table by which of the variables are unbound, with the set of those."""
-    for flags in product((True, False), repeat=len(maybe)):
-        yield df.where(_bound(maybe, flags)) if maybe else df, {c for c, f in zip(maybe, flags) if not f}
-
-
 def _sides(left: DataFrame, right: DataFrame, maybe: list[str] | None, maybe_right: list[str] | None):
     """Shared variables, and which of them may be unbound on the left and on the right."""
     shared = _shared(left, right)
@@ -40,8 +33,46 @@ def _sides(left: DataFrame, right: DataFrame, maybe: list[str] | None, maybe_rig
     return shared, on_left, on_right
 
 
-def _keys(shared: list[str], left_unbound: set[str], right_unbound: set[str]) -> list[str]:
-    return [c for c in shared if c not in left_unbound and c not in right_unbound]
+def _keyed(df: DataFrame, keys: list[str], own: list[str], other: list[str], side: str, bare: bool = False, met: bool = False) -> DataFrame:
+    """Rows with key columns, a copy for every set of variables the other side may lack.
+
+    ``own`` and ``other`` are the keys that this and the other side may lack. ``bare`` leaves the key
+    columns only, each combination once. ``met`` drops copies that have no key left.
+    """
+    code = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(own)], F.lit(0))
+    out = df.withColumn(f"{side}own", code)
+    codes = F.explode(F.sequence(F.lit(0), F.lit((1 << len(other)) - 1))) if other else F.lit(0)
+    out = out.withColumn(f"{side}other", codes)
+
+    def lacking(c: str) -> Column:
+        return F.col(f"{side}other").bitwiseAND(F.lit(1 << other.index(c))) != 0
+
+    out = out.withColumns({f"{side}k_{c}": F.when(~lacking(c), F.col(c)) if c in other else F.col(c) for c in keys})
+    unkeyed = F.lit(True)
+    for c in keys:
+        unkeyed = unkeyed & ((F.col(c).isNull() if c in own else F.lit(False)) | (lacking(c) if c in other else F.lit(False)))
+    out = out.withColumn(f"{side}unkeyed", unkeyed)
+    if met:
+        out = out.where(~F.col(f"{side}unkeyed"))
+    if bare:
+        out = out.select(*[c for c in out.columns if c.startswith(side)]).distinct()
+    if any(c not in own and c not in other for c in keys):
+        part = F.lit(0)  # there is always a key
+    elif side == "__l_":
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES)).cast("int") if df.columns else F.lit(0)
+        part = F.when(F.col(f"{side}unkeyed"), part).otherwise(0)
+    else:
+        every = F.sequence(F.lit(0), F.lit(SLICES - 1))
+        part = F.explode(F.when(F.col(f"{side}unkeyed"), every).otherwise(F.array(F.lit(0))))
+    return out.withColumn(f"{side}part", part)
+
+
+def _on(keys: list[str], maybe: list[str]) -> Column:
+    on = (F.col("__l_own") == F.col("__r_other")) & (F.col("__l_other") == F.col("__r_own")) & (F.col("__l_part") == F.col("__r_part"))
+    for c in keys:
+        l, r = F.col(f"__l_k_{c}"), F.col(f"__r_k_{c}")
+        on = on & (l.eqNullSafe(r) if c in maybe else l == r)
+    return on
 
 
 def join(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
@@ -49,17 +80,42 @@ def join(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, mayb
     shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
     if not on_left and not on_right:
         return join_solutions(left, right)
-    out = []
-    columns = [*left.columns, *[c for c in right.columns if c not in shared]]
-    for l, l_unbound in _parts(left, on_left):
-        for r, r_unbound in _parts(right, on_right):
-            keys = _keys(shared, l_unbound, r_unbound)
-            loose = [c for c in shared if c not in keys]
-            r = r.withColumnsRenamed({c: f"__r_{c}" for c in loose})
-            pair = l.join(r, keys, "inner") if keys else cross(l, r)
-            filled = [F.coalesce(F.col(c), F.col(f"__r_{c}")).alias(c) if c in loose else F.col(c) for c in columns]
-            out.append(pair.select(*filled))
-    return reduce(DataFrame.unionByName, out)
+    loose = [*on_left, *on_right]
+    l = _keyed(left, shared, on_left, on_right, "__l_")
+    r = _keyed(right, shared, on_right, on_left, "__r_").withColumnsRenamed({c: f"__v_{c}" for c in shared})
+    filled = [F.coalesce(F.col(c), F.col(f"__v_{c}")).alias(c) if c in loose else F.col(c) for c in left.columns]
+    return l.join(r, _on(shared, loose), "inner").select(*filled, *[c for c in right.columns if c not in shared])
+
+
+def _against(
+    left: DataFrame, right: DataFrame, keys: list[str], loose: list[str], how: str, condition: Column | None = None, met: bool = False
+) -> DataFrame:
+    """Left rows, which may lack ``loose`` keys, with right rows that have all of them.
+
+    In the condition a key means the right side's value, which is the merged one; the left side's goes
+    by ``__v_`` and the name.
+    """
+    bare = condition is None and how in ("left_anti", "left_semi")
+    l = _keyed(left, keys, loose, [], "__l_").withColumnsRenamed({c: f"__v_{c}" for c in keys})
+    r = _keyed(right, keys, [], loose, "__r_", bare and set(keys) == set(loose), met)
+    on = _on(keys, loose)
+    return l.join(r, on if condition is None else on & condition, how)
+
+
+def _filtered(left, right, shared, on_left, unbound, how, condition=None, met=False) -> DataFrame:
+    """Left rows with or without a partner among the right rows that lack exactly ``unbound``."""
+    keys = [c for c in shared if c not in unbound]
+    kept = _against(left, right.drop(*unbound), keys, [c for c in keys if c in on_left], how, condition, met)
+    return kept.select(*[F.col(f"__v_{c}").alias(c) if c in keys else F.col(c) for c in left.columns])
+
+
+def _by_unbound(df: DataFrame, maybe: list[str]):
+    """The table by which of the variables are unbound, with those."""
+    for flags in product((False, True), repeat=len(maybe)):
+        part = df
+        for c, missing in zip(maybe, flags):
+            part = part.where(F.col(c).isNull() if missing else F.col(c).isNotNull())
+        yield part, [c for c, missing in zip(maybe, flags) if missing]
 
 
 def optional(
@@ -68,18 +124,15 @@ def optional(
 ) -> DataFrame:
     """Left join; ``condition`` is the filter inside the OPTIONAL and may use both sides."""
     shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
-    if not shared:
-        return left.join(right, F.lit(True) if condition is None else condition, "left")
-    if on_left or on_right:
-        if condition is not None:
-            raise ValueError("an inner filter with unbound shared variables: filter the right side first")
-        unmatched = not_exists(left, right, on_left, on_right)
-        return join(left, right, on_left, on_right).unionByName(unmatched, allowMissingColumns=True)
-    if condition is None:
+    if on_right:
+        both = join(left, right, on_left, on_right)
+        both = both if condition is None else both.where(condition)
+        return both.unionByName(_lacking(left, right, shared, on_left, on_right, condition), allowMissingColumns=True)
+    if shared and not on_left and condition is None:
         return left.join(right, shared, "left")
-    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
-    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__r_{c}") for c in shared])
-    return left.join(renamed, on & condition, "left").drop(*[f"__r_{c}" for c in shared])
+    found = _against(left, right, shared, on_left, "left", condition)
+    own = [F.coalesce(F.col(f"__v_{c}"), F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns]
+    return found.select(*own, *[c for c in right.columns if c not in shared])
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -87,15 +140,18 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _lacking(left, right, shared, on_left, on_right, condition=None, met=False) -> DataFrame:
+    for part, unbound in _by_unbound(right, on_right):
+        left = _filtered(left, part, shared, on_left, unbound, "left_anti", condition, met)
+    return left
+
+
 def not_exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, maybe_right: list[str] | None = None) -> DataFrame:
     """Left solutions without a compatible right solution."""
     shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
-    out = []
-    for l, l_unbound in _parts(left, on_left):
-        for r, r_unbound in _parts(right, on_right):
-            l = _anti(l, r, _keys(shared, l_unbound, r_unbound))
-        out.append(l)
-    return reduce(DataFrame.unionByName, out)
+    if not on_left and not on_right:
+        return _anti(left, right, shared)
+    return _lacking(left, right, shared, on_left, on_right)
 
 
 def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,11 +172,9 @@ def exists(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, ma
     if not on_left and not on_right:
         return _semi(left, right, shared)
     out = []
-    for l, l_unbound in _parts(left, on_left):
-        for r, r_unbound in _parts(right, on_right):
-            keys = _keys(shared, l_unbound, r_unbound)
-            out.append(_semi(l, r, keys))
-            l = _anti(l, r, keys)
+    for part, unbound in _by_unbound(right, on_right):
+        out.append(_filtered(left, part, shared, on_left, unbound, "left_semi"))
+        left = _filtered(left, part, shared, on_left, unbound, "left_anti")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -129,14 +183,9 @@ def minus(left: DataFrame, right: DataFrame, maybe: list[str] | None = None, may
     shared, on_left, on_right = _sides(left, right, maybe, maybe_right)
     if not shared:
         return left
-    out = []
-    for l, l_unbound in _parts(left, on_left):
-        for r, r_unbound in _parts(right, on_right):
-            keys = _keys(shared, l_unbound, r_unbound)
-            if keys:
-                l = _anti(l, r, keys)
-        out.append(l)
-    return reduce(DataFrame.unionByName, out)
+    if not on_left and not on_right:
+        return _anti(left, right, shared)
+    return _lacking(left, right, shared, on_left, on_right, met=True)
 
 
 def values(spark: SparkSession, variables: dict[str, str], rows: list[tuple]) -> DataFrame:

@@ -212,6 +212,30 @@ def _e4_twice(t: Tables):
     return a.optional(first, second, maybe=["id"], maybe_right=[])
 
 
+@query(
+    "E4_optional_filter_unbound",
+    """WITH l AS (SELECT c_custkey AS c, c_acctbal AS balance, o_orderkey AS id FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey),
+ r AS (SELECT o_custkey AS c, o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderpriority = '1-URGENT')
+ SELECT l.c, coalesce(l.id, r.id) AS id, r.price FROM l LEFT JOIN r ON l.c = r.c AND (l.id = r.id OR l.id IS NULL) AND r.price > l.balance * 20""",
+)
+def _e4_filter_unbound(t: Tables):
+    customer, orders = _customer_orders(t)
+    first = a.optional(customer, orders.where(F.col("o_orderstatus") == "P")).select("c", "balance", "id")
+    urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT")
+    second = urgent.select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return a.optional(first, second, F.col("price") > F.col("balance") * 20, ["id"], []).select("c", "id", "price")
+
+
+@query(
+    "E4_optional_unrelated",
+    "SELECT s_suppkey, n_nationkey FROM supplier LEFT JOIN nation ON n_nationkey > 20 AND n_nationkey * 400 > s_acctbal",
+)
+def _e4_unrelated(t: Tables):
+    nations = t.nation.where(F.col("n_nationkey") > 20).select("n_nationkey")
+    closer = F.col("n_nationkey") * 400 > F.col("s_acctbal")
+    return a.optional(t.supplier.select("s_suppkey", "s_acctbal"), nations, closer).select("s_suppkey", "n_nationkey")
+
+
 @query(
     "E5_union",
     """SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS balance FROM customer WHERE c_nationkey < 5

@@ -158,6 +158,29 @@ def _j13(t: Tables):
     return out.select("q", "lines", (F.abs(F.col("p") - exact) < 0.02).alias("close"))
 
 
+@query(
+    "J13_sampled_new_family",
+    """SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(count(*) AS BIGINT) AS lines,
+ 1 - (exp(-20.0 / CAST(l_quantity AS DOUBLE)) - exp(-30.0 / CAST(l_quantity AS DOUBLE))) * CAST(l_quantity AS DOUBLE) / 10.0 > 0.5 AS likely,
+ true AS close FROM lineitem GROUP BY l_quantity""",
+)
+def _j13_new(t: Tables):
+    # P(X < Y) of X ~ E(1/q), a registered family without a closed form here, and Y ~ U(20, 30).
+    q = F.col("q")
+    rows = t.lineitem.select(F.col("l_quantity").cast("double").alias("q"))
+    x = F.struct(F.lit("E").alias("kind"), (1 / q).alias("a"), F.lit(None).cast("double").alias("b"))
+    y = F.struct(F.lit("U").alias("kind"), F.lit(20.0).alias("a"), F.lit(30.0).alias("b"))
+    _register_exponential()
+    try:
+        estimate = u.sampled_less_than()(x, y)
+    finally:
+        u.KINDS.pop("E")
+    sampled = u.memoised(rows, ["q"], "p", estimate)
+    exact = 1 - (F.exp(-20.0 / q) - F.exp(-30.0 / q)) * q / 10.0
+    out = sampled.groupBy("q").agg(F.count(F.lit(1)).alias("lines"), F.max("p").alias("p"))
+    return out.select("q", "lines", (exact > 0.5).alias("likely"), (F.abs(F.col("p") - exact) < 0.02).alias("close"))
+
+
 @query("J14_memoised_evaluation", f"SELECT l_orderkey AS o, l_linenumber AS n, round({s.phi('((l_quantity - 25) / 7.0)')}, 6) AS p FROM lineitem")
 def _j14(t: Tables):
     p = F.round(u.less_or_equal(u.normal(25.0, 49.0), F.col("q")), 6)
@@ -217,6 +240,7 @@ def _register_exponential() -> None:
         cdf=lambda a, b, k: F.when(k <= 0, 0.0).otherwise(1.0 - F.exp(-a * k)),
         shift=lambda a, b, k: (F.lit(None).cast("double"), F.lit(None).cast("double")),
         args=1,
+        draw=lambda rng, a, b, n: rng.exponential(1.0 / a, n),
     ))
 
 

@@ -41,6 +41,40 @@ def test_unbound_shared_variables(spark):
         assert a.optional(L, R, maybe=maybe).count() == len(merged) + len(everyone - matched)
 
 
+def test_optional_with_inner_filter_and_unbound_variables(spark):
+    value = lambda l, r, c: l[c] if l[c] is not None else r[c]
+    for shared, maybe, right_maybe in ((["k", "x", "y"], ["x", "y"], ["x", "y"]), (["x", "y"], ["x", "y"], ["y"]), (["x"], ["x"], [])):
+        left, right, L, R = _tables(spark, 5)
+        bound = [c for c in shared if c not in right_maybe]
+        right = [r for r in right if all(r[c] is not None for c in bound)]
+        R = R.where(" AND ".join(f"{c} IS NOT NULL" for c in bound) or "true")
+        expected = []
+        for l in left:
+            found = [
+                (*(value(l, r, c) for c in shared), l["l"], r["r"]) for r in right
+                if compatible(l, r, shared) and r["r"] > l["l"] - 4 and value(l, r, "x") is not None and value(l, r, "x") > 1
+            ]
+            expected += found or [(*(l[c] for c in shared), l["l"], None)]
+        got = a.optional(L.select(*shared, "l"), R.select(*shared, "r"), (F.col("r") > F.col("l") - 4) & (F.col("x") > 1), maybe, right_maybe)
+        key = lambda t: tuple((v is None, str(v)) for v in t)
+        assert sorted((tuple(r) for r in got.select(*shared, "l", "r").collect()), key=key) == sorted(expected, key=key)
+
+
+def test_optional_without_shared_variables_broadcasts_nothing_unchecked(spark):
+    left, right = spark.range(6).withColumnRenamed("id", "l"), spark.range(4).withColumnRenamed("id", "r")
+    got = a.optional(left, right, F.col("r") > F.col("l"))
+    assert rows(got, "l", "r") == sorted(
+        [(l, r) for l in range(6) for r in range(4) if r > l] + [(l, None) for l in range(3, 6)], key=lambda t: tuple((v is None, str(v)) for v in t)
+    )
+    assert a.optional(left, right.where("false")).count() == 6
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_minus_needs_a_shared_bound_variable(spark):
     for seed in range(3):
         left, right, _, _ = _tables(spark, seed)

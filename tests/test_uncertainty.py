@@ -87,6 +87,22 @@ def test_closed_forms_agree_with_sampling(spark):
         assert r.s == r.again
 
 
+def test_registered_family_is_sampled(spark):
+    u.register_kind("T", u.Kind(
+        valid=lambda a, b: a < b, cdf=lambda a, b, k: F.lit(None).cast("double"), shift=lambda a, b, k: (a + k, b + k),
+        draw=lambda rng, a, b, n: rng.triangular(a, (a + b) / 2, b, n),
+    ))
+    try:
+        sampled = u.sampled_less_than(20_000)
+    finally:
+        u.KINDS.pop("T")
+    df = spark.createDataFrame([("T", 0.0, 2.0, "K", 1.0), ("T", 0.0, 2.0, "K", 0.5), ("?", 0.0, 2.0, "K", 0.5)], "xk string, xa double, xb double, yk string, ya double")
+    x = F.struct(F.col("xk").alias("kind"), F.col("xa").alias("a"), F.col("xb").alias("b"))
+    y = F.struct(F.col("yk").alias("kind"), F.col("ya").alias("a"), F.lit(None).cast("double").alias("b"))
+    half, eighth, none = [r.p for r in df.select(sampled(x, y).alias("p")).collect()]
+    assert abs(half - 0.5) < 0.012 and abs(eighth - 0.125) < 0.012 and none is None
+
+
 def test_memoised_keeps_every_row(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
     got = u.memoised(df, ["k"], "twice", F.col("k") * 2).orderBy("v").collect()
