@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadtide.functions import terms
-from quadtide.vocab import XSD
+from quadtide.vocab import LANG_STRING, XSD
 
 
 def _lit(x) -> Column:
@@ -37,22 +37,45 @@ def not_(a: Column) -> Column:
     return ~a
 
 
+DURATIONS = tuple(XSD + n for n in ("duration", "dayTimeDuration", "yearMonthDuration"))
+#: No zone is further from UTC than this.
+FURTHEST_ZONE = 14 * 3600
+
+
+def _compare_moments(test, left: Column, right: Column) -> Column:
+    """Two times of one type. One with a zone and one without compare only if no zone could matter."""
+    zoned = [F.regexp(terms.lex(x), F.lit(r"(?:Z|[+-][0-9]{2}:[0-9]{2})$")) for x in (left, right)]
+    a, b = terms.moment(left), terms.moment(right)
+    apart = F.abs(F.unix_micros(a) - F.unix_micros(b)) > FURTHEST_ZONE * 1_000_000
+    return F.when((terms.datatype(left) == terms.datatype(right)) & ((zoned[0] == zoned[1]) | apart), test(a, b))
+
+
 def compare_terms(left: Column, op: str, right: Column) -> Column:
-    """``= != < > <= >=`` over terms: by value inside one value space, an error across spaces."""
+    """``= != < > <= >=`` over terms: by value inside one value space, an error across spaces.
+
+    Dates and times with zone are spaces of their own, and so are the two kinds of durations.
+    Strings with a language are equal or not, but have no order.
+    """
     ops = {
         "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
         ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
     }
     test = ops[op]
     out = F.coalesce(
-        test(terms.num(left), terms.num(right)), test(terms.moment(left), terms.moment(right)),
+        test(terms.num(left), terms.num(right)), _compare_moments(test, left, right),
         test(terms.boolean(left), terms.boolean(right)),
         F.when((terms.datatype(left) == XSD + "string") & (terms.datatype(right) == XSD + "string"), test(terms.lex(left), terms.lex(right))),
+        F.when(
+            terms.datatype(left).isin(*DURATIONS) & terms.datatype(right).isin(*DURATIONS),
+            test(compare_durations(terms.lex(left), terms.lex(right)), F.lit(0)),
+        ),
     )
     if op in ("=", "!="):
         same = left == right
-        # Terms of other kinds are equal when identical; two different literals cannot be told apart.
-        known = same | ~(terms.is_literal(left) & terms.is_literal(right))
+        # Terms of other kinds are equal when identical; of two different literals that is known only
+        # if both have a language.
+        tagged = (terms.datatype(left) == LANG_STRING) & (terms.datatype(right) == LANG_STRING)
+        known = same | tagged | ~(terms.is_literal(left) & terms.is_literal(right))
         out = F.coalesce(out, F.when(known, same if op == "=" else ~same))
     return out
 

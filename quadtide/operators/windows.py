@@ -221,10 +221,16 @@ def sliding_aggregate(
         names = [f"__{name}_{i}" for i in range(len(cols))]
         partial += [c.alias(n) for c, n in zip(cols, names)]
         final.append(merge([F.col(n) for n in names]).alias(name))
-    panes = spans(df, ts, window, ticks).groupBy(*keys, LO, HI).agg(*partial)
+    seen = df if LO in df.columns else spans(df, ts, window, ticks)
+    panes = seen.groupBy(*keys, LO, HI).agg(*partial)
     return unfold(panes, ticks).groupBy("tick", *keys).agg(*final)
 
 
+def everywhere(static: DataFrame, ticks: Ticks) -> DataFrame:
+    """Background rows in span form: every tick sees them."""
+    return static.withColumns({LO: F.lit(0).cast("long"), HI: F.lit(ticks.count - 1).cast("long")}).where(f"{LO} <= {HI}")
+
+
 def at_ticks(static: DataFrame, ticks: Ticks) -> DataFrame:
     """Background rows seen at every tick."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ticks.count - 1).cast("long")))

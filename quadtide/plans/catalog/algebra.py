@@ -324,6 +324,24 @@ def _e10(t: Tables):
     return w.unfold(both.where(F.col("v_first") < F.col("v_second")), ticks).select("tick", "first", "second")
 
 
+@query(
+    "E11_term_join",
+    """SELECT p_partkey, n_name, p_size % 2 = 0 AS same_term FROM part JOIN nation ON p_size = n_nationkey""",
+)
+def _e11_join(t: Tables):
+    # Joins compare terms: an odd size, written as a decimal, meets the integer by value only.
+    size = F.col("p_size").cast("string")
+    written = F.when(F.col("p_size") % 2 == 0, terms.typed(size, vocab.XSD + "integer")).otherwise(
+        terms.typed(F.concat(size, F.lit(".0")), vocab.XSD + "decimal")
+    )
+    parts = t.part.select("p_partkey", written.alias("n"), terms.num(written).alias("value"))
+    nations = t.nation.select("n_name", terms.typed(F.col("n_nationkey").cast("string"), vocab.XSD + "integer").alias("n"))
+    by_term = a.join(parts.select("p_partkey", "n"), nations).select("p_partkey", "n_name", F.lit(True).alias("same_term"))
+    by_value = a.join(parts.select("p_partkey", "value"), nations.select("n_name", terms.num(F.col("n")).alias("value")))
+    others = a.not_exists(by_value, by_term.select("p_partkey", "n_name"))
+    return by_term.unionByName(others.select("p_partkey", "n_name", F.lit(False).alias("same_term")))
+
+
 @query(
     "E11_term_identity",
     """SELECT CAST(count(*) AS BIGINT) AS by_term, (SELECT CAST(count(*) AS BIGINT) FROM part WHERE p_size > 0) AS by_value

@@ -129,9 +129,10 @@ def _c11(t: Tables):
 )
 def _c15(t: Tables):
     ticks = event_ticks(t, 24, 24)
-    rows = w.window_rows(t.events.select("ts"), "ts", hours(24, 6, ticks), ticks).select("tick", F.lit("window").alias("source"))
-    base = w.at_ticks(t.customer.select(F.lit("base").alias("source")), ticks)
-    return rows.unionByName(base).groupBy("tick", "source").agg(F.count(F.lit(1)).alias("n"))
+    window = hours(24, 6, ticks)
+    rows = w.spans(t.events.select("ts", F.lit("window").alias("source")), "ts", window, ticks).drop("ts")
+    base = w.everywhere(t.customer.select(F.lit("base").alias("source")), ticks)
+    return w.sliding_aggregate(rows.unionByName(base), "ts", window, ticks, ["source"], {"n": ("count", F.lit(1))})
 
 
 @query(

@@ -47,6 +47,24 @@ def test_compare_terms(spark):
     assert one(spark, k.compare_terms(F.lit("<a>"), "=", F.lit("<a>"))) is True
 
 
+def test_value_spaces_of_comparisons(spark):
+    def typed(lex, dt):
+        return F.lit(f'"{lex}"^^<{XSD}{dt}>')
+
+    noon, date, en, de = typed("2024-01-01T12:00:00Z", "dateTime"), typed("2024-01-01", "date"), F.lit('"a"@en'), F.lit('"a"@de')
+    hour, month = typed("PT60M", "dayTimeDuration"), typed("P1M", "yearMonthDuration")
+    cases = [
+        (date, "=", typed("2024-01-01T00:00:00", "dateTime"), None), (date, "<", noon, None), (date, "<", typed("2024-01-02", "date"), True),
+        (noon, "=", typed("2024-01-01T13:00:00+01:00", "dateTime"), True), (noon, "=", typed("2024-01-01T12:00:00", "dateTime"), None),
+        (noon, "<", typed("2024-01-02T02:00:00", "dateTime"), None), (noon, "<", typed("2024-01-02T02:00:01", "dateTime"), True),
+        (noon, "!=", typed("2024-01-05T00:00:00", "dateTime"), True), (hour, "=", typed("PT1H", "dayTimeDuration"), True),
+        (hour, "<", typed("P1D", "duration"), True), (hour, "<", month, None), (month, ">=", typed("P1Y", "yearMonthDuration"), False),
+        (en, "=", en, True), (en, "=", de, False), (en, "!=", de, True), (en, "<", de, None), (en, "=", F.lit('"a"'), None),
+    ]
+    got = spark.range(1).select(*[k.compare_terms(a, op, b).alias(f"c{i}") for i, (a, op, b, _) in enumerate(cases)]).first()
+    assert list(got) == [want for *_, want in cases]
+
+
 def test_effective_boolean_value(spark):
     cases = {'"true"^^<%sboolean>' % XSD: True, '"0"^^<%sinteger>' % XSD: False, '""': False, '"x"@en': True, "<http://a>": None}
     for text, want in cases.items():
