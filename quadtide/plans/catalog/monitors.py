@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadtide import vocab
+from quadtide.functions import terms
 from quadtide.functions import uncertainty as u
+from quadtide.functions.binding import let
+from quadtide.operators import patterns as p
+from quadtide.operators import quads as q
 from quadtide.plans import monitoring as m
 from quadtide.plans.catalog import query
 from quadtide.plans.catalog import sqltext as s
-from quadtide.plans.catalog.views import STREAM_TYPES, event_quads, event_ticks, hours, node, reading, reading_sql
+from quadtide.plans.catalog.views import DATA, STREAM_TYPES, event_quads, event_ticks, hours, node, ont, reading, reading_sql
 from quadtide.plans.observations import observations
 from quadtide.sources.tables import Tables
 
@@ -200,14 +204,72 @@ def _vitals(t: Tables):
     return kept.select("tick", "person", "activity", *rounded)
 
 
-@query("Q1a_filter_over_statements", _Q1_SQL.replace("a.place,", f"{node('place', 'a.place')} AS place,"))
+# Over statement streams ---------------------------------------------------------------------------
+
+
+def _by_node(sql: str, place: str) -> str:
+    """The same results with the IRI of the place."""
+    old = f"tick, {place},"
+    assert sql.count(old) == 1
+    return sql.replace(old, f"tick, {node('place', place)} AS place,")
+
+
+def _observed(t: Tables, name: str, window, ticks, annotated: bool | None = None):
+    """One stream of readings from its statements, each of which counts once per tick."""
+    annotated = name.endswith("2") if annotated is None else annotated
+    stream = event_quads(t, where=F.col("event_type") == STREAM_TYPES[name]).withColumnRenamed("ts", "elem_ts")
+    return observations(stream, "place", vocab.FEATURE, window, ticks, annotated)
+
+
+def _described_sensors(t: Tables):
+    """The errors of ``_sensors``, from statements that describe every place."""
+    half = F.length("c_mktsegment")
+    literal = lambda *parts: q.term_value(F.concat(F.lit('"'), *parts, F.lit(f')"^^<{vocab.DISTRIBUTION}>')))
+    h, square = half.cast("string"), (half * half).cast("string")
+    static = q.table_quads(t.customer, q.subject(DATA + "place/%s", F.col("c_custkey")), {
+        ont("lowError"): literal(F.lit("U(-"), h, F.lit(","), h), ont("highError"): literal(F.lit("N(0,"), square),
+    })
+    found = p.basic_pattern(static, [p.Pattern("?place", ont("lowError"), "?low"), p.Pattern("?place", ont("highError"), "?high")])
+    found = let(found, mu1=u.parse(terms.lex(F.col("low"))), mu3=u.parse(terms.lex(F.col("high"))))
+    return found.select("place", "mu1", "mu3")
+
+
+@query("Q1a_filter_over_statements", _by_node(_Q1_SQL, "a.place"))
 def _q1_statements(t: Tables):
     ticks = event_ticks(t, 2, 6)
     window = hours(6, 1, ticks)
+    low, hot = _observed(t, "low2", window, ticks), _observed(t, "high2", window, ticks, False)
+    return m.probably_low_while_hot(low, hot, "place", window, ticks, 40.0, 0.5, 30.0)
+
+
+@query("Q4a_bind_over_statements", _by_node(_Q4_SQL, "a.place"))
+def _q4_statements(t: Tables):
+    ticks = event_ticks(t, 2, 6)
+    window = hours(6, 1, ticks)
+    low, hot = _observed(t, "low2", window, ticks), _observed(t, "high2", window, ticks, False)
+    out = m.low_probability_while_hot(low, hot, "place", window, ticks, 40.0, 60.0, 30.0)
+    return out.withColumn("p", F.round("p", 6))
+
+
+def _four_statements(t: Tables, probability: float | None):
+    ticks = event_ticks(t, 8, 24)
+    window = hours(24, 1, ticks)
+    streams = [_observed(t, n, window, ticks) for n in ("low1", "low2", "high1", "high2")]
+    out = m.four_streams(streams, _described_sensors(t), "place", window, ticks, 60.0, 80.0, 20.0, 5.0, probability)
+    return out if probability is not None else out.withColumns({f"p{i}": F.round(f"p{i}", 6) for i in range(1, 5)})
+
+
+query("Q2a_filter_over_statements", _by_node(_four_sql(False), "r1.place"))(lambda t: _four_statements(t, 0.4))
+query("Q5a_bind_over_statements", _by_node(_four_sql(True), "r1.place"))(lambda t: _four_statements(t, None))
+
+
+def _differ_statements(t: Tables, probability: float | None):
+    ticks = event_ticks(t, 12, 12)
+    window = hours(12, 12, ticks)
+    streams = [_observed(t, n, window, ticks) for n in ("low1", "low2", "high1")]
+    out = m.readings_differ(*streams, u.uniform(-10.0, 10.0).struct(), "place", window, ticks, 10.0, probability)
+    return out if probability is not None else out.withColumns({c: F.round(c, 6) for c in ("p1", "p2")})
 
-    def side(name: str, annotated: bool):
-        stream = event_quads(t, where=F.col("event_type") == STREAM_TYPES[name]).withColumnRenamed("ts", "elem_ts")
-        # Every event is an observation of its own: no statement comes twice.
-        return observations(stream, "place", vocab.FEATURE, window, ticks, annotated, distinct=False)
 
-    return m.probably_low_while_hot(side("low2", True), side("high2", False), "place", window, ticks, 40.0, 0.5, 30.0)
+query("Q3a_filter_over_statements", _by_node(_differ_sql(False), "place"))(lambda t: _differ_statements(t, 0.7))
+query("Q6a_bind_over_statements", _by_node(_differ_sql(True), "place"))(lambda t: _differ_statements(t, None))
