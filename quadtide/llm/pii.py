@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Patterns find the protected entities. Terms near their mentions are weighed by the corpus: a term's
-pointwise mutual information with an entity, as a share of the entity's information content, says how
-much of the entity the term discloses. Terms above a threshold are generalised, and removed where they
-give nearly all of it away.
+Patterns find the protected entities. The terms of the documents that hold one are weighed by the
+corpus: a term's pointwise mutual information with an entity over whole documents, as a share of the
+entity's information content, says how much of the entity the term discloses. Terms above a threshold
+are generalised wherever they stand, and removed where they give nearly all of it away.
 """
 
 from __future__ import annotations
@@ -33,10 +33,9 @@ TERM = r"[\p{L}\p{N}]{3,}"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``context`` characters on both sides of a mention are its neighbourhood. A term counts if it
-    stands in ``support`` different neighbourhoods of an entity and discloses ``threshold`` of it."""
+    """A term is weighed if it stands in ``support`` documents that are not all one text. It counts as
+    disclosing from ``threshold`` of an entity's information on, and is removed from ``remove`` on."""
 
-    context: int = 80
     support: int = 2
     threshold: float = 0.8
     remove: float = 0.95
@@ -95,41 +94,81 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(column(docs, id_col).cast("long").alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, conf: Disclosure) -> DataFrame:
-    """(``entity``, ``term``, ``share``) for the terms near mentions that disclose too much.
+def bare(text: Column, base: Column) -> Column:
+    """The text with mentions blanked out; every other character keeps its place."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), s["start"] - acc["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(acc["at"], s["start"])).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    done = F.aggregate(base, start, step)
+    return F.when(F.size(base) == 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text))))
+
+
+def terms_in(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def marks(text: Column, guilty: Column) -> Column:
+    """Array of (``start``, ``end``, ``share``) of the terms that the map ``guilty`` has, by start."""
+    pairs = F.arrays_zip(F.split(text, TERM, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("hit"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,share:double>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + F.char_length(x["gap"])
+        b = a + F.coalesce(F.char_length(x["hit"]), F.lit(0))
+        share = F.try_element_at(guilty, F.lower(x["hit"]))
+        out = F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), share.alias("share")))))
+        return F.struct(b.alias("at"), out.alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
+def disclosing(held: DataFrame, seen: DataFrame, n: int, conf: Disclosure) -> DataFrame:
+    """(``term``, ``share``) for the terms that disclose too much of an entity: the largest share.
 
-    Document counts are over all of ``docs``; neighbourhoods that read the same count once as support.
+    ``held`` has ``doc``, ``entities`` and ``terms`` of the rows with personal data, ``seen`` every
+    ``term`` of all ``n`` rows with its text's ``version``. Entities of the same rows share a group, as
+    all counts are equal for them, so a document full of addresses is not paired with its terms for each.
     """
-    text = F.lower(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
-    pairs = mentions.groupBy("entity", "term").agg(F.countDistinct("around").alias("support"), F.countDistinct("doc").alias("both"))
-    pairs = saved(pairs.where(F.col("support") >= conf.support), "pairs")
-    terms = pairs.select("term").distinct()
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = seen.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term", "left_semi")
-    entities = mentions.groupBy("entity").agg(F.countDistinct("doc").alias("with_entity"))
-    n = docs.select(F.count("*").alias("n"))
-    both = pairs.join(counts, "term").join(entities, "entity").crossJoin(n)  # one row
-    pmi = F.log(F.col("both") * F.col("n") / (F.col("with_term") * F.col("with_entity")))
-    share = pmi / F.log(F.col("n") / F.col("with_entity"))
-    return both.where("with_entity < n").select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= conf.threshold)
-
-
-def _around(spans: Column, text: Column, conf: Disclosure) -> Column:
-    """Per span its entity and the terms beside it with their places: (``entity``, ``around``, ``terms``)."""
-
-    def one(s: Column) -> Column:
-        left = F.greatest(F.lit(0).cast("long"), s["start"] - conf.context)
-        before = F.substring(text, (left + 1).cast("int"), (s["start"] - left).cast("int"))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(conf.context))
-        # A word cut by the edge of the neighbourhood is no term.
-        before = F.when(left > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", " ")).otherwise(before)
-        shift = s["start"] - F.char_length(before)
-        after = F.when(F.char_length(after) == conf.context, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-        place = lambda side, by: F.transform(positions(side, TERM), lambda m: F.struct(F.lower(m["match"]).alias("term"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end")))
-        around = F.xxhash64(F.lower(before), F.lower(after))
-        return F.struct(entity(s).alias("entity"), around.alias("around"), F.concat(place(before, shift), place(after, s["end"])).alias("terms"))
-
-    return F.transform(spans, one)
+    mentions = held.select("doc", F.explode("entities").alias("entity"))
+    part = lambda i: F.sum(F.pmod(F.xxhash64(F.lit(i), "doc"), F.lit(1 << 31)))
+    groups = mentions.groupBy("entity").agg(F.count("*").alias("with_entity"), *(part(i).alias(f"s{i}") for i in range(3)))
+    groups = saved(groups.where(F.col("with_entity") < n), "entities")
+    top = groups.agg(F.max("with_entity")).first()[0] or 0
+    of_doc = mentions.join(groups, "entity").select("doc", "with_entity", "s0", "s1", "s2").distinct()
+    # A term in more documents than this has a smaller share even if every document of the entity holds it.
+    most = lambda w: F.lit(n) * F.pow(w / F.lit(max(n, 1)), F.lit(conf.threshold)) * (1 + 1e-9)
+    counts = seen.groupBy("term").agg(F.count("*").alias("with_term"), F.min("version").alias("a"), F.max("version").alias("b"))
+    counts = counts.where((F.col("with_term") >= conf.support) & (F.col("with_term") <= most(F.lit(top))))
+    if conf.support > 1:
+        counts = counts.where("a <> b")
+    pairs = held.select("doc", F.explode("terms").alias("term")).join(counts.select("term", "with_term"), "term")
+    pairs = pairs.join(of_doc, "doc").where(F.col("with_term") <= most(F.col("with_entity")))
+    pairs = pairs.groupBy("term", "with_term", "with_entity", "s0", "s1", "s2").agg(F.count("*").alias("both"))
+    pmi = F.log(F.col("both") * F.lit(n) / (F.col("with_term") * F.col("with_entity")))
+    share = F.least(pmi / F.log(F.lit(n) / F.col("with_entity")), F.lit(1.0))
+    return pairs.select("term", share.alias("share")).where(F.col("share") >= conf.threshold).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def guilty_of(docs: DataFrame, id_col: str, text_col: str, conf: Disclosure) -> DataFrame:
+    """(``i``, ``v``, ``guilty``) for the documents that hold disclosing terms: id, hash of the text, and
+    the terms with their shares. Every row of ``docs`` counts as a document."""
+    rows = texts_of(docs, id_col, text_col).select("id", F.xxhash64("text").alias("version"), "text", base_spans(F.col("text")).alias("base"))
+    rows = rows.select("id", "version", "base", bare(F.col("text"), F.col("base")).alias("bare"))
+    held = rows.where(F.size("base") > 0)
+    held = held.select(F.xxhash64("id", "version").alias("doc"), F.array_distinct(F.transform("base", entity)).alias("entities"), terms_in(F.col("bare")).alias("terms"))
+    seen = rows.select("id", "version", F.explode(terms_in(F.col("bare"))).alias("term"))
+    guilty = saved(disclosing(saved(held, "held"), seen.select("version", "term"), docs.count(), conf), "guilty")
+    # At most that many numbers, so safe to broadcast; they keep nearly all other terms out of the join's shuffle.
+    number = lambda term: F.pmod(F.xxhash64(term), F.lit(1 << 18)).cast("int")
+    numbers = guilty.select(number("term").alias("number")).distinct()
+    seen = seen.withColumn("number", number("term")).join(F.broadcast(numbers), "number", "left_semi").drop("number")
+    hits = seen.join(guilty, "term").distinct().groupBy("id", "version").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("guilty"))
+    return saved(hits.select(F.col("id").alias("i"), F.col("version").alias("v"), "guilty"), "disclosing")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: Disclosure = Disclosure()) -> DataFrame:
@@ -137,25 +176,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf:
     the disclosing ones as (``start``, ``end``, ``share``) by start.
 
     A null text counts as empty and has no spans; texts are read whole; repeated rows give a row each; a
-    null id stays null; other columns are not looked at; an empty table gives none. Terms are reported
-    in the documents that hold the entity, beside it, so documents without personal data have none.
+    null id stays null; other columns are not looked at; an empty table gives none. A term that
+    discloses an entity is reported everywhere outside mentions, in documents without the entity too.
     """
-    rows = texts_of(docs, id_col, text_col)
-    rows = rows.select("id", F.xxhash64("text").alias("version"), "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, _around(F.col("base"), F.col("text"), conf))
-    rows = saved(rows.select("id", "version", "base", near.alias("near")), "personal")
-    mentions = rows.where("near IS NOT NULL").select("id", "version", F.explode("near").alias("m"))
-    mentions = mentions.select("id", "version", F.xxhash64("id", "version").alias("doc"), "m.entity", "m.around", F.explode("m.terms").alias("t"))
-    mentions = mentions.select("id", "version", "doc", "entity", "around", "t.term", "t.start", "t.end")
-    guilty = disclosing(mentions, docs, text_col, conf)
-    spans = mentions.join(guilty, ["entity", "term"]).groupBy("id", "version", "start", "end").agg(F.max("share").alias("share"))
-    spans = spans.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    spans = spans.select(F.col("id").alias("i"), F.col("version").alias("v"), "terms")
-    out = rows.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left")
+    rows = texts_of(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
+    out = rows.join(guilty_of(docs, id_col, text_col, conf), F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")), "left")
+    out = out.select("id", "version", "text", "guilty", base_spans(F.col("text")).alias("base"))
     nothing = F.array().cast("array<struct<start:long,end:long,share:double>>")
-    # A term inside a pattern's span is covered by it.
-    free = F.filter(F.coalesce("terms", nothing), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.select("id", "version", "base", free.alias("terms"))
+    terms = F.when(F.col("guilty").isNull(), nothing).otherwise(marks(bare(F.col("text"), F.col("base")), F.col("guilty")))
+    return out.select("id", "version", "base", terms.alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column, conf: Disclosure) -> Column:
@@ -176,14 +205,14 @@ def sanitised(text: Column, base: Column, terms: Column, conf: Disclosure) -> Co
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of the text; other rows and columns as
-    they were. Only rows that hold personal data take part in the join."""
-    i, v, base, terms, found_base, found_id, found_version = fresh(docs, "own_id", "own_version", "own_base", "own_terms", "found_base", "found_id", "found_version")
+    they were."""
+    i, v, g = fresh(docs, "own_id", "own_version", "own_guilty")
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    needs = text.rlike("|".join(NEEDS.values()))
-    found = find(docs, id_col, text_col, conf).where(F.size("base") > 0).dropDuplicates(["id", "version"])
-    found = found.select(F.col("id").alias(found_id), F.col("version").alias(found_version), F.col("base").alias(found_base), F.col("terms").alias(terms))
-    held = docs.where(needs).withColumn(i, column(docs, id_col).cast("long")).withColumn(v, F.xxhash64(text))
-    both = held.join(found, F.col(i).eqNullSafe(F.col(found_id)) & (F.col(v) == F.col(found_version)), "left")
-    clean = sanitised(column(both, text_col), F.col(found_base), F.col(terms), conf)
-    both = both.withColumn(text_col, F.when(F.col(found_base).isNull(), column(both, text_col)).otherwise(clean)).select(*docs.columns)
-    return docs.where(~needs).unionByName(both)
+    found = guilty_of(docs, id_col, text_col, conf).select(F.col("i").alias(i), F.col("v").alias(v), F.col("guilty").alias(g))
+    both = docs.join(found, column(docs, id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(v)), "left")
+    text = column(both, text_col).cast("string")
+    base = base_spans(F.coalesce(text, F.lit("")))
+    terms = F.when(F.col(g).isNull(), F.array().cast("array<struct<start:long,end:long,share:double>>")).otherwise(marks(bare(text, base), F.col(g)))
+    clean = sanitised(text, base, terms, conf)
+    touched = F.col(g).isNotNull() | text.rlike("|".join(NEEDS.values()))
+    return both.withColumn(text_col, F.when(touched, clean).otherwise(column(both, text_col))).select(*docs.columns)

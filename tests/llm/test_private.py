@@ -46,6 +46,21 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[0] == "common words all around 0 here  owner <EMAIL> writes again 0" and clean[5] == docs[5][1]
 
 
+def test_terms_far_from_the_mention_and_in_other_documents(spark):
+    far = " ".join(["common words all around"] * 40)
+    docs = [(i, f"Zorvaxian starts, {far} and ann@mail.org ends {i} before zorvaxian") for i in range(3)]
+    # One address in a single document, its term in another one too; one term stands without the entity.
+    docs += [(3, f"quibblet {far} bob@mail.org"), (4, f"{far} Quibblet"), (5, f"no address: {far} zorvaxian")]
+    docs += [(i, f"{far} and so on, owner {i} ends starts before address") for i in range(6, 200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.id: [docs[r.id][1][t.start : t.end] for t in r.terms] for r in pii.find(frame).collect()}
+    assert all(got[i] == ["Zorvaxian", "zorvaxian"] for i in range(3)) and got[5] == ["zorvaxian"]
+    assert got[3] == ["quibblet"] and got[4] == ["Quibblet"] and not any(got[i] for i in range(6, 200))
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert clean[0] == f"<TERM> starts, {far} and <EMAIL> ends 0 before <TERM>" and clean[4] == f"{far} <TERM>" and clean[5] == f"no address: {far} <TERM>"
+    assert clean[7] == docs[7][1]
+
+
 def test_personal_data_of_odd_rows(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == 13 and sum(len(r.base) for r in got) == 2
