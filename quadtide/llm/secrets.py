@@ -1,8 +1,8 @@
 """Secrets by pattern and by token efficiency.
 
 Random strings cost a byte-pair vocabulary many tokens for few characters. Runs of credential
-characters that mix letters and digits and stay below ``ratio`` characters a token are reported, unless
-they are known digests or identifiers.
+characters that stay below ``ratio`` characters a token are reported, unless they are known digests or
+identifiers. Long words and names come near that ratio, so runs without a digit have a stricter one.
 """
 
 import base64
@@ -37,12 +37,13 @@ KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA
 
 @dataclass(frozen=True)
 class TokenTest:
-    """Runs of at least ``shortest`` characters below ``ratio`` characters a token, with letters and ``digits`` digits."""
+    """Runs of at least ``shortest`` characters below ``ratio`` characters a token, those without a digit
+    below ``letters``."""
 
     vocabulary: str | None = None
     ratio: float = 2.2
     shortest: int = 16
-    digits: int = 2
+    letters: float = 1.6
 
 
 def encoder(path: str):
@@ -67,11 +68,11 @@ def spans_of(text: str | None, encode, test: TokenTest) -> list[tuple[str, int,
         base = list(found)
         for m in runs:
             s, (a, b) = m[0], m.span()
-            if b - a < test.shortest or sum(c.isdigit() for c in s) < test.digits or s.isdigit() or KNOWN.fullmatch(s):
+            if b - a < test.shortest or KNOWN.fullmatch(s):
                 continue
             if any(x < b and a < y for _, x, y in base):
                 continue
-            if (b - a) / len(encode(s)) < test.ratio:
+            if (b - a) / len(encode(s)) < (test.ratio if any(c.isdigit() for c in s) else test.letters):
                 found.append(("token", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -84,3 +84,10 @@ def test_secrets_by_pattern_and_token_efficiency(spark, odd, none):
     assert secrets.without_secrets(odd).columns == odd.columns
     clean = secrets.without_secrets(spark.createDataFrame([(1, texts[1]), (2, None)], "doc_id long, text string")).collect()
     assert [r.text for r in clean] == ["<SECRET>'", None]
+
+
+def test_secrets_with_few_digits_or_none():
+    encode = secrets.encoder(secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    found = lambda text: secrets.spans_of(text, encode, secrets.TokenTest())
+    assert found("key xQkJzVbWqPfGhTyRmNcLdKsX end") == [("token", 4, 28)] and found("key xKqVLmPzR7tVbNcWdQjH end") == [("token", 4, 24)]
+    assert found("see internationalization-and-localization or /usr/share/common/licenses") == []
