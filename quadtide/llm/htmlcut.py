@@ -139,8 +139,9 @@ def blocks_of(page: str) -> list[Block]:
             up_out, up_in, linking = state[-1]
             own_in = name in INSIDE or (name in ("div", "section") and bool(words & INSIDE_NAMES))
             # A heading's own wrapper inside the article is part of it.
-            own_out = (name in OUTSIDE and not (name == "header" and up_in)) or (name not in HEADINGS and name not in INSIDE and name != "body" and bool(words & OUTSIDE_NAMES) and not own_in)
-            own_out = own_out or bool(words & {"comment", "comments", "sidebar", "respond", "replies"})
+            own_out = (name in OUTSIDE and not (name == "header" and up_in)) or (name not in HEADINGS and name not in INSIDE and name not in ("html", "body") and bool(words & OUTSIDE_NAMES) and not own_in)
+            # These names outweigh those of an article, but on the page or the article itself they say what it has beside it.
+            own_out = own_out or (name not in HEADINGS and name not in INSIDE and name not in ("html", "body") and bool(words & {"comment", "comments", "sidebar", "respond", "replies"}))
             count += 1
             if not attributes.endswith("/") or name in BLOCK:
                 stack.append((count, name))

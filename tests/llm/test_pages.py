@@ -16,6 +16,13 @@ def test_article_only():
     assert htmlcut.main_blocks(PAGE) == ["The title & more", "First bold text here.", "Second <tag> paragraph, with a link in it.", "point one"]
 
 
+def test_names_of_the_whole_page():
+    text = "A sentence of some length that is the only text of its article, and long enough."
+    for html, body, main, article, h1 in itertools.product(("", "has-sidebar"), ("", "right-sidebar", "comments-open"), ("", "with-sidebar"), ("", "post has-comments"), ("", "respond")):
+        page = f'<html class="{html}"><body class="{body}"><div id="sidebar"><p>{text} Not.</p></div><main class="{main}"><article class="{article}"><h1 class="{h1}">Title</h1><p>{text}</p><div class="comments entry"><p>{text} No.</p></div></article></main></body></html>'
+        assert htmlcut.main_blocks(page) == ["Title", text]
+
+
 def test_broken_and_missing_markup():
     assert htmlcut.main_blocks(None) == htmlcut.main_blocks("") == htmlcut.main_blocks("<html></html>") == []
     text = "Plain text of some length that stands alone without any markup at all, and is long enough."
