@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadtide.llm import covertree, hilbert, htmlcut, kronecker, mixing, neardup, packing, pii, quality, secrets, warc
+from quadtide.llm import covertree, hilbert, htmlcut, kronecker, mixing, neardup, packing, pii, quality, repeats, secrets, spelling, warc
 
 CONTRACT_DUP = neardup.NearDup(k=3, num=85, den=100)
 
@@ -81,6 +81,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(read(spark, sf_dir, "documents"))
+    lost = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", lost.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), digest)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -89,7 +100,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_main_text, op2_personal_data, op3_secrets, op4_quality, op5_exact_search, op6_mixing, op7_warc_derivatives, op8_nearest, op9_packing,
-    op10_near_duplicates, op13_hard_negatives,
+    op10_near_duplicates, op11_spelling, op12_repeats, op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
