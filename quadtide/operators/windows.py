@@ -114,24 +114,36 @@ class TimeWindow:
         """Most ticks that can see one row."""
         return -(-(self.width + self.step) // ticks.every)
 
+    def min_ticks(self, ticks: Ticks) -> int:
+        """Fewest ticks that see any row, if they go on before and after it."""
+        return self.width // self.step * self.step // ticks.every
 
-def spans(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
-    """Add the first and last tick number that see each row; rows no tick sees are dropped."""
+
+def _reaching(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
+    """Rows of the times that the ticks cover, with their spans as if ticks had neither start nor end."""
     at, step = f"(unix_micros(`{ts}`) - {window.ref}L)", window.step
     # A tick sees the row from the first window edge after it up to the one that passes it by.
     from_edge = f"({_floor_div(at, step)} + 1) * {step}L"
     past_edge = f"({_floor_div(f'({at} + {window.width}L)', step)} + 1) * {step}L"
     shift = window.ref - ticks.start
-    lo = f"greatest({_ceil_div(f'{from_edge} + {shift}L', ticks.every)}, 0L)"
-    hi = f"{_ceil_div(f'{past_edge} + {shift}L', ticks.every)} - 1L"
-    if ticks.count is not None:
-        hi = f"least({hi}, {ticks.count - 1}L)"
+    lo, hi = (_ceil_div(f"{edge} + {shift}L", ticks.every) for edge in (from_edge, past_edge))
     if ticks.count:
         # Said once more as a plain range of times, which reaches the scan.
         last = ticks.start + (ticks.count - 1) * ticks.every
         lower, upper = (t - (t - window.ref) % step for t in (ticks.start, last))
         df = elements_between(df, ts, lower - window.width, upper)
-    return df.withColumns({LO: F.expr(lo), HI: F.expr(hi)}).where(f"{LO} <= {HI}")
+    return df.withColumns({LO: F.expr(lo), HI: F.expr(f"{hi} - 1L")})
+
+
+def _within(df: DataFrame, ticks: Ticks) -> DataFrame:
+    """Spans cut to the ticks there are."""
+    hi = F.col(HI) if ticks.count is None else F.least(F.col(HI), F.lit(ticks.count - 1))
+    return df.withColumns({LO: F.greatest(F.col(LO), F.lit(0)), HI: hi}).where(f"{LO} <= {HI}")
+
+
+def spans(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
+    """Add the first and last tick number that see each row; rows no tick sees are dropped."""
+    return _within(_reaching(df, ts, window, ticks), ticks)
 
 
 def unfold(df: DataFrame, ticks: Ticks) -> DataFrame:
@@ -195,35 +207,74 @@ def join_windows(parts: list[tuple[DataFrame, str, TimeWindow]], on: list[list[s
     return unfold(out, ticks)
 
 
-# Aggregates that can be merged from partial results: name -> (partials, merge).
+# Aggregates that can be merged from partial results: name -> (how each partial is made and merged, result).
 _MERGE = {
-    "count": (lambda c: [F.count(c)], lambda p: F.sum(p[0])),
-    "sum": (lambda c: [F.sum(c)], lambda p: F.sum(p[0])),
-    "min": (lambda c: [F.min(c)], lambda p: F.min(p[0])),
-    "max": (lambda c: [F.max(c)], lambda p: F.max(p[0])),
-    "avg": (lambda c: [F.sum(c), F.count(c)], lambda p: F.sum(p[0]) / F.sum(p[1])),
+    "count": ([(F.count, "sum")], lambda p: F.coalesce(p[0], F.lit(0).cast("long"))),
+    "sum": ([(F.sum, "sum")], lambda p: p[0]),
+    "min": ([(F.min, "min")], lambda p: p[0]),
+    "max": ([(F.max, "max")], lambda p: p[0]),
+    "avg": ([(F.sum, "sum"), (F.count, "sum")], lambda p: F.try_divide(p[0], p[1])),
 }
+# The same merge as an aggregate and for two values, of which either may be missing.
+_OVER = {"sum": F.sum, "min": F.min, "max": F.max}
+_TWO = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+
+
+def _partials(aggs: dict[str, tuple[str, Column]]) -> tuple[list[tuple[str, Column, str]], list]:
+    """(name, aggregate, merge) of all partial results, and the final columns as functions of them."""
+    parts, final = [("__rows", F.count(F.lit(1)), "sum")], []
+    for name, (fn, column) in aggs.items():
+        made, result = _MERGE[fn]
+        own = [f"__{name}_{i}" for i in range(len(made))]
+        parts += [(n, make(column), how) for n, (make, how) in zip(own, made)]
+        final.append((name, own, result))
+    return parts, [lambda get, n=name, o=own, r=result: r([get(x) for x in o]).alias(n) for name, own, result in final]
 
 
 def sliding_aggregate(
     df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks, keys: list[str],
     aggs: dict[str, tuple[str, Column]],
 ) -> DataFrame:
-    """Group by tick and keys, from per-span partial results.
+    """Group by tick and keys, from partial results of rows that are seen by the same ticks.
+
+    All rows between two neighbouring window edges have the same span, so they are reduced to one row
+    per key first. Ticks are cut into blocks as long as the shortest span: then every span reaches the
+    start or the end of each block it touches, and what a tick sees are the spans that have started since
+    the block's start and those that have not ended yet. Both are running aggregates in a block, for any
+    merge and without subtraction, so a row is copied to two or three blocks and not to its ticks.
 
-    All rows between two neighbouring window edges have the same span, so they are reduced to one
-    row per key before a row is copied to its ticks.
+    Rows with spans already, and windows that hardly overlap, are copied to the ticks instead.
     """
-    partial, final = [], []
-    for name, (fn, column) in aggs.items():
-        make, merge = _MERGE[fn]
-        cols = make(column)
-        names = [f"__{name}_{i}" for i in range(len(cols))]
-        partial += [c.alias(n) for c, n in zip(cols, names)]
-        final.append(merge([F.col(n) for n in names]).alias(name))
-    seen = df if LO in df.columns else spans(df, ts, window, ticks)
-    panes = seen.groupBy(*keys, LO, HI).agg(*partial)
-    return unfold(panes, ticks).groupBy("tick", *keys).agg(*final)
+    parts, final = _partials(aggs)
+    size = window.min_ticks(ticks)
+    if LO in df.columns or size < 3:
+        seen = df if LO in df.columns else spans(df, ts, window, ticks)
+        panes = seen.groupBy(*keys, LO, HI).agg(*[c.alias(n) for n, c, _ in parts])
+        merged = {n: _OVER[how](n) for n, _, how in parts}
+        return unfold(panes, ticks).groupBy("tick", *keys).agg(*[f(merged.get) for f in final])
+    panes = _reaching(df, ts, window, ticks).groupBy(*keys, LO, HI).agg(*[c.alias(n) for n, c, _ in parts])
+    block = F.explode(F.sequence(F.floor(F.col(LO) / size), F.floor(F.col(HI) / size)))
+    # Dealt by key and block once; all that follows keeps to that.
+    dealt = panes.withColumn("__block", block).repartition(*[F.col(k) for k in keys], F.col("__block"))
+    first, past = F.col("__block") * size, (F.col("__block") + 1) * size
+    begins = F.col(LO) > first
+    change = F.when(begins, F.col(LO)).otherwise(F.least(F.col(HI) + 1, past))
+    sides = [_OVER[how](F.when(side, F.col(n))).alias(f"{n}_{x}") for n, _, how in parts for x, side in (("in", begins), ("out", ~begins))]
+    steps = dealt.withColumn("__at", change).groupBy(*keys, "__block", "__at").agg(*sides)
+    up = W.partitionBy(*keys, "__block").orderBy("__at")
+    down = W.partitionBy(*keys, "__block").orderBy(F.desc("__at"))
+    begun, to_end = up.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, 0)
+    later = down.rowsBetween(W.unboundedPreceding, -1)
+    after, before = [], []
+    for n, _, how in parts:
+        merge = _OVER[how]
+        after.append(_TWO[how](merge(f"{n}_in").over(begun), merge(f"{n}_out").over(later)).alias(n))
+        before.append(merge(f"{n}_out").over(to_end).alias(n))
+    upto = F.coalesce(F.lead("__at").over(up), past) - 1
+    head = F.when(F.row_number().over(up) == 1, F.struct(first.alias(LO), (F.col("__at") - 1).alias(HI), *before))
+    runs = steps.select(*keys, F.array(F.struct(F.col("__at").alias(LO), upto.alias(HI), *after), head).alias("__runs"))
+    runs = runs.select(*keys, F.explode("__runs").alias("__run")).select(*keys, "__run.*").where("__rows > 0")
+    return unfold(_within(runs, ticks), ticks).select("tick", *keys, *[f(F.col) for f in final])
 
 
 def everywhere(static: DataFrame, ticks: Ticks) -> DataFrame:

@@ -228,3 +228,15 @@ def _f18(t: Tables):
     return out.where(F.col("mean") > 45).withColumn("mean", F.round("mean", 8))
 
 
+@query(
+    "F18_aggregate_over_long_windows",
+    f"""SELECT tick, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total, round(sum(value), 3) / count(*) AS mean,
+  min(value) AS low, max(value) AS top
+ FROM (SELECT tick, {s.upper(1)} AS up FROM {s.ticks(1, 240)}) JOIN events ON ts >= up - INTERVAL 240 HOUR AND ts < up GROUP BY ALL""",
+)
+def _f18_long(t: Tables):
+    # Every row is seen by 240 ticks.
+    ticks, value = event_ticks(t, 1, 240), F.col("value")
+    aggs = {"n": ("count", F.lit(1)), "total": ("sum", value), "low": ("min", value), "top": ("max", value)}
+    out = w.sliding_aggregate(t.events, "ts", hours(240, 1, ticks), ticks, ["event_type"], aggs)
+    return out.withColumn("total", F.round("total", 3)).withColumn("mean", F.col("total") / F.col("n"))

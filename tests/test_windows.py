@@ -101,6 +101,53 @@ def test_sliding_aggregate_equals_grouping_rows(spark):
     assert rows(fast) == rows(slow)
 
 
+@pytest.mark.parametrize("width, step, every", [(4000, 1, 7), (90, 7, 11), (400, 100, 30), (60, 60, 5), (250, 40, 10), (37, 5, 50), (10, 30, 4)])
+@pytest.mark.parametrize("count", [40, 0])
+def test_running_aggregates_equal_copies(spark, width, step, every, count):
+    """Every merge, over several keys, with rows before the first and after the last tick."""
+    rng = random.Random(width)
+    data = [(ms(rng.randint(-300, 700)), rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, -2.25, 4.0, 1e9])) for _ in range(300)]
+    df = spark.createDataFrame(data, "ts timestamp, key string, value double")
+    window, ticks = w.TimeWindow(width * 1000, step * 1000, 3000), w.Ticks(5000, every * 1000, count)
+    aggs = {fn: (fn, F.col("value")) for fn in ("count", "sum", "min", "max", "avg")} | {"n": ("count", F.lit(1))}
+    for keys in (["key"], []):
+        got = w.sliding_aggregate(df, "ts", window, ticks, keys, aggs)
+        v = F.col("value")
+        plain = w.window_rows(df, "ts", window, ticks).groupBy("tick", *keys)
+        plain = plain.agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), F.count(F.lit(1)).alias("n"))
+        assert got.columns == plain.columns
+        assert rows(got) == rows(plain)
+
+
+def test_long_windows_do_not_copy_rows(spark):
+    """Each pane is exchanged once and then in two copies, at any ratio of RANGE to EVERY."""
+    df = spark.range(20_000).select(F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), (F.col("id") % 3).alias("key"), F.col("id").alias("value"))
+    for width in (300, 3000):
+        window, ticks = w.TimeWindow.of(f"PT{width}S", "PT1S"), w.Ticks.at(0, "PT10S", 2400)
+        out = w.sliding_aggregate(df, "ts", window, ticks, ["key"], {"low": ("min", F.col("value")), "all": ("sum", F.col("value"))})
+        out = out.cache()
+        results = out.count()
+        out.unpersist()
+        plan = w.sliding_aggregate(df, "ts", window, ticks, ["key"], {"low": ("min", F.col("value")), "all": ("sum", F.col("value"))})
+        plan.write.format("noop").mode("overwrite").save()
+        exchanged = exchanged_rows(spark)
+        assert results > 5000 and 20_000 <= exchanged <= 3 * 20_000 + results
+
+
+def exchanged_rows(spark):
+    """Records written by the shuffles of the last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList(store.executionsCount() - 1, 1).head()
+    values, total = store.executionMetrics(last.executionId()), 0
+    metrics = last.metrics().iterator()
+    while metrics.hasNext():
+        m = metrics.next()
+        if m.name() == "shuffle records written":
+            got = values.get(m.accumulatorId())
+            total += int(got.get().replace(",", "")) if got.isDefined() else 0
+    return total
+
+
 def test_durations():
     assert w.micros("PT10S") == 10_000_000
     assert w.micros("P1DT2H3M4.5S") == ((26 * 60 + 3) * 60 + 4.5) * 1_000_000
