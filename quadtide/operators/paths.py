@@ -63,15 +63,38 @@ def zero_or_one(pairs: DataFrame, domain: DataFrame) -> DataFrame:
     return pairs.select("x", "y").unionByName(same).distinct()
 
 
+def _closure(pairs: DataFrame) -> DataFrame:
+    """Reachable pairs with the length of the shortest path, by doubling.
+
+    A pair at a distance of m+1 to 2m has a node on its way that is m steps from its start, so with all
+    pairs up to m one join gives those up to 2m: the rounds are the logarithm of the longest distance.
+    Only pairs at exactly m are joined, and only new ones are written.
+    """
+    seen = pairs.select("x", "y", F.lit(1).alias("length")).distinct().checkpoint()
+    last, m = seen, 1
+    while not last.isEmpty():
+        ahead = seen.select(F.col("x").alias("__m"), F.col("y").alias("__n"), F.col("length").alias("__l"))
+        met = last.select("x", F.col("y").alias("__m")).join(ahead, "__m")
+        met = met.groupBy("x", F.col("__n").alias("y")).agg((F.min("__l") + m).alias("length"))
+        new = met.join(seen.select("x", "y"), ["x", "y"], "left_anti").checkpoint()
+        seen, m = seen.unionByName(new), 2 * m
+        last = new.where(F.col("length") == m)
+    return seen
+
+
 def one_or_more(pairs: DataFrame, starts: DataFrame | None = None, shortest: bool = False) -> DataFrame:
     """Reachable pairs, each once; with ``shortest`` also the length of the shortest path.
 
-    Each round extends only the pairs found in the round before, and is written to the checkpoint
-    folder so that neither the plan nor the recomputation grows with the depth.
+    Without ``starts`` by doubling. From given starts each round extends only the pairs found in the round
+    before, as doubling would find the way from every node. Rounds are written to the checkpoint folder
+    so that neither the plan nor the recomputation grows with the depth.
     """
     shared_dir(pairs.sparkSession)
+    if starts is None:
+        seen = _closure(pairs)
+        return seen if shortest else seen.select("x", "y")
     edges = pairs.select("x", "y").distinct().checkpoint()
-    first = edges if starts is None else edges.join(starts.select("x").distinct(), "x", "left_semi")
+    first = edges.join(starts.select("x").distinct(), "x", "left_semi")
     seen = frontier = first.select("x", "y", F.lit(1).alias("length")).checkpoint()
     length = 1
     hop = edges.select(F.col("x").alias("__m"), F.col("y").alias("__n"))
@@ -116,23 +139,25 @@ def between_times(pairs: DataFrame, low: int, high: int, domain: DataFrame | Non
     return alternative(*parts)
 
 
-def at_least(pairs: DataFrame, n: int, domain: DataFrame | None = None, max_length: int = 1000) -> DataFrame:
-    """p{n,}, p{+}, p{*}: every path as one row. Ends by itself on acyclic data only.
+def at_least(pairs: DataFrame, n: int, domain: DataFrame | None = None) -> DataFrame:
+    """p{n,}, p{+}, p{*}: every path as one row, of any length; data with a cycle have no end of paths and
+    raise an error as soon as a path returns to its start.
 
-    A path longer than ``max_length`` raises an error instead of being left out.
+    By doubling: all paths of 1 to m steps, and those of m steps followed by one of them, are all of 1 to
+    2m steps, each once. No path of m steps is left once m exceeds the longest.
     """
     shared_dir(pairs.sparkSession)
-    hop = pairs.select(F.col("x").alias("__m"), F.col("y").alias("__n"))
-    parts = [domain.select("x", F.col("x").alias("y"))] if n == 0 else []
-    current = times(pairs, max(n, 1)).checkpoint()
-    length = max(n, 1)
-    while not current.isEmpty():
-        if length > max_length:
-            raise ValueError(f"paths longer than {max_length}: the data may have a cycle")
-        parts.append(current)
-        current = current.join(hop, F.col("y") == F.col("__m")).select("x", F.col("__n").alias("y")).checkpoint()
-        length += 1
-    return alternative(*parts) if parts else current
+    upto = exact = pairs.select("x", "y").checkpoint()
+    new = upto
+    while not exact.isEmpty():
+        if not new.where("x = y").isEmpty():
+            raise ValueError("the data have a cycle, so there is no end of paths")
+        new = sequence(exact, upto).checkpoint()
+        upto, exact = upto.unionByName(new), sequence(exact, exact).checkpoint()
+    if n <= 1:
+        return alternative(*([domain.select("x", F.col("x").alias("y"))] if n == 0 else []), upto)
+    head = times(pairs, n).checkpoint()
+    return head.unionByName(sequence(head, upto))
 
 
 def distinct(pairs: DataFrame) -> DataFrame:

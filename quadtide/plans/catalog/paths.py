@@ -63,6 +63,30 @@ def _h5_star(t: Tables):
     return h.zero_or_more(h.step(quads, _NEXT), h.nodes(quads))
 
 
+_AFTER = f"SELECT a.p_partkey AS part, b.p_partkey AS later FROM part a JOIN part b ON a.p_partkey < b.p_partkey"
+
+
+def _parts_in_order(t: Tables):
+    """One chain of all parts: each leads to the next key."""
+    part = lambda n: F.col("p_partkey") + n
+    pairs = t.part.select(part(0).alias("x"), part(1).alias("y"))
+    return pairs.join(t.part.select(part(0).alias("y")), "y", "left_semi").select("x", "y")
+
+
+@query(
+    "H5_long_chain",
+    f"SELECT part, CAST(count(*) AS BIGINT) AS n, CAST(max(later - part) AS INTEGER) AS longest FROM ({_AFTER}) GROUP BY part",
+)
+def _h5_chain(t: Tables):
+    found = h.shortest(_parts_in_order(t))
+    return found.groupBy(F.col("x").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+
+
+@query("H6_long_chain", f"SELECT part, CAST(count(*) AS BIGINT) AS n FROM ({_AFTER}) WHERE later >= part + 3 GROUP BY part")
+def _h6_chain(t: Tables):
+    return h.at_least(_parts_in_order(t), 3).groupBy(F.col("x").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "H6_counted_range",
     f"""WITH e AS (SELECT * FROM {_EDGES}) SELECT a.x, b.y FROM e a JOIN e b ON a.y = b.x

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quadtide.operators import algebra as a
@@ -149,6 +151,45 @@ def test_paths_count_every_way(spark):
     assert set(rows(h.one_or_more(diamond))) == {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d")}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_distances_by_doubling(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(18), rng.randrange(18)) for _ in range(24)} | {(n, n + 1) for n in range(20, 33)}
+    want = {}
+    for x in {a for a, _ in edges}:
+        level, length = {x}, 0
+        while level := {b for a, b in edges if a in level} - {y for (s, y) in want if s == x}:
+            length += 1
+            want.update({(x, y): length for y in level})
+    got = h.shortest(spark.createDataFrame(sorted(edges), "x long, y long")).collect()
+    assert {(r.x, r.y): r.length for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("least", [0, 1, 2, 5])
+def test_bags_of_paths_by_doubling(spark, least):
+    rng = random.Random(9)
+    edges = [(a, b) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.3] + [(0, 1), (3, 5)]
+    level = want = [(x, x) for x in range(12)]
+    want = list(want) if least == 0 else []
+    for length in range(1, 13):
+        level = [(x, b) for x, y in level for a, b in edges if a == y]
+        want += level if length >= least else []
+    pairs, domain = spark.createDataFrame(edges, "x long, y long"), spark.createDataFrame([(n,) for n in range(12)], "x long")
+    assert sorted(map(tuple, h.at_least(pairs, least, domain).collect())) == sorted(want)
+
+
+def test_long_chains_and_cycles(spark):
+    chain = spark.range(2500).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    assert h.shortest(chain, spark.createDataFrame([(2400,)], "x long")).count() == 100
+    far = h.shortest(chain)
+    assert far.count() == 2500 * 2501 // 2 and far.agg(F.max("length")).first()[0] == 2500
+    assert h.at_least(chain, 1500).count() == 1001 * 1002 // 2
+    for ring in (1, 2, 7):
+        cycle = spark.range(ring).select(F.col("id").alias("x"), ((F.col("id") + 1) % ring).alias("y"))
+        with pytest.raises(ValueError, match="cycle"):
+            h.at_least(chain.where("x < 20").union(cycle), 1)
+
+
 def test_construct_blank_nodes_per_solution(spark):
     sol = spark.createDataFrame([("<http://a>", '"1"'), ("<http://b>", None)], "s string, o string")
     got = f.construct(sol, [("_:n", "<http://p>", "?s"), ("_:n", "<http://q>", "?o")])
