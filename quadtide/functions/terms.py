@@ -184,37 +184,61 @@ def order_key(term: Column) -> Column:
     )
 
 
-_IRI = r"<[^<>\s]*>"
-_PLAIN = rf'(?:{_IRI}|_:\S+|"[^"\\]*(?:\\.[^"\\]*)*"(?:@[A-Za-z0-9-]+|\^\^{_IRI})?)'
+# The pieces of a term's text: the signs around embedded statements, literals, and all others, which hold no space.
+_TOKEN = r'<<|>>|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?|\S+'
 
 
-def _nested(depth: int) -> str:
-    inner = _PLAIN
-    for _ in range(depth):
-        inner = rf"(?:<< {inner} {_IRI} {inner} >>|{_PLAIN})"
-    return inner
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def decode_triple(term: Column, depth: int = 3) -> Column:
-    """Subject, predicate and object of an embedded statement; NULL for other terms.
+def embedded(term: Column) -> Column:
+    """All embedded statements in a term, itself if it is one, at any depth; NULL for other terms.
 
-    The object may be nested to any depth. A nested subject is matched to ``depth`` levels and
-    raises an error beyond, so no statement is lost silently.
+    Signs are counted from left to right: a closing one ends the statement of the last open one.
     """
-    nested = rf"(?s)^(<< {_nested(depth - 1)} {_IRI} {_nested(depth - 1)} >>) {_IRI} "
-    too_deep = F.raise_error(F.concat(F.lit("cannot split embedded statement: "), term)).cast(TRIPLE_TYPE)
+
+    def step(acc: Column, token: Column) -> Column:
+        at, opened, found = acc["at"], acc["open"], acc["found"]
+        closed = F.struct(F.element_at(opened, -1).alias("start"), at.alias("end"))
+        return F.struct(
+            (at + 1).alias("at"),
+            F.when(token == "<<", F.concat(opened, F.array(at))).when(token == ">>", F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0)))).otherwise(opened).alias("open"),
+            F.when((token == ">>") & (F.size(opened) > 0), F.concat(found, F.array(closed))).otherwise(found).alias("found"),
+        )
+
+    start = F.struct(
+        F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<start:int,end:int>>").alias("found")
+    )
+    cut = lambda tokens, s: F.array_join(F.slice(tokens, s["start"], s["end"] - s["start"] + 1), " ")
+    every = _once(_tokens(term), lambda tokens: F.transform(F.aggregate(tokens, start, step)["found"], lambda s: cut(tokens, s)))
+    # One closing sign means one statement, the whole term.
+    flat = F.regexp_count(term, F.lit(" >>")) == 1
+    return F.when(is_triple(term), F.when(flat, F.array(term)).otherwise(every))
+
+
+def decode_triple(term: Column) -> Column:
+    """Subject, predicate and object of an embedded statement, nested to any depth; NULL for other terms."""
+
+    def nested(body: Column) -> Column:
+        """The embedded statement at the start: the tokens up to where as many have closed as opened."""
+
+        def step(acc: Column, token: Column) -> Column:
+            depth = acc["depth"] + F.when(token == "<<", 1).when(token == ">>", -1).otherwise(0)
+            return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), (depth == 0).alias("done")))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        return _once(_tokens(body), lambda tokens: F.array_join(F.slice(tokens, F.lit(1), F.aggregate(tokens, start, step)["n"]), " "))
 
     def split(body: Column) -> Column:
-        plain = F.substring_index(body, " ", 1)
-        return _once(F.when(is_triple(body), F.regexp_extract(body, nested, 1)).otherwise(plain), lambda s: after(body, s))
+        return _once(F.when(F.startswith(body, F.lit("<<")), nested(body)).otherwise(F.substring_index(body, " ", 1)), lambda s: after(body, s))
 
     def after(body: Column, s: Column) -> Column:
         # The predicate holds no space, so it ends at the first one.
         rest = F.substring(body, F.length(s) + 2, F.length(body))
-        parts = _once(rest, lambda r: _once(F.substring_index(r, " ", 1), lambda p: F.struct(
+        return _once(rest, lambda r: _once(F.substring_index(r, " ", 1), lambda p: F.struct(
             s.alias("s"), p.alias("p"), F.substring(r, F.length(p) + 2, F.length(r)).alias("o")
         )))
-        return F.when(s != "", parts).otherwise(too_deep)
 
     return F.when(is_triple(term), _once(F.substring(term, F.lit(4), F.length(term) - 6), split))
 

@@ -110,37 +110,29 @@ def distinct_quads(quads: DataFrame, also: list[str] | None = None) -> DataFrame
     return quads.dropDuplicates([*(also or []), *KEY])
 
 
-def assert_embedded(quads: DataFrame, depth: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """Assert every embedded statement, to ``depth`` levels, in the graph of the statement around it.
+def assert_embedded(quads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Assert every embedded statement, at any depth, in the graph of the statement around it.
 
-    One pass: each level unfolds the statements that the level before has added. A statement nested
-    deeper raises an error.
+    One pass: a row is unfolded once into itself and all that its subject and object embed. Rows that
+    embed nothing are left as they are.
     """
     keep = keep or []
-    cols = [*keep, "g", "s", "p", "o", "o_num", "o_ts"]
+    cols = [*keep, "g", "s", "p", "o", "o_num", "o_ts", "s_t", "o_t"]
     if "s_t" not in quads.columns:
         # Terms that are computed on the fly would otherwise be computed again for each of their parts.
         quads = let(quads, s=F.col("s"), o=F.col("o"))
-    out = with_typed(quads).select(*cols, "s_t", "o_t", F.lit(True).alias("__new"))
-    for level in range(depth + 1):
-        flat = F.col("s_t").isNull() & F.col("o_t").isNull()
-        if level == depth:
-            error = F.raise_error(F.lit(f"statements are nested more than {depth} levels")).cast("boolean")
-            return distinct_quads(out.where(~F.col("__new") | flat | error).drop("__new"), keep)
-        own = F.struct(F.lit(False).alias("new"), F.struct("s", "p", "o").alias("t"))
-        inner = [F.when(F.col("__new") & F.col(t).isNotNull(), F.struct(F.lit(True).alias("new"), F.col(t).alias("t"))) for t in ("s_t", "o_t")]
-        # The row itself, and what it embeds if that has not been unfolded before.
-        unfolded = out.select("*", F.explode(F.array(own, *inner)).alias("__q")).where(F.col("__q").isNotNull())
-        new = F.col("__q.new")
-        s, o = F.col("__q.t.s"), F.col("__q.t.o")
-        out = unfolded.select(
-            *keep, "g", s.alias("s"), F.col("__q.t.p").alias("p"), o.alias("o"),
-            F.when(new, terms.num(o)).otherwise(F.col("o_num")).alias("o_num"),
-            F.when(new, terms.moment(o)).otherwise(F.col("o_ts")).alias("o_ts"),
-            F.when(new, terms.decode_triple(s)).otherwise(F.col("s_t")).alias("s_t"),
-            F.when(new, terms.decode_triple(o)).otherwise(F.col("o_t")).alias("o_t"), new.alias("__new"),
-        )
-    raise AssertionError("unreachable")
+    known = with_typed(quads).select(*cols)
+    plain = F.array(F.lit(None).cast("string"))
+    inner = [F.coalesce(terms.embedded(F.col(c)), F.array().cast("array<string>")) for c in ("s", "o")]
+    every = F.when(terms.is_triple(F.col("s")) | terms.is_triple(F.col("o")), F.concat(plain, *inner)).otherwise(plain)
+    unfolded = let(known.withColumn("__inner", F.explode(every)), __q=terms.decode_triple(F.col("__inner")))
+    new, s, o = F.col("__inner").isNotNull(), F.col("__q.s"), F.col("__q.o")
+    views = {"o_num": terms.num(o), "o_ts": terms.moment(o), "s_t": terms.decode_triple(s), "o_t": terms.decode_triple(o)}
+    out = unfolded.select(
+        *keep, "g", *[F.when(new, F.col(f"__q.{c}")).otherwise(F.col(c)).alias(c) for c in ("s", "p", "o")],
+        *[F.when(new, v).otherwise(F.col(c)).alias(c) for c, v in views.items()],
+    )
+    return distinct_quads(out, keep)
 
 
 def element_times(quads: DataFrame, element: str = "elem_id") -> DataFrame:

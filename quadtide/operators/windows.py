@@ -169,24 +169,35 @@ def distinct_spans(df: DataFrame, key: list[str]) -> DataFrame:
     return trimmed.where(F.col(LO) <= F.col(HI))
 
 
-def join_spans(left: DataFrame, right: DataFrame, on: list[str], longest: int) -> DataFrame:
-    """Join rows of two windows that some tick sees together; the result carries the shared span.
+def join_many(parts: list[DataFrame], on: list[str], longest: int) -> DataFrame:
+    """Join rows of several windows that some tick sees together; the result carries the shared span.
 
-    ``longest`` is the larger ``max_ticks`` of the two windows. Spans are cut at multiples of it, so
-    a row is copied at most twice instead of once per tick, and a hot key is spread over time.
+    ``longest`` is the largest ``max_ticks`` of the windows. Spans are cut at multiples of it, so a row is
+    copied at most twice instead of once per tick, and a hot key is spread over time. All inputs are cut
+    alike and meet on key and bucket, so each is exchanged once whatever their number; of the buckets
+    that hold a combination the one with its latest start keeps it.
     """
-    size = max(1, longest)
-
-    def bucketed(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    size, out = max(1, longest), None
+    for i, part in enumerate(parts):
         buckets = F.expr(f"explode(sequence({_floor_div(LO, size)}, {_floor_div(HI, size)}))")
-        return df.withColumn("__bucket", buckets).withColumnsRenamed({LO: lo, HI: hi})
+        cut = part.withColumn("__bucket", buckets).withColumnsRenamed({LO: f"__lo_{i}", HI: f"__hi_{i}"})
+        if out is None:
+            out = cut
+        else:
+            lo, hi = (", ".join(f"__{side}_{j}" for j in range(i + 1)) for side in ("lo", "hi"))
+            out = out.join(cut, [*on, "__bucket"]).where(f"greatest({lo}) <= least({hi})")
+    ends = {c: [f"__{c}_{i}" for i in range(len(parts))] for c in ("lo", "hi")}
+    if len(parts) > 1:
+        lo, hi = F.greatest(*ends["lo"]), F.least(*ends["hi"])
+    else:
+        lo, hi = F.col("__lo_0"), F.col("__hi_0")
+    out = out.withColumns({LO: lo, HI: hi}).where(f"__bucket = {_floor_div(LO, size)}")
+    return out.drop("__bucket", *ends["lo"], *ends["hi"])
 
-    joined = bucketed(left, "__l_lo", "__l_hi").join(
-        bucketed(right, "__r_lo", "__r_hi"), on=[*on, "__bucket"], how="inner"
-    )
-    lo, hi = "greatest(__l_lo, __r_lo)", "least(__l_hi, __r_hi)"
-    kept = joined.where(f"{lo} <= {hi} AND __bucket = {_floor_div(lo, size)}")
-    return kept.withColumns({LO: F.expr(lo), HI: F.expr(hi)}).drop("__bucket", "__l_lo", "__l_hi", "__r_lo", "__r_hi")
+
+def join_spans(left: DataFrame, right: DataFrame, on: list[str], longest: int) -> DataFrame:
+    """``join_many`` of two."""
+    return join_many([left, right], on, longest)
 
 
 def placed(df: DataFrame, ts: str, window: TimeWindow, ticks: Ticks) -> DataFrame:
@@ -199,11 +210,17 @@ def time_columns(df: DataFrame, ts: str = "ts") -> list[str]:
 
 
 def join_windows(parts: list[tuple[DataFrame, str, TimeWindow]], on: list[list[str]], ticks: Ticks) -> DataFrame:
-    """Inner join of several window contents at the same tick; ``on[i]`` joins part i+1."""
+    """Inner join of several window contents at the same tick; ``on[i]`` joins part i+1. Parts that follow
+    each other on the same keys are joined at once."""
     longest = max(w.max_ticks(ticks) for _, _, w in parts)
-    out = placed(*parts[0], ticks)
-    for part, keys in zip(parts[1:], on):
-        out = join_spans(out, placed(*part, ticks), keys, longest)
+    shown = [placed(*part, ticks) for part in parts]
+    out, i = shown[0], 0
+    while i < len(on):
+        n = i + 1
+        while n < len(on) and on[n] == on[i]:
+            n += 1
+        out = join_many([out, *shown[i + 1 : n + 1]], on[i], longest)
+        i = n
     return unfold(out, ticks)
 
 

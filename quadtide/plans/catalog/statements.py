@@ -22,7 +22,7 @@ from quadtide.session import fresh_path
 from quadtide.streaming import runner
 from quadtide.sources import sinks, trig
 from quadtide.sources.tables import Tables
-from quadtide.operators.windows import window_rows
+from quadtide.operators.windows import Ticks, micros, window_rows
 
 _HEADER = (
     f"@prefix rdf: <{vocab.RDF}> . @prefix sosa: <{vocab.SOSA}> . @prefix prov: <{vocab.PROV}> . "
@@ -57,6 +57,26 @@ def _a1(t: Tables):
     return q.wide_rows(loaded, cols, ["s"]).withColumn("name", terms.lex(F.col("name")))
 
 
+@query(
+    "A1_blocks_over_many_lines",
+    f"""SELECT {node('graph', 'o_orderkey')} AS g, count(*) AS lines, sum(l_quantity) AS quantity, min(length(note)) AS note FROM (
+ SELECT o_orderkey, l_quantity, 'Order ' || o_orderkey || chr(10) || 'is ' || o_orderstatus || '. ' || chr(10) || '} End.' AS note
+ FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey""",
+)
+def _a1_blocks(t: Tables):
+    # An order is a block of several lines, with a literal that holds line ends, dots and a brace; half of
+    # the lines end with a carriage return.
+    row = F.format_string("  :line%s :quantity \"%s\"^^xsd:double .", F.col("l_linenumber"), F.col("l_quantity").cast("string"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\r\n").alias("lines"))
+    note = F.format_string('  :note :says """Order %s\nis %s. \n} End.""" .', F.col("o_orderkey"), F.col("o_orderstatus"))
+    block = F.concat_ws("\n", F.format_string("GRAPH <graph/%s>\n{ # items.", F.col("o_orderkey")), F.col("lines"), note, F.lit("}"))
+    text = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(block.alias("value"))
+    quads = trig.read_dataset(t.spark, _write_lines(t, text, "blocks"), base=DATA)
+    quantity, note = F.col("p") == ont("quantity"), F.when(F.col("p") == ont("says"), F.length(terms.lex(F.col("o"))))
+    found = quads.groupBy("g").agg(F.count(F.when(quantity, 1)).alias("lines"), F.sum(F.when(quantity, F.col("o_num"))).alias("quantity"), F.min(note).alias("note"))
+    return found.withColumn("note", F.col("note").cast("long"))
+
+
 def _element_lines(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -124,6 +144,25 @@ def _a6(t: Tables):
     return every.select("g", terms.kind(F.col("s")).alias("s_kind"), "p", "o_num")
 
 
+_LEVELS = [f"about{n}" for n in range(6)]
+
+
+@query(
+    "A6_assert_nested_deeply",
+    " UNION ALL ".join(
+        f"SELECT {node('graph', 'event_id')} AS g, '{ont(p)}' AS p, {node('place', 'user_id')} AS o FROM events" for p in _LEVELS
+    ) + f" UNION ALL SELECT {node('graph', 'event_id')}, '{vocab.UNCERTAINTY}', {node('place', 'user_id')} FROM events",
+)
+def _a6_deep(t: Tables):
+    # Statements about statements: the subject of the outermost one is nested six levels deep.
+    place = q.subject(DATA + "place/%s", F.col("user_id"))
+    about = q.subject(DATA + "observation/%s", F.col("event_id"))
+    for p in _LEVELS:
+        about = terms.triple(about, F.lit(ont(p)), place)
+    outer = t.events.select(q.subject(DATA + "graph/%s", F.col("event_id")).alias("g"), about.alias("s"), F.lit(vocab.UNCERTAINTY).alias("p"), place.alias("o"))
+    return q.assert_embedded(outer).select("g", "p", "o")
+
+
 @query(
     "A7_set_semantics_size",
     """SELECT CAST(count(*) AS BIGINT) AS size FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)""",
@@ -215,6 +254,30 @@ def _a14(t: Tables):
     return out.select(F.col("elem_id").alias("elem"), "g", "s", "p")
 
 
+@query(
+    "A14_constructed_stream_in_a_window",
+    f"""SELECT tick, {node('place', 'user_id')} AS place, CAST(count(*) AS BIGINT) AS n, max(value) AS top
+ FROM {s.ticks(2, 24)} JOIN events ON ts >= tick - INTERVAL 6 HOUR AND ts < tick WHERE value > 60 GROUP BY ALL""",
+)
+def _a14_chained(t: Tables):
+    """A first query writes a stream of constructed elements, a second one opens windows over it."""
+    high = t.stream("events").where(F.col("value") > 60)
+    made = q.table_quads(
+        high, q.subject(DATA + "place/%s", F.col("user_id")), {ont("reported"): q.double_value(F.col("value"))},
+        g=q.subject(DATA + "graph/%s", F.col("event_id")), keep=["ts"],
+    )
+    elements = made.select(F.col("g").alias("elem_id"), F.col("ts").alias("elem_ts"), "g", "s", "p", "o", "o_num")
+    folder, state = fresh_path(t.spark, "constructed"), fresh_path(t.spark, "constructed-state")
+    runner.start(elements, folder, state).start().awaitTermination()
+
+    ends, ticks = runner.end_folder(t.spark, "elem_ts"), Ticks(event_ticks(t, 2, 0).start, micros("PT2H"))
+    again = t.spark.readStream.schema(elements.schema).parquet(folder).where(F.col("p") == ont("reported"))
+    rows = runner.with_end(again.select("elem_ts", F.col("s").alias("place"), "o_num"), ends, "elem_ts")
+    seen = runner.stream_window(rows, "elem_ts", hours(6, 1, ticks), ticks, "PT1H")
+    out = seen.groupBy("tick", "place").agg(F.count(F.lit(1)).alias("n"), F.max("o_num").alias("top"))
+    return runner.drain(t.spark, out, "chained", ends, "elem_ts")
+
+
 @query(
     "A16_choose_graphs",
     f"""SELECT 'urn:default' AS g, s, p, o FROM {PLACE_SQL} WHERE g IN ('<{DATA}graph/0>', '<{DATA}graph/1>')

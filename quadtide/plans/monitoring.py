@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadtide.functions import uncertainty as u
 from quadtide.functions.binding import let
 from quadtide.operators.windows import (
-    Ticks, TimeWindow, join_spans, join_windows, placed, sliding_aggregate, time_columns, unfold,
+    Ticks, TimeWindow, join_many, join_spans, join_windows, placed, sliding_aggregate, time_columns, unfold,
 )
 
 
@@ -92,11 +92,8 @@ def readings_differ(
     c = third.where(F.col("value") > hot_above).select(*time_columns(third), key, F.col("value").alias("value3"))
     parts = [(a, "ts", window), (b, "ts", window), (c, "ts", window)]
     longest = window.max_ticks(ticks)
-    one, two, three = [placed(*part, ticks) for part in parts]
-    if reverse:
-        joined = join_spans(join_spans(three, two, [key], longest), one, [key], longest)
-    else:
-        joined = join_spans(join_spans(one, two, [key], longest), three, [key], longest)
+    shown = [placed(*part, ticks) for part in parts]
+    joined = join_many(shown[::-1] if reverse else shown, [key], longest)
     x, y = shifted("__u1", "value1"), shifted("__u2", "value2")
     joined = joined.withColumns({"p1": u.less_than(x, y), "p2": u.greater_than(x, y)})
     out = ["tick", key, "value1", "value2", "value3"]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quadtide.functions import terms
 from quadtide.operators.quads import with_typed
+from quadtide.sources import records as records_of
 from quadtide.vocab import DEFAULT_GRAPH, GENERATED_AT, RDF_FIRST, RDF_NIL, RDF_REST, RDF_TYPE, XSD, iri
 
 # The record reader travels with the job, so executors need not have this package installed. For
@@ -366,17 +367,18 @@ def read_dataset(
 ) -> DataFrame:
     """Static statements.
 
-    ``unit`` is what one task reads at a time: ``line`` (statements that end where the line ends),
-    ``statement`` (ends with a dot at the end of a line, no graph blocks across such dots), or
-    ``file`` (anything, as long as single files are small). A blank node label is one node in its
-    ``file``, or in the whole ``dataset`` for a folder that was written as one.
+    ``unit`` is what one task reads at a time: ``statement`` (over any number of lines, in graph blocks and
+    files of any size), ``line`` (statements are known to end where the line ends: one pass less), or
+    ``file`` (single files are small). A blank node label is one node in its ``file``, or in the whole
+    ``dataset`` for a folder that was written as one; one without a label belongs to its record.
     """
-    split = {"line": {}, "statement": {"lineSep": ".\n"}, "file": {"wholetext": True}}[unit]
-    records = _numbered(_with_source(spark.read.text(path, **split)))
+    if unit == "statement":
+        found = records_of.cut(spark, path)
+    else:
+        found = _with_source(spark.read.text(path, **{"line": {}, "file": {"wholetext": True}}[unit]))
+    records = _numbered(found)
     whole = F.concat(F.lit("d"), F.substring(F.md5(F.lit(path)), 1, 12))
     records = records.withColumn("scope", whole if labels == "dataset" else F.col("file"))
-    if unit == "statement":
-        records = records.withColumn("value", F.concat("value", F.lit(" .")))
     if unit == "file" and prefixes is None:
         prefixes = {}
     records, known = _with_prefixes(records, prefixes)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from quadtide.operators.windows import Ticks, TimeWindow, micros, window_rows
+from quadtide.operators.windows import HI, LO, Ticks, TimeWindow, micros, spans, unfold, window_rows
 from quadtide.operators.skew import salted_join
 from quadtide.session import fresh_path
 
@@ -56,6 +56,37 @@ def join_streams(left: DataFrame, right: DataFrame, on: list[str], salts: int =
     return left.join(right, keys, "inner") if salts == 1 else salted_join(left, right, keys, salts)
 
 
+def join_stream_windows(
+    left: tuple[DataFrame, TimeWindow], right: tuple[DataFrame, TimeWindow], on: list[str], ticks: Ticks, delay: str, ts: str = "ts"
+) -> DataFrame:
+    """Inner join of the window contents of two streams at the same tick.
+
+    State holds rows as they came, not once per tick: two rows that some tick sees together lie less than
+    the reach of one window (RANGE + STEP) apart, so they are joined by that range of times, which also
+    tells Spark when a row can go, and unfolded behind the join. Time is cut into buckets of four times
+    that reach, so a key that never rests is spread over them; only right rows near an edge are in two.
+    """
+    reach = [w.width + w.step for _, w in (left, right)]
+    size = 4 * max(reach)
+
+    def side(df: DataFrame, window: TimeWindow, name: str) -> DataFrame:
+        kept = df.withWatermark(ts, f"{micros(delay)} microseconds").where(F.col(ts) < F.lit(END).cast("timestamp"))
+        return spans(kept, ts, window, ticks).withColumnsRenamed({c: f"__{name}_{c}" for c in (ts, LO, HI)})
+
+    bucket = lambda name, shift: F.floor((F.unix_micros(f"__{name}_{ts}") + shift) / size)
+    l = side(*left, "l").withColumn("__l_bucket", bucket("l", 0))
+    r = side(*right, "r").withColumn("__r_bucket", F.explode(F.sequence(bucket("r", -reach[0]), bucket("r", reach[1]))))
+    r = r.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    seconds = lambda n: F.expr(f"INTERVAL '{n // 1_000_000}.{n % 1_000_000:06d}' SECOND")
+    lt, rt = F.col(f"__l_{ts}"), F.col(f"__r_{ts}")
+    near = (rt < lt + seconds(reach[0])) & (rt > lt - seconds(reach[1])) & (F.col("__l_bucket") == F.col("__r_bucket"))
+    for k in on:
+        near = near & (F.col(k) == F.col(f"__r_{k}"))
+    both = l.join(r, near, "inner").withColumns({LO: F.greatest(f"__l_{LO}", f"__r_{LO}"), HI: F.least(f"__l_{HI}", f"__r_{HI}")})
+    hidden = [c for c in both.columns if c.startswith(("__l_", "__r_"))]
+    return unfold(both.where(f"{LO} <= {HI}").drop(*hidden), ticks)
+
+
 def _left_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     keys = ["tick", *on]
     other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn("__found", F.lit(True))
@@ -88,14 +119,37 @@ def start(stream: DataFrame, path: str, checkpoint: str, name: str | None = None
 def drain(spark: SparkSession, stream: DataFrame, label: str, ends: str | None = None, ts: str = "ts") -> DataFrame:
     """Run a stream over all data there is and return what it has emitted.
 
-    With ``ends`` the stream is over then: a second run from the same state reads the mark of the end,
-    and the evaluations that were still open come out.
+    With ``ends`` the stream is over then: the running query reads the mark of the end behind the last
+    rows, and the evaluations that were still open come out.
     """
     out, state = fresh_path(spark, f"{label}-out"), fresh_path(spark, f"{label}-state")
-    start(stream, out, state).start().awaitTermination()
-    if ends is not None:
-        mark = spark.range(1).select(F.lit(END).cast("timestamp").alias(ts))
-        mark.write.mode("append").parquet(ends)
+    query = start(stream, out, state, available_now=ends is None).start()
+    if ends is None:
+        query.awaitTermination()
+    else:
+        try:
+            query.processAllAvailable()
+            mark_end(spark, ends, ts)
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def mark_end(spark: SparkSession, ends: str, ts: str = "ts") -> None:
+    spark.range(1).select(F.lit(END).cast("timestamp").alias(ts)).write.mode("append").parquet(ends)
+
+
+def replay(spark: SparkSession, stream: DataFrame, folder: str, parts: list[DataFrame], label: str, ends: str, ts: str = "ts") -> DataFrame:
+    """What a stream over ``folder`` emits if ``parts`` arrive there one after the other, each a
+    micro-batch: rows may come in any order across parts, and those behind the watermark are dropped."""
+    out, state = fresh_path(spark, f"{label}-out"), fresh_path(spark, f"{label}-state")
+    for part in [*parts, None]:
+        if part is None:
+            mark_end(spark, ends, ts)
+        else:
+            part.write.mode("append").parquet(folder)
+        # A run sees the files there are when it starts, so a part is never split.
         start(stream, out, state).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

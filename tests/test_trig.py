@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import terms
+from quadtide.sources.records import Cutter
 from quadtide.sources import sinks, trig
 from tests.conftest import rows
 
@@ -140,8 +141,68 @@ def test_decode_embedded(spark):
     df = spark.createDataFrame([(one,), (two,), (three,), (s,)], "t string")
     got = [r.d for r in df.select(terms.decode_triple(F.col("t")).alias("d")).collect()]
     assert [None if d is None else tuple(d) for d in got] == [(s, p, o), (one, p, one), (two, p, two), None]
-    deep = three
-    for _ in range(3):
-        deep = f"<< {deep} {p} {o} >>"
-    with pytest.raises(Exception, match="cannot split"):
-        spark.createDataFrame([(deep,)], "t string").select(terms.decode_triple(F.col("t"))).collect()
+    for _ in range(6):
+        deep = f"<< {three} {p} {o} >>"
+        d = spark.createDataFrame([(deep,)], "t string").select(terms.decode_triple(F.col("t")).alias("d")).first().d
+        assert tuple(d) == (three, p, o)
+        three = deep
+
+
+def test_embedded_at_any_depth(spark):
+    p, o = "<http://p>", '"<< not >> one \\" >>"'
+    term, inner = "<http://a>", []
+    for n in range(7):
+        term = f"<< {term} {p} {o if n % 2 else term} >>"
+        inner.append(term)
+    df = spark.createDataFrame([(term,), ("<http://a>",), (o,), (f"<< <http://a> {p} {o} >>",)], "t string")
+    got = [r.e for r in df.select(terms.embedded(F.col("t")).alias("e")).collect()]
+    assert set(got[0]) == set(inner) and got[1:] == [None, None, [f"<< <http://a> {p} {o} >>"]]
+
+
+MANY = [
+    "@prefix : <http://x/> .\n", ":a :p 1.5 ; :q \"dot. \" , 'x } y' .\n", "# a comment. with { signs } and \"quotes\n",
+    "GRAPH :g {\n", "  :b :p \"\"\"long. \n\n } . \\\"\"\" still \" in. \n\"\"\" .\n", "  :c :p 2 .\n", "  :d :p <http://y/a.b> # no end.\n}\n",
+    ":e :p '''one\ntwo. \"\"\" three\n''' . :f :p :g . :h :p 3.\n", "{ :i :p 4 }\n", "GRAPH\n\n:k\n{\n:l :p << :m :p 5 >> .\n\n", ":n :p 6 ;\n  :q 7\n}\n",
+    ":o :p _:x . _:x :p 8 .\n", ":last :p 9",
+]
+
+
+@pytest.mark.parametrize("bytes_a_split", [7, 40, 100_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_over_lines_and_splits(spark, tmp_path, bytes_a_split, end):
+    """The same statements however the file is split, with line ends of either kind."""
+    (tmp_path / "a.trig").write_bytes("".join(MANY * 3).replace("\n", end).encode())
+    (tmp_path / "b.trig").write_bytes("".join(MANY).replace(":a ", ":other ").replace("\n", end).encode())
+    (tmp_path / "c.trig").write_text("\n\n")
+    want = set()
+    for file in "ab":
+        text = (tmp_path / f"{file}.trig").read_bytes().decode().split(":last")[0]
+        want |= {r[:4] for r in trig.RecordReader(text, "", {}, "").read() if "_:" not in r[1] + r[3]}
+    want.add(("urn:default", "<http://x/last>", "<http://x/p>", '"9"^^<http://www.w3.org/2001/XMLSchema#integer>'))
+    keys = {"spark.sql.files.maxPartitionBytes": str(bytes_a_split), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = trig.read_dataset(spark, str(tmp_path)).select("g", "s", "p", "o").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {tuple(r) for r in got if "_:" not in r.s + r.o} == want
+    blank = [r for r in got if "_:" in r.s + r.o]
+    assert len(blank) == 4 and len({r.s for r in blank if r.s[0] == "_"}) == 2
+
+
+def test_a_cutter_starts_in_any_state():
+    text = "".join(MANY)
+    whole = Cutter(0, 0, None)
+    records = [x for line in text.splitlines(True) for x in whole.feed(line)]
+    for cut in range(1, len(text), 3):
+        first = Cutter(0, 0, None)
+        head = [x for line in text[:cut].splitlines(True) for x in first.feed(line)]
+        if text[cut - 1] != "\n":
+            continue
+        second = Cutter(first.mode, first.depth, first.header)
+        rest = [x for line in text[cut:].splitlines(True) for x in second.feed(line)]
+        seen = lambda found: [(kind, graph is None) for kind, graph, _, _ in found]
+        assert seen(head + rest) == seen(records)

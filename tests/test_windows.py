@@ -79,6 +79,22 @@ def test_join_windows_matches_the_definition(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_join_of_four_windows_at_once(spark):
+    rng = random.Random(12)
+    ticks = w.Ticks.at(0, "PT0.05S", 30)
+    windows = [w.TimeWindow(width * 1000, step * 1000, 0) for width, step in ((300, 50), (170, 30), (500, 100), (60, 60))]
+    data = [[(ms(rng.randint(0, 1500)), rng.choice("aab"), n) for n in range(14)] for _ in windows]
+    frames = [spark.createDataFrame(d, f"ts timestamp, key string, n{i} long") for i, d in enumerate(data)]
+    got = w.join_windows([(f, "ts", window) for f, window in zip(frames, windows)], [["key"]] * 3, ticks)
+    want = []
+    for k in range(ticks.count):
+        t = k * 50
+        shown = [[r for r in d if t - t % (x.step // 1000) - x.width // 1000 <= (r[0] - EPOCH) / timedelta(milliseconds=1) < t - t % (x.step // 1000)] for d, x in zip(data, windows)]
+        want += [(ms(t), a[1], a[2], b[2], c[2], d[2]) for a in shown[0] for b in shown[1] for c in shown[2] for d in shown[3] if a[1] == b[1] == c[1] == d[1]]
+    assert len(want) > 100
+    assert rows(got.select(F.col("tick").cast("timestamp_ntz"), "key", "n0", "n1", "n2", "n3")) == sorted(want, key=lambda r: tuple((False, str(x)) for x in r))
+
+
 def test_distinct_spans_show_a_key_once_per_tick(spark):
     times = [0, 1, 5, 5, 17, 30, 31]
     df = spark.createDataFrame([(x,) for x in times], "u long").select(F.timestamp_micros("u").alias("ts"), F.lit("q").alias("k"))
