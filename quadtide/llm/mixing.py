@@ -97,6 +97,11 @@ def taken(conf: Mix = Mix()):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", conf: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` in the order of their virtual finish time, repeated once per pass that takes
     them; a document cut at the end of the budget keeps its first words. Rows without words go.
+
+    A null source is one of its own, last. Rows without an id are told apart by size, source and text, as are
+    rows that repeat one; equal rows are each taken in their turn, and m such rows of one id, size and source
+    are matched in m * m pairs. Equal finish times come in the order of ids. Texts are read whole, columns
+    stay as they are, an empty table stays empty.
     """
     key, size, words, turn, finish, skey, nth, own = fresh(docs, "mix_key", "mix_size", "mix_words", "mix_turn", "mix_finish", "mix_source", "row_nth", "row_key")
     name = lambda i: F.coalesce(i.cast("long").cast("string"), F.lit("none"))

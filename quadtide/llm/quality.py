@@ -87,7 +87,11 @@ def fit(x: np.ndarray, y: np.ndarray, conf: Quality):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, conf: Quality):
-    """The model, or None where the labelled rows do not hold both classes."""
+    """The model, or None where the labelled rows do not hold both classes.
+
+    It is fitted on ``conf.sample`` labels, chosen by a hash of their id, and on at most twice as many rows:
+    where documents share a labelled id, each counts until that bound is reached.
+    """
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     marks = labels.select(column(labels, id_col).cast("long").alias("id"), column(labels, label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = marks.orderBy(F.xxhash64("id"), "id", "y").limit(conf.sample)
@@ -140,7 +144,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     A null host or path is a group of its own. A null text, or one without words, has no evidence of
     quality and is rejected. Without labels of both classes all evidence is even and everything else is
-    kept. Repeated rows give a row each and count as often; other columns are not looked at.
+    kept. Repeated rows give a row each and count as often; a posterior at the threshold is kept; texts are
+    read whole; other columns are not looked at; an empty table gives none.
     """
     model = train(docs, labels, id_col, text_col, label_col, conf)
     rows = saved(evidence(docs, model, id_col, text_col, host_col, path_col), "evidence")

@@ -109,7 +109,11 @@ def redact(text: str | None, spans, mark: str = "<SECRET>") -> str | None:
 
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", test: TokenTest = TokenTest()) -> DataFrame:
-    """``docs`` with secrets in the text replaced; everything else as it was."""
+    """``docs`` with secrets in the text replaced; everything else as it was.
+
+    Null texts stay null, empty ones empty; texts are read whole; repeated rows are cleaned alike, ids are
+    not looked at; an empty table stays empty.
+    """
     path = test.vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

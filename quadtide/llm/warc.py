@@ -30,8 +30,10 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(``page_id``, ``record_id``, ``uri``, ``date``, ``block``): stored pages as response records.
 
-    A null page has an empty body, a null url the empty uri. The id follows from page id, url and body,
-    so repeated rows are the same record.
+    The pages at hand have no stored answers: status line, the two header fields and ``date`` are made here,
+    the same for all. A null page has an empty body, a null url the empty uri, a null id stays null. The id
+    follows from page id, url and body, so repeated rows are the same record. Pages are read whole; other
+    columns are not looked at; an empty table gives none.
     """
     body = F.coalesce(column(pages, html_col).cast("string").cast("binary"), F.lit(b""))
     length = F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")
@@ -117,7 +119,11 @@ def derivatives(records: DataFrame, key_col: str = "page_id") -> DataFrame:
 
 
 def members(records: DataFrame) -> DataFrame:
-    """Each derivative as a ``member``: one gzip member, the bytes of which concatenate to a WARC file."""
+    """Each derivative as a ``member``: one gzip member, the bytes of which concatenate to a WARC file.
+
+    ``records`` are rows of ``derivatives``, which holds no nulls in their fields; equal ones give equal
+    members, contents of any length are one member, an empty table gives none.
+    """
 
     def run(batches):
         for b in batches:
