@@ -15,7 +15,8 @@ def _same_columns(out: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier rejects go. A rejected document is known by its id and text."""
+    """Documents the classifier rejects go. A rejected document is known by its id, which may be null, and
+    text; rows that repeat both share the decision. Null texts and texts without words are rejected."""
     found = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     i, v = fresh(docs, "score_id", "score_version")
     bad = found.where(~F.col("kept")).select(F.col("id").alias(i), F.col("version").alias(v)).distinct()
@@ -23,22 +24,23 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words a shingle, similarity 0.8."""
+    """One document of each group of near duplicates stays, the one with the smallest id, null last: five words
+    a shingle, similarity 0.8. Documents without words stay; rows equal in id and text stay once."""
     return neardup.keep_one(docs)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it are replaced in the text."""
+    """Personal data and terms that disclose it are replaced in the text; all rows stay, null texts null."""
     return _same_columns(pii.sanitise(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, in its order."""
+    """Rows as often as the mix takes them, in its order; rows without words go, a null source is one of its own."""
     return _same_columns(mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
+    """Pieces of token sequences, with their ids; a null text is an empty one, a null id stays null."""
     return packing.pack(docs, with_ids=True)
 
 
@@ -55,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written to the shared folder and read again."""
+    """The stages in order over ``documents``, each written to the shared folder and read again. An empty
+    table gives no pieces; columns beyond those of ``documents`` are carried to the last stage."""
     sf_dir = sf_dir.rstrip("/")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
