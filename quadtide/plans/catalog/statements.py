@@ -61,7 +61,7 @@ def _a1(t: Tables):
     "A1_blocks_over_many_lines",
     f"""SELECT {node('graph', 'o_orderkey')} AS g, count(*) AS lines, sum(l_quantity) AS quantity, min(length(note)) AS note FROM (
  SELECT o_orderkey, l_quantity, 'Order ' || o_orderkey || chr(10) || 'is ' || o_orderstatus || '. ' || chr(10) || '}} End.' AS note
- FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey""",
+ FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem) ON l_orderkey = o_orderkey) GROUP BY o_orderkey""",
 )
 def _a1_blocks(t: Tables):
     # An order is a block of several lines, with a literal that holds line ends, dots and a brace; half of

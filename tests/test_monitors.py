@@ -50,21 +50,23 @@ def test_low_while_hot(spark, hot_first):
 
 
 def element(stream, kind, n, sec, place, value, unc=None):
-    obs = f"<observation/{kind}/{place}#{n}>"
-    time = f'"2021-03-01T10:00:{sec:02d}"^^xsd:dateTime'
-    note = f' << {obs} sosa:hasSimpleResult {value} >> unc:uncertainty "{unc}"^^unc:distribution .' if unc else ""
-    return (
-        f"GRAPH <graph/{kind}_{place}#{n}> {{ {obs} rdf:type sosa:Observation ; sosa:hasFeatureOfInterest <location/{place}> ; "
-        f"sosa:madeBySensor <sensor/{kind}#{place}> ; sosa:resultTime {time} ; sosa:hasSimpleResult {value} .{note} }} "
-        f"<graph/{kind}#{n}> prov:generatedAtTime {time} .\n"
-    )
+    """One reading on one line: when it was said, then what was said."""
+    said, reading = f"<said/{stream}/{n}>", f"<reading/{stream}-{n}>"
+    facts = [
+        f"{reading} sosa:hasFeatureOfInterest <location/{place}>", f"{reading} sosa:hasSimpleResult {value}",
+        f"{reading} sosa:madeBySensor <device/{place}/{kind}>", f"{reading} a sosa:Observation",
+    ]
+    if unc:
+        facts.insert(0, f'<< {reading} sosa:hasSimpleResult {value} >> unc:uncertainty "{unc}"^^unc:distribution')
+    when = f'{said} prov:generatedAtTime "2021-03-01T10:00:{sec:02d}"^^xsd:dateTime .'
+    return f"{when} GRAPH {said} {{ {' . '.join(facts)} . }}\n"
 
 
 STATIC = HEAD + """
 :OxygenSensor1 a sosa:Sensor ; unc:uncertainty "U(-0.02,0.02)"^^unc:distribution .
 :TemperatureSensor1 a sosa:Sensor ; unc:uncertainty "U(-3,3)"^^unc:distribution .
 """ + "".join(
-    f"<sensor/{kind}#{i}> a sosa:Sensor, :{cls} ;\n  :location <location/{i}> .\n"
+    f"<device/{i}/{kind}> a sosa:Sensor, :{cls} ;\n  :location <location/{i}> .\n"
     for i in (0, 1) for kind, cls in (("OS1", "OxygenSensor1"), ("OS2", "OxygenSensor2"), ("TS1", "TemperatureSensor1"), ("TS2", "TemperatureSensor2"))
 )
 
