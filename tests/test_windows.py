@@ -83,7 +83,7 @@ def test_join_of_four_windows_at_once(spark):
     rng = random.Random(12)
     ticks = w.Ticks.at(0, "PT0.05S", 30)
     windows = [w.TimeWindow(width * 1000, step * 1000, 0) for width, step in ((300, 50), (170, 30), (500, 100), (60, 60))]
-    data = [[(ms(rng.randint(0, 1500)), rng.choice("aab"), n) for n in range(14)] for _ in windows]
+    data = [[(ms(rng.randint(0, 1500)), rng.choice("aab"), n) for n in range(24)] for _ in windows]
     frames = [spark.createDataFrame(d, f"ts timestamp, key string, n{i} long") for i, d in enumerate(data)]
     got = w.join_windows([(f, "ts", window) for f, window in zip(frames, windows)], [["key"]] * 3, ticks)
     want = []
