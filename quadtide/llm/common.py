@@ -22,11 +22,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_CACHE = 1 << 20
 
 
+#: Spark's setting to remove the shuffle files of a query that is done.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Written to the session's shared folder and read back: cuts lineage, survives a lost executor."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written to the session's shared folder and read back: cuts lineage, survives a lost executor. The
+    shuffle files behind it have served then and go, rather than stay until the driver collects garbage."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:

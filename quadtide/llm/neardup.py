@@ -37,7 +37,7 @@ class NearDup:
 
     ``rows`` hashes make a band, and there are as many bands as keep the chance of missing a pair at
     the threshold below ``band_miss``. ``miss`` is the chance of dropping a true pair at each batch of
-    ``batch`` compared hashes.
+    ``batch`` compared hashes. At most ``sent`` rows of 24 bytes are broadcast.
     """
 
     k: int = 5
@@ -48,6 +48,7 @@ class NearDup:
     batch: int = 32
     miss: float = 1e-7
     seed: int = 7
+    sent: int = 500_000
 
     @property
     def bands(self) -> int:
@@ -81,23 +82,31 @@ def minhash(h: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
+def hashes(text) -> list:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, conf: NearDup) -> DataFrame:
-    """One row per document: ``id``, ``n`` shingles, ``cls`` (null if none) and its ``sig``."""
+    """One row per document: ``id``, the hash ``h1``, ``h2`` of its text, ``n`` shingles, ``cls`` (null if
+    none) and its ``sig``."""
     mul, add = conf.permutations()
 
     def sign(batches):
         shingles = Shingler(conf.k)
         for b in batches:
             n, cls, sig = [], [], []
-            for text in b.column(1):
+            for text in b.column(3):
                 h = shingles(text.as_py())
                 n.append(len(h))
                 cls.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sig.append(minhash(h, mul, add).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "cls", "sig"])
+            made = [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["id", "h1", "h2", "n", "cls", "sig"])
 
-    rows = small_batches(docs).select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, cls binary, sig binary")
+    text = column(docs, text_col).cast("string")
+    rows = small_batches(docs).select(column(docs, id_col).cast("long").alias("id"), *hashes(text), text.alias("text"))
+    return rows.mapInArrow(sign, "id long, h1 long, h2 long, n long, cls binary, sig binary")
 
 
 def band_rows(classes: DataFrame, conf: NearDup) -> DataFrame:
@@ -137,8 +146,19 @@ def plausible(pairs: DataFrame, classes: DataFrame, conf: NearDup) -> DataFrame:
     return both.where(sizes).select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, conf: NearDup) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold, among the documents of ``docs``."""
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, conf: NearDup) -> DataFrame:
+    """(``id``, ``text``), one text of each class in ``nodes``. The table of classes that are asked for is sent
+    to the texts while it has at most ``conf.sent`` rows of 24 bytes; beyond that both are shuffled."""
+    asked = saved(nodes.join(classes.select("id", "h1", "h2"), "id"), "asked")
+    text = column(docs, text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(*hashes(text), text.alias("text"))
+    found = rows.join(F.broadcast(asked) if asked.count() <= conf.sent else asked, ["h1", "h2"])
+    # Copies of a text are dropped in their own tasks first.
+    return found.select("id", "text").dropDuplicates(["id"])
+
+
+def exact_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, conf: NearDup) -> DataFrame:
+    """The pairs of classes whose full shingle sets reach the threshold."""
 
     def verify(batches):
         shingles, last = Shingler(conf.k), (None, None)
@@ -154,8 +174,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, c
             yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    texts = texts.join(ends, "id", "left_semi")
+    texts = texts_of(ends, classes, docs, text_col, conf)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
@@ -300,25 +319,24 @@ def family_links(rows: DataFrame, conf: NearDup) -> DataFrame:
     return small_batches(block_pairs(rows, "family", ["text"], 64), 4).mapInArrow(verify, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: NearDup = NearDup()) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``n`` (set size), ``component`` (smallest id reachable).
+def connected(docs: DataFrame, id_col: str, text_col: str, conf: NearDup) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``h1``, ``h2``, ``n``, ``root`` (a number its component has for
+    itself, null without shingles) and ``component``.
 
-    Null, empty and white-space texts have no shingles, size 0, and are alone. Rows that repeat an id
-    with the same words are one document; with other words they are linked to it where the id is the
-    smallest of both classes. A null id takes the component of its text, null if only null ids share
-    it. Any length of text is read whole; other columns are not looked at; an empty table gives none.
+    Classes are numbered as they are written, so a document needs no id to be linked.
     """
     signed = saved(signatures(docs, id_col, text_col, conf), "signed")
-    classes = signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = saved(classes, "classes")
-    known = classes.where("id IS NOT NULL").select("id", "n", "sig")
+    classes = signed.where("cls IS NOT NULL").groupBy("cls")
+    classes = classes.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("h1", "h2")).alias("h"))
+    classes = saved(classes.select("cls", "least", "n", "sig", "h.*", F.monotonically_increasing_id().alias("id")), "classes")
+    known = classes.select("id", "n", "sig")
     bands = band_rows(known, conf)
     leads = bands.groupBy("bk").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
     shared = saved(bands.join(leads, "bk").select("bk", "lead", "id"), "bands")
 
     stars = shared.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     maybe = saved(plausible(stars, known, conf), "plausible")
-    links = saved(exact_links(maybe, docs, id_col, text_col, conf), "links")
+    links = saved(exact_links(maybe, classes, docs, text_col, conf), "links")
     roots = components(links)
 
     # Members of one bucket that its star has not connected.
@@ -330,24 +348,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         families = components(alike).toDF("root", "family")
         families = families.union(families.select("family", "family").distinct())
         members = roots.select("id", "root").union(families.select("root", "root")).union(roots.select("root", "root")).distinct()
-        families = members.join(families, "root").select("id", "root", "family")
-        texts = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-        rows = texts.join(families, "id").dropDuplicates(["id", "text"])
+        families = saved(members.join(families, "root").select("id", "root", "family"), "families")
+        rows = texts_of(families.select("id").distinct(), classes, docs, text_col, conf).join(families, "id")
         more = saved(family_links(rows, conf), "links")
         small_batches(docs)
         roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more))
 
-    named = classes.select("cls", "id").join(roots, "id", "left").select("cls", F.coalesce("root", "id").alias("component"))
-    out = signed.select("id", "n", "cls").join(named, "cls", "left")
-    return out.select("id", "n", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    named = saved(classes.select("cls", "id", "least").join(roots, "id", "left").select("cls", "least", F.coalesce("root", "id").alias("root")), "roots")
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(least, "root").select("cls", "root", "component")
+    out = signed.select("id", "h1", "h2", "n", "cls").join(named, "cls", "left")
+    return out.select("id", "h1", "h2", "n", "root", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: NearDup = NearDup()) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``n`` (set size), ``component`` (smallest id reachable).
+
+    Null, empty and white-space texts have no shingles, size 0, and are alone. Documents without an id are
+    linked like others, and their component is null only where none of it has an id. Rows that repeat an
+    id are documents of their own, linked by their texts only. Any length of text is read whole; other
+    columns are not looked at; an empty table gives none.
+    """
+    return connected(docs, id_col, text_col, conf).select("id", "n", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: NearDup = NearDup()) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, equal rows once.
+    """One row of each component of ``docs``: that with the smallest id, null last, ties to the smallest
+    hash of the text; equal rows once.
 
-    Rows that share an id, or have none, but differ in their text are kept.
+    Rows without shingles, of null, empty or white-space texts, are components of their own; those with
+    the same id (or none) and text are equal. The row of a component is chosen by id and hash before
+    texts move, and each text moves once. Columns stay as they are; an empty table gives none.
     """
-    found = near_duplicates(docs, id_col, text_col, conf).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    (key,) = fresh(docs, "kept_id")
-    kept = docs.join(found.withColumnRenamed("id", key), column(docs, id_col).eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    found = connected(docs, id_col, text_col, conf).withColumn("none", F.col("id").isNull())
+    key = F.struct("none", "id", "h1", "h2")
+    chosen = found.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    chosen = chosen.union(found.where("root IS NULL").select("none", "id", "h1", "h2").distinct())
+    own = fresh(docs, "kept_none", "kept_id", "kept_h1", "kept_h2")
+    chosen = chosen.select("none", F.coalesce("id", F.lit(0)), "h1", "h2").toDF(*own)
+    i, text = column(docs, id_col).cast("long"), column(docs, text_col).cast("string")
+    rows = docs.withColumns(dict(zip(own, [i.isNull(), F.coalesce(i, F.lit(0)), *hashes(text)])))
+    # Both steps ask for the same keys, so the second finds its rows in place and in order.
+    return rows.join(chosen, own, "left_semi").dropDuplicates(own).drop(*own)

@@ -8,6 +8,7 @@ are generalised wherever they stand, and removed where they give nearly all of i
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,11 +35,15 @@ TERM = r"[\p{L}\p{N}]{3,}"
 @dataclass(frozen=True)
 class Disclosure:
     """A term is weighed if it stands in ``support`` documents that are not all one text. It counts as
-    disclosing from ``threshold`` of an entity's information on, and is removed from ``remove`` on."""
+    disclosing from ``threshold`` of an entity's information on, and is removed from ``remove`` on, if it
+    meets the entity more often than chance: all entities together may give at most ``chance`` such
+    meetings a term. At most ``sent`` numbers are broadcast."""
 
     support: int = 2
     threshold: float = 0.8
     remove: float = 0.95
+    chance: float = 0.05
+    sent: int = 1_000_000
 
 
 def positions(text: Column, pattern: str) -> Column:
@@ -138,7 +143,8 @@ def disclosing(held: DataFrame, seen: DataFrame, n: int, conf: Disclosure) -> Da
     part = lambda i: F.sum(F.pmod(F.xxhash64(F.lit(i), "doc"), F.lit(1 << 31)))
     groups = mentions.groupBy("entity").agg(F.count("*").alias("with_entity"), *(part(i).alias(f"s{i}") for i in range(3)))
     groups = saved(groups.where(F.col("with_entity") < n), "entities")
-    top = groups.agg(F.max("with_entity")).first()[0] or 0
+    top, entities = groups.agg(F.max("with_entity"), F.count("*")).first()
+    top = top or 0
     of_doc = mentions.join(groups, "entity").select("doc", "with_entity", "s0", "s1", "s2").distinct()
     # A term in more documents than this has a smaller share even if every document of the entity holds it.
     most = lambda w: F.lit(n) * F.pow(w / F.lit(max(n, 1)), F.lit(conf.threshold)) * (1 + 1e-9)
@@ -151,7 +157,12 @@ def disclosing(held: DataFrame, seen: DataFrame, n: int, conf: Disclosure) -> Da
     pairs = pairs.groupBy("term", "with_term", "with_entity", "s0", "s1", "s2").agg(F.count("*").alias("both"))
     pmi = F.log(F.col("both") * F.lit(n) / (F.col("with_term") * F.col("with_entity")))
     share = F.least(pmi / F.log(F.lit(n) / F.col("with_entity")), F.lit(1.0))
-    return pairs.select("term", share.alias("share")).where(F.col("share") >= conf.threshold).groupBy("term").agg(F.max("share").alias("share"))
+    # If the term fell on documents at random, ``expected`` of them would hold the entity, and ``both`` or
+    # more with a chance of at most expected ** both / both!, which exp(-surprise) bounds.
+    expected = F.col("with_term") * F.col("with_entity") / F.lit(max(n, 1))
+    surprise = F.col("both") * F.log(F.col("both") / expected) - F.col("both") + F.log(2 * math.pi * F.col("both")) / 2
+    sure = (F.col("both") > expected) & (surprise >= math.log(max(entities, 1) / conf.chance))
+    return pairs.where(sure).select("term", share.alias("share")).where(F.col("share") >= conf.threshold).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def guilty_of(docs: DataFrame, id_col: str, text_col: str, conf: Disclosure) -> DataFrame:
@@ -163,10 +174,13 @@ def guilty_of(docs: DataFrame, id_col: str, text_col: str, conf: Disclosure) ->
     held = held.select(F.xxhash64("id", "version").alias("doc"), F.array_distinct(F.transform("base", entity)).alias("entities"), terms_in(F.col("bare")).alias("terms"))
     seen = rows.select("id", "version", F.explode(terms_in(F.col("bare"))).alias("term"))
     guilty = saved(disclosing(saved(held, "held"), seen.select("version", "term"), docs.count(), conf), "guilty")
-    # At most that many numbers, so safe to broadcast; they keep nearly all other terms out of the join's shuffle.
-    number = lambda term: F.pmod(F.xxhash64(term), F.lit(1 << 18)).cast("int")
-    numbers = guilty.select(number("term").alias("number")).distinct()
-    seen = seen.withColumn("number", number("term")).join(F.broadcast(numbers), "number", "left_semi").drop("number")
+    # Numbers out of a range 64 times as large as they are many let one in 64 other terms pass. Beyond the
+    # bound all terms go to the join.
+    many = guilty.count()
+    if many <= conf.sent:
+        number = lambda term: F.pmod(F.xxhash64(term), F.lit(64 * max(many, 1)))
+        numbers = guilty.select(number("term").alias("number")).distinct()
+        seen = seen.withColumn("number", number("term")).join(F.broadcast(numbers), "number", "left_semi").drop("number")
     hits = seen.join(guilty, "term").distinct().groupBy("id", "version").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("guilty"))
     return saved(hits.select(F.col("id").alias("i"), F.col("version").alias("v"), "guilty"), "disclosing")
 
@@ -205,7 +219,12 @@ def sanitised(text: Column, base: Column, terms: Column, conf: Disclosure) -> Co
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of the text; other rows and columns as
-    they were."""
+    they were.
+
+    Null and empty texts stay; texts are read whole; repeated rows are cleaned alike and count as documents
+    each; rows without an id are told apart by their text; where spans overlap the one that starts first is
+    replaced; an empty table stays empty.
+    """
     i, v, g = fresh(docs, "own_id", "own_version", "own_guilty")
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
     found = guilty_of(docs, id_col, text_col, conf).select(F.col("i").alias(i), F.col("v").alias(v), F.col("guilty").alias(g))

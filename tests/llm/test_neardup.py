@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -8,23 +9,33 @@ from quadtide.llm.neardup import NearDup, common_counts, keep_one, near_duplicat
 CONF = NearDup(k=3, num=85, den=100)
 
 
-def brute(docs, conf):
-    sets = {i: set(Shingler(conf.k)(t).tolist()) for i, t in docs}
-    root = {i: i for i in sets}
+def shingles(text, k):
+    """Sets of word tuples, without hashing."""
+    words = [w.lower() if w.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0d]+", text or "")]
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
+
+
+def components_of(texts, conf):
+    """(set size, component) by place, from all pairs."""
+    sets, root = [shingles(t, conf.k) for t in texts], list(range(len(texts)))
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
             common = len(sets[a] & sets[b])
-            if a < b and common and conf.den * common >= conf.num * len(sets[a] | sets[b]):
+            if common and conf.den * common >= conf.num * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
-    return {i: (len(sets[i]), top(i)) for i in ids}
+    return [(len(s), top(i)) for i, s in enumerate(sets)]
+
+
+def brute(docs, conf):
+    docs = sorted(docs)
+    return {docs[i][0]: (n, docs[top][0]) for i, (n, top) in enumerate(components_of([t for _, t in docs], conf))}
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +59,20 @@ def test_equals_all_pairs(spark, family):
     assert {r.id: (r.n, r.component) for r in got} == brute(family, CONF)
 
 
+def test_documents_without_an_id_are_linked(spark, family):
+    """Ids of every third document only, and some ids twice with other texts."""
+    docs = [(None if i % 3 else i // 2, t) for i, t in family] + [(None, "alone without an id in the whole table")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), conf=CONF)
+    found = components_of([t for _, t in docs], CONF)
+    least = {}
+    for (i, _), (_, top) in zip(docs, found):
+        least[top] = min((x for x in (least.get(top), i) if x is not None), default=None)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((i, n, least[top]) for (i, _), (n, top) in zip(docs, found)), key=key)
+    kept = keep_one(spark.createDataFrame(docs, "doc_id long, text string"), conf=CONF).collect()
+    assert len(kept) == len(least) and sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(x for x in least.values() if x is not None)
+
+
 def test_pairs_within_a_group_are_not_needed(spark):
     base = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(base + [f"tail{i}"])) for i in range(700)]
