@@ -371,7 +371,7 @@ def suffix_array(text: np.ndarray, level: int, depth: int, memory: int, base: in
     return np.append(tape.array(), len(text) - 1)[::-1]
 
 
-def descending(text: np.ndarray, level: int = 0, depth: int = 50, memory: int = 64 << 20, base: int = 1 << 22, carry: bool = True):
+def descending(text: np.ndarray, level: int = 0, depth: int = 50, memory: int = 64 << 20, base: int = 1 << 21, carry: bool = True):
     """Chunks of position * 256 + common prefix with the entry before, up to ``depth`` (below 256), for all
     suffixes but the last, in descending order as far as ``depth`` symbols tell them apart.
 

@@ -7,8 +7,9 @@ with one anchor travel as one piece of text.
 
 A shard is sorted by induced suffix sorting (``induced``): its texts, queues and orders are on disk beyond
 ``memory`` bytes. In the order, suffixes that share ``window`` bytes are neighbours, and the smallest
-document among them owns the window; all others lose it. Pieces whose anchor is in one document only have
-no partner and are left out; pieces that are equal are carried as one with their smallest document.
+document among them owns the window; all others lose it. Pieces that are equal are carried as one with their
+smallest document, and pieces whose anchor is in no other piece, or in one document only, have no partner to
+be compared with.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: A document without an id comes after all others.
 LAST = (1 << 63) - 1
 
-PIECES = [("size", np.uint32), ("start", np.uint32), ("mark", np.uint32), ("id", np.int64), ("key", np.int64)]
+#: Bytes of text that are cut into pieces at a time.
+SLAB = 1 << 20
+
+PIECES = [("size", np.uint32), ("start", np.uint32), ("id", np.int64), ("key", np.int64)]
 
 
 @dataclass(frozen=True)
@@ -41,17 +45,18 @@ class Repeats:
     make a shard; tasks hold about ``memory`` bytes of each of their buffers."""
 
     window: int = 50
-    anchor: int = 12
+    anchor: int = 16
     longest: int = 4096
-    shard: int = 20 << 20
-    memory: int = 64 << 20
+    shard: int = 6 << 20
+    memory: int = 32 << 20
 
 
 def anchors(x: np.ndarray, conf: Repeats) -> np.ndarray:
     """The smallest hash in each window of some bytes."""
     n, hashes = len(x) - conf.window + 1, np.zeros(len(x) - conf.anchor + 1, np.uint64)
-    words = np.ndarray((len(x) - 3,), "<u4", np.ascontiguousarray(x), strides=(1,))
-    for at in [*range(0, conf.anchor - 4, 4), conf.anchor - 4]:
+    unit = 8 if conf.anchor >= 8 else 4
+    words = np.ndarray((len(x) - unit + 1,), f"<u{unit}", np.ascontiguousarray(x), strides=(1,))
+    for at in [*range(0, conf.anchor - unit, unit), conf.anchor - unit]:
         hashes ^= words[at : at + len(hashes)]
         hashes *= np.uint64(0x9E3779B97F4A7C15)
         hashes ^= hashes >> np.uint64(29)
@@ -73,15 +78,23 @@ def pieces(x: np.ndarray, ends: np.ndarray, conf: Repeats):
     if len(x) < conf.window:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     low = anchors(x, conf)
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(low)]
-    ok = np.flatnonzero(np.arange(len(low)) + conf.window <= ends[doc])
-    low, doc = low[ok], doc[ok]
-    lead = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))[: len(ok)]
-    first = np.flatnonzero(lead)
-    rank = np.arange(len(ok)) - np.repeat(first, np.diff(np.append(first, len(ok))))
-    first = np.flatnonzero(rank % conf.longest == 0)
-    windows = np.diff(np.append(first, len(ok)))
-    return doc[first], ok[first], windows + conf.window - 1, low[first]
+    # A piece starts where the anchor changes, and with each document; what is left of it at the document's
+    # end has no room for a window.
+    begins = ends - np.diff(ends, prepend=0)
+    last = np.minimum(ends - conf.window + 1, len(low))
+    lead = np.flatnonzero(low[1:] != low[:-1]) + 1
+    own = begins[last > begins]
+    first = np.unique(np.concatenate([lead, own]))
+    doc = np.searchsorted(ends, first, "right")
+    ok = first < last[doc]
+    first, doc = first[ok], doc[ok]
+    windows = np.minimum(np.append(first[1:], len(low)), last[doc]) - first
+    if len(windows) and windows.max() > conf.longest:
+        parts = -(-windows // conf.longest)
+        at = np.repeat(np.arange(len(parts)), parts)
+        shift = (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)) * conf.longest
+        first, doc, windows = first[at] + shift, doc[at], np.minimum(windows[at] - shift, conf.longest)
+    return doc, first, windows + conf.window - 1, low[first]
 
 
 def _bytes_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +112,11 @@ def sharded(rows: DataFrame, shards: int, conf: Repeats) -> DataFrame:
     schema = pa.schema([("shard", pa.int32()), ("part", pa.binary())])
 
     def cut(batches):
-        held, size, pack = {}, 0, zstandard.ZstdCompressor(level=1).compress
+        held, size, pack = {}, 0, zstandard.ZstdCompressor(level=3).compress
 
         def out():
             for shard, parts in held.items():
-                columns = [np.concatenate([p[j] for p in parts]).tobytes() for j in range(len(PIECES) + 1)]
+                columns = [planes(np.concatenate([p[j] for p in parts])) for j in range(len(PIECES) + 1)]
                 count = sum(len(p[0]) for p in parts).to_bytes(8, "little")
                 part = pack(b"".join([count, *columns]))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.binary())], schema=schema)
@@ -111,34 +124,43 @@ def sharded(rows: DataFrame, shards: int, conf: Repeats) -> DataFrame:
 
         for b in batches:
             x, ends = _bytes_of(b.column(2))
-            doc, start, length, low = pieces(x, ends, conf)
-            low = (low ^ (low >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-            shard = ((low >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            doc, start, length, low, shard = (v[order] for v in (doc, start, length, low, shard))
-            begin = np.append(0, ends[:-1])[doc]
-            ids, keys = (b.column(j).to_numpy(zero_copy_only=False)[doc] for j in (0, 1))
-            texts, text_ends = gather(x, start, length), np.cumsum(length)
-            cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)]
-            for i, j in zip(cuts, np.append(cuts[1:], len(shard))):
-                own = [length[i:j], start[i:j] - begin[i:j], low[i:j] & np.uint64(0xFFFFFFFF), ids[i:j], keys[i:j]]
-                text = texts[text_ends[i] - length[i] : text_ends[j - 1]]
-                held.setdefault(int(shard[i]), []).append([*(v.astype(k) for v, (_, k) in zip(own, PIECES)), text.copy()])
-            size += len(texts) + 28 * len(doc)
-            if size > conf.memory:
-                yield from out()
-                size = 0
+            begins = np.append(0, ends[:-1])
+            ids, keys = (b.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+            # By windows that start in one slab, so a long text takes no more memory than others.
+            for s in range(0, len(x), SLAB):
+                part = x[s : s + SLAB + conf.window - 1]
+                doc, start, length, low = pieces(part, np.clip(ends - s, 0, len(part)), conf)
+                low = (low ^ (low >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                shard = ((low >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                doc, start, length, shard = (v[order] for v in (doc, start, length, shard))
+                texts, text_ends, at = gather(part, start, length), np.cumsum(length), start + s - begins[doc]
+                cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)]
+                for i, j in zip(cuts, np.append(cuts[1:], len(shard))):
+                    own = [length[i:j], at[i:j], ids[doc[i:j]], keys[doc[i:j]]]
+                    text = texts[text_ends[i] - length[i] : text_ends[j - 1]]
+                    held.setdefault(int(shard[i]), []).append([*(v.astype(k) for v, (_, k) in zip(own, PIECES)), text.copy()])
+                size += len(texts) + 24 * len(doc)
+                if size > conf.memory:
+                    yield from out()
+                    size = 0
         yield from out()
 
     return rows.select("id", "key", "text").mapInArrow(cut, "shard int, part binary")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by their place in the number, which compress better."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
 def unpacked(part: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(part)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
     for _, kind in PIECES:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
     return [*out, np.frombuffer(raw, np.uint8, -1, at)]
 
 
@@ -150,7 +172,7 @@ class Shard:
         tape = lambda kind: Tape(kind, conf.memory)
         self.text = tape(np.uint8)
         # Of different pieces: size, anchor, smallest document. Of all: piece, document, key, start.
-        self.size, self.mark, self.owner = tape(np.int64), tape(np.uint32), tape(np.int64)
+        self.size, self.mark, self.owner = tape(np.int64), tape(np.uint64), tape(np.int64)
         self.piece, self.id, self.key, self.start = tape(np.int64), tape(np.int64), tape(np.int64), tape(np.int64)
 
     def add(self, part: bytes) -> None:
@@ -163,7 +185,7 @@ class Shard:
         """Equal pieces among those waiting become one."""
         if not self.waiting:
             return
-        size, start, mark, ids, keys, text = (np.concatenate([w[j] for w in self.waiting]) for j in range(len(PIECES) + 1))
+        size, start, ids, keys, text = (np.concatenate([w[j] for w in self.waiting]) for j in range(len(PIECES) + 1))
         self.waiting, self.bytes = [], 0
         ends, raw, known = np.cumsum(size, dtype=np.int64), text.tobytes(), {}
         begins = ends - size
@@ -172,7 +194,10 @@ class Shard:
         np.minimum.at(owner, which, ids)
         np.minimum.at(first, which, np.arange(len(size)))
         self.text.write(gather(text, begins[first], size[first]))
-        for tape, values in ((self.size, size[first]), (self.mark, mark[first]), (self.owner, owner)):
+        # All windows of a piece have the anchor of its first one.
+        window = self.conf.window
+        mark = anchors(gather(text, begins[first], np.full(len(first), window)), self.conf)[::window]
+        for tape, values in ((self.size, size[first]), (self.mark, mark), (self.owner, owner)):
             tape.write(values)
         for tape, values in ((self.piece, which + self.n), (self.id, ids), (self.key, keys), (self.start, start)):
             tape.write(values)
@@ -260,13 +285,13 @@ def owned_elsewhere(text, size, mark, owner, piece, ids, conf: Repeats):
 
 
 def _single(mark, piece, ids) -> np.ndarray:
-    """Whether each piece's anchor is in the texts of one document only."""
-    names, code = np.unique(mark, return_inverse=True)
+    """Whether each piece's anchor is in the texts of one document only, or in no other piece."""
+    names, code, count = np.unique(mark, return_inverse=True, return_counts=True)
     least, most = np.full(len(names), LAST, np.int64), np.full(len(names), -LAST - 1, np.int64)
     of = code[piece]
     np.minimum.at(least, of, ids)
     np.maximum.at(most, of, ids)
-    return (least == most)[code]
+    return ((least == most) | (count == 1))[code]
 
 
 def lost(parts: DataFrame, shards: int, conf: Repeats) -> DataFrame:
@@ -318,10 +343,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conf
     """
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
     own = column(docs, id_col).cast("long")
-    rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), F.xxhash64(own, text).alias("key"), text.alias("text"), own.alias("name"))
     # Bytes of the texts, each about three times among the pieces.
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-3 * total // conf.shard))
+    total, count, names = docs.agg(F.sum(F.octet_length(text)), F.count("*"), F.count_distinct(own)).first()
+    shards = max(1, -(-3 * (total or 0) // conf.shard))
+    # Ids that name one row each do so without a hash of its text.
+    key = F.lit(0).cast("long") if count == names else F.xxhash64(own, text)
+    rows = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), key.alias("key"), text.alias("text"), own.alias("name"))
     spans = saved(lost(sharded(small_batches(rows), shards, conf), shards, conf), "lost")
     small_batches(rows)
     spans = spans.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

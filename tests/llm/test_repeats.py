@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quadtide.llm import induced
-from quadtide.llm.repeats import LAST, Repeats, anchors, pieces, remove, without
+from quadtide.llm.repeats import LAST, SLAB, Repeats, anchors, pieces, remove, without
 
 SCHEMA = "doc_id long, text string"
 
@@ -102,6 +102,14 @@ def test_equals_a_table_of_all_windows(spark, conf):
     assert sum(w[3] for w in want) > 1000 and any(w[3] == 0 < w[1] for w in want)
 
 
+def test_long_texts_are_cut_in_slabs(spark):
+    """Passages on and around the edges of slabs, in one text of several slabs and in short ones."""
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh") for _ in range(2 * SLAB + 500))
+    docs = [(5, long), (9, "x" + long[SLAB - 70 : SLAB + 60] + "y"), (7, long[SLAB - 25 : SLAB + 25]), (8, long[2 * SLAB - 49 : 2 * SLAB + 1]), (6, long[SLAB - 24 : SLAB + 25])]
+    assert found(remove(spark.createDataFrame(docs, SCHEMA))) == brute(docs)
+
+
 def test_no_ids_and_repeated_ids(spark):
     docs = corpus(30, 2)
     docs = [(None if i % 5 == 0 else i // 3, t) for i, t in docs] + docs[:4] + docs[:4]
