@@ -7,13 +7,14 @@ subject and object, a :class:`Quoted` statement. A match is a DataFrame with one
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadtide.functions import terms
-from quadtide.operators.quads import KEY, TYPED, with_typed
+from quadtide.operators.quads import KEY, TYPED, sorted_join, with_typed
 from quadtide.vocab import (
     DEFAULT_GRAPH, RDF_OBJECT, RDF_PREDICATE, RDF_STATEMENT, RDF_SUBJECT, RDF_TYPE,
 )
@@ -75,7 +76,7 @@ def match(quads: DataFrame, pattern: Pattern, keep: list[str] | None = None, ass
             bind(position, term)
             return
         conditions.append(parts.isNotNull())
-        checks.append(parts)
+        checks.append((position, parts))
         if position.ref:
             bind(position.ref, term)
         bind(position.p, parts["p"])
@@ -91,8 +92,13 @@ def match(quads: DataFrame, pattern: Pattern, keep: list[str] | None = None, ass
     for c in conditions:
         out = out.where(c)
     if asserted:
-        for parts in checks:
-            inner = quads.select(*[F.col(c).alias(f"__i_{c}") for c in KEY])
+        for position, parts in checks:
+            # Only what the constants of the embedded pattern allow can be its inner statement.
+            wanted = {c: x for c, x in zip("spo", (position.s, position.p, position.o)) if isinstance(x, str) and not is_var(x)}
+            if isinstance(pattern.g, str) and not is_var(pattern.g):
+                wanted["g"] = pattern.g
+            inner = reduce(lambda df, c: df.where(F.col(c) == wanted[c]), wanted, quads)
+            inner = sorted_join(inner.select(*[F.col(c).alias(f"__i_{c}") for c in KEY]))
             cond = (F.col("g") == F.col("__i_g"))
             for c in "spo":
                 cond = cond & (parts[c] == F.col(f"__i_{c}"))
@@ -210,7 +216,7 @@ def unreify(quads: DataFrame) -> DataFrame:
     nodes = known.where(F.col("p").isin(*props.values())).groupBy("g", F.col("s").alias("node")).agg(*aggs)
     nodes = nodes.where(F.col("t_s").isNotNull() & F.col("t_p").isNotNull() & F.col("t_o").isNotNull())
     parts = F.struct(F.col("t_s").alias("s"), F.col("t_p").alias("p"), F.col("t_o").alias("o"))
-    nodes = nodes.select("g", "node", parts.alias("t"))
+    nodes = sorted_join(nodes.select("g", "node", parts.alias("t")))
     at = lambda c: nodes.select(F.col("g"), F.col("node").alias(c), F.col("t").alias(f"__{c}"))
     rows = known.join(at("s"), ["g", "s"], "left").join(at("o"), ["g", "o"], "left")
     own = F.col("p").isin(*props.values()) | ((F.col("p") == RDF_TYPE) & (F.col("o") == RDF_STATEMENT))

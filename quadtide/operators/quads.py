@@ -105,6 +105,15 @@ def with_typed(quads: DataFrame) -> DataFrame:
     return quads.withColumns({n: c for n, c in views.items() if n not in quads.columns})
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """A side of a join on terms that is never copied to every task.
+
+    Terms are many times longer than the cells they are made of, but Spark's estimate, on which it decides to
+    broadcast, starts from the size of the compressed files.
+    """
+    return df.hint("merge")
+
+
 def distinct_quads(quads: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Set semantics: a dataset holds a statement once."""
     return quads.dropDuplicates([*(also or []), *KEY])

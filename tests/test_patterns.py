@@ -7,6 +7,8 @@ from quadtide.functions import terms
 from quadtide.operators import patterns as p
 from quadtide.operators import quads as q
 from quadtide.operators.patterns import Pattern, Quoted
+from quadtide.plans.catalog.views import event_quads
+from quadtide.sources.tables import Tables
 from tests.conftest import rows
 
 X, Y = "<http://x>", "<http://y>"
@@ -92,3 +94,25 @@ def test_constant_quads(spark):
     got = q.constant_quads(spark, [("g", X, Y, terms_int := f'"5"^^<{vocab.XSD}integer>')])
     assert got.first().o_num == 5.0 and terms_int in got.first().o
     assert got.where(terms.is_numeric(F.col("o"))).count() == 1
+
+
+def _broadcasts(df):
+    # Of the initial plan, as estimates by file size make it.
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_joins_on_terms_copy_no_side_to_every_task(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    outer = Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g")
+    quads = event_quads(t).drop("elem_id", "ts")
+    assert _broadcasts(p.match(quads, outer)) == 0
+    assert _broadcasts(p.unreify(p.reify(quads))) == 0
+
+
+def test_embedded_pattern_with_constants(spark):
+    e = f"<< {X} {Y} {X} >>"
+    data = [("g1", e, Y, '"m"'), ("g1", X, Y, X), ("g2", e, Y, '"n"'), ("g2", X, Y, Y)]
+    quads = spark.createDataFrame(data, "g string, s string, p string, o string")
+    assert rows(p.match(quads, Pattern(Quoted(X, Y, "?c"), "?d", "?m", "?g")), "g", "c") == [("g1", X)]
+    assert p.match(quads, Pattern(Quoted(X, Y, X), None, "?m", "g1")).count() == 1
+    assert p.match(quads, Pattern(Quoted(X, Y, X), None, "?m", "g2")).count() == 0
