@@ -122,7 +122,7 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
 def join_solutions(left: DataFrame, right: DataFrame) -> DataFrame:
     """Inner join on the shared variables, by term identity."""
     shared = [c for c in left.columns if c in right.columns]
-    return left.join(right, shared, "inner") if shared else cross(left, right)
+    return left.join(sorted_join(right), shared, "inner") if shared else cross(left, right)
 
 
 def conjunction(parts: list[DataFrame]) -> DataFrame:

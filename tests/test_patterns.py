@@ -106,6 +106,7 @@ def test_joins_on_terms_copy_no_side_to_every_task(spark):
     outer = Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g")
     quads = event_quads(t).drop("elem_id", "ts")
     assert _broadcasts(p.match(quads, outer)) == 0
+    assert _broadcasts(p.basic_pattern(quads, [outer, Pattern("?obs", vocab.RDF_TYPE, "?type", "?g")])) == 0
     assert _broadcasts(p.unreify(p.reify(quads))) == 0
 
 
