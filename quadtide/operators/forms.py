@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadtide.functions import terms
 from quadtide.operators.patterns import Quoted, is_var
-from quadtide.operators.quads import KEY, TYPED, assert_embedded, distinct_quads, with_typed
+from quadtide.operators.quads import KEY, TYPED, assert_embedded, distinct_quads, sorted_join, with_typed
 from quadtide.session import shared_dir
 from quadtide.vocab import DEFAULT_GRAPH
 
@@ -78,7 +78,7 @@ def insert_data(quads: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def delete_data(quads: DataFrame, rows: DataFrame) -> DataFrame:
-    return quads.join(rows.select(*KEY).distinct(), KEY, "left_anti").select(*quads.columns)
+    return quads.join(sorted_join(rows.select(*KEY).distinct()), KEY, "left_anti").select(*quads.columns)
 
 
 def delete_where(quads: DataFrame, solutions: DataFrame, template: Template) -> DataFrame:

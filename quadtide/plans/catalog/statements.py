@@ -380,7 +380,7 @@ def _b5_deleted(t: Tables):
     # The inner statements of clicks go, so what is said about them is no longer found.
     quads = event_quads(t).drop("elem_id", "ts")
     clicks = p.match(quads, Pattern("?s", vocab.RDF_TYPE, ont("click")))
-    reported = quads.where((F.col("p") == vocab.HAS_RESULT) & F.col("s_t").isNull()).join(clicks, "s", "left_semi")
+    reported = quads.where((F.col("p") == vocab.HAS_RESULT) & F.col("s_t").isNull()).join(q.sorted_join(clicks), "s", "left_semi")
     outer = Pattern(Quoted("?obs", vocab.HAS_RESULT, "?v"), vocab.UNCERTAINTY, "?unc", "?g")
     found = p.match(forms.delete_data(quads, reported), outer)
     return found.withColumn("value", terms.num(F.col("v"))).drop("v")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import terms
+from quadtide.operators import forms
 from quadtide.operators import patterns as p
 from quadtide.operators import quads as q
 from quadtide.operators.patterns import Pattern, Quoted
@@ -108,6 +109,7 @@ def test_joins_on_terms_copy_no_side_to_every_task(spark):
     assert _broadcasts(p.match(quads, outer)) == 0
     assert _broadcasts(p.basic_pattern(quads, [outer, Pattern("?obs", vocab.RDF_TYPE, "?type", "?g")])) == 0
     assert _broadcasts(p.unreify(p.reify(quads))) == 0
+    assert _broadcasts(forms.delete_data(quads, quads.where(F.col("p") == vocab.HAS_RESULT))) == 0
 
 
 def test_embedded_pattern_with_constants(spark):
