@@ -6,7 +6,9 @@ in one of the two kinds of long literals, outside or in a block) and yields the
 transitions are composed over the splits of a file in order, which gives each split its true start, and
 a second pass cuts the records. What is open at the end of a split is joined with what ends it in the
 next ones. A graph block is cut at its dots too: each piece gets the block's graph written around it, so
-a block may be of any size. Files of one split need no first pass.
+a block may be of any size. Files of one split need no first pass, and nothing of them is joined.
+
+Tasks read the lines of a batch as one text for each split in it, not one by one.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ _CLOSE = {DOUBLE: re.compile(r'\\.|"""', re.S), SINGLE: re.compile(r"\\.|'''", r
 _SIGN = re.compile(r"""\"\"\"|'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|<[^<>"{}|^`\\\s]*>|\#[^\n\r]*|[{}]|\.(?=[\s}\#]|$)""")
 #: A graph's name before a block is kept up to this length; longer text before a brace is an error.
 HEADER = 1 << 16
+#: Names of files that are written into a filter.
+NAMED = 1_000
 #: States of splits that are sent to the tasks, some hundred bytes each; beyond, splits are joined by a shuffle.
 SENT = 50_000
 
@@ -54,13 +59,17 @@ class Cutter:
         if self.keep or self.size <= HEADER:
             self.pending.append(text)
 
+    def state(self) -> tuple:
+        """All that the further course depends on."""
+        return self.mode, self.depth, self.header, self.size, self.fresh, self.part, "".join(self.pending)
+
     def _cut(self) -> str:
         text = "".join(self.pending)
         self.pending, self.size = [], 0
         return text
 
     def feed(self, line: str) -> Iterator[tuple[str, str | None, str, bool]]:
-        """(kind, graph, text, whether it began in this split) of what ends in the line."""
+        """(kind, graph, text, whether it began in this split) of what ends in these whole lines."""
         at, last = 0, 0
         while at <= len(line):
             if self.mode != OUT:
@@ -99,9 +108,24 @@ def wrapped(header: str | None, text: str) -> str | None:
     return text if header is None else f"{header} {{ {text} }}"
 
 
+def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    """For each split in a batch of lines: the number of its first row, and its lines as one text."""
+    n = batch.num_rows
+    if not n:
+        return
+    ends = [0, n]
+    for name in ("file", "block"):
+        column = batch.column(name)
+        ends += [i + 1 for i in pc.indices_nonzero(pc.not_equal(column.slice(1), column.slice(0, n - 1))).to_pylist()]
+    ends = sorted(set(ends))
+    value = batch.column("value")
+    for first, end in zip(ends, ends[1:]):
+        yield first, "\n".join(value.slice(first, end - first).to_pylist()) + "\n"
+
+
 def transitions(lines: DataFrame) -> DataFrame:
     """For each split and start state, coded as mode * 2 + depth: the state at its end, the graph it is in
-    then, and the text since the last cut."""
+    then, and the text since the last cut. Starts that have come to the same state are followed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cutters = None, []
@@ -116,17 +140,20 @@ def transitions(lines: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
         for b in batches:
-            for value, file, block in zip(*(b.column(n).to_pylist() for n in ("value", "file", "block"))):
-                if (file, block) != now:
+            for at, text in texts(b):
+                split = b.column("file")[at].as_py(), b.column("block")[at].as_py()
+                if split != now:
                     if now:
                         yield out()
-                    now, cutters = (file, block), [Cutter(s // 2, s % 2, None, known=False) for s in range(6)]
-                for c in cutters:
-                    if c.mode != OUT and _MARK[c.mode] not in value:
-                        c.size += len(value) + 1
+                    now, cutters = split, [Cutter(s // 2, s % 2, None, known=False) for s in range(6)]
+                for c in {id(c): c for c in cutters}.values():
+                    if c.mode != OUT and _MARK[c.mode] not in text:
+                        c.size += len(text)
                         continue
-                    for _ in c.feed(value + "\n"):
+                    for _ in c.feed(text):
                         pass
+                same: dict[tuple, Cutter] = {}
+                cutters = [same.setdefault(c.state(), c) for c in cutters]
         if now:
             yield out()
 
@@ -167,7 +194,7 @@ def pieces(lines: DataFrame) -> DataFrame:
     (``key`` is its block) and the text that ends or continues a record of an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cutter, rows = None, None, []
+        now, cutter, rows, alone = None, None, [], False
 
         def batch():
             names = [f.split()[0] for f in _PIECE.split(", ")]
@@ -179,19 +206,26 @@ def pieces(lines: DataFrame) -> DataFrame:
         def tail():
             # Text before the first cut goes on with the record that was open, else a new one is open.
             file, path, block, key = now
+            if alone:
+                if whole := wrapped(cutter.header, cutter._cut()):
+                    rows.append((file, path, block, block, "whole", None, whole))
+                return
             rows.append((file, path, block, block if cutter.fresh else key, "open", cutter.header, cutter._cut()))
 
-        columns = ("value", "file", "path", "block", "state", "graph", "before", "key")
+        columns = ("file", "path", "block", "state", "graph", "before", "key")
         for b in batches:
-            for value, file, path, block, state, graph, before, key in zip(*(b.column(n).to_pylist() for n in columns)):
+            for at, value in texts(b):
+                file, path, block, state, graph, before, key = (b.column(n)[at].as_py() for n in columns)
                 if now is None or (file, block) != (now[0], now[2]):
                     if now:
                         tail()
+                    # Without a state it is the only split of its file.
+                    alone = state is None
                     now = (file, path, block, block if key is None else key)
                     cutter = Cutter((state or 0) // 2, (state or 0) % 2, graph)
                     # Nothing is open where a file starts.
                     cutter.fresh = now[3] == block
-                for kind, header, text, fresh in cutter.feed(value + "\n"):
+                for kind, header, text, fresh in cutter.feed(value):
                     if kind == "header" and not fresh:
                         cutter.header = before + text
                     if not fresh:
@@ -202,6 +236,7 @@ def pieces(lines: DataFrame) -> DataFrame:
                 yield batch()
         if now:
             tail()
+        if rows:
             yield batch()
 
     return lines.mapInArrow(run, _PIECE)
@@ -218,13 +253,18 @@ def joined(parts: DataFrame) -> DataFrame:
     return whole.select(value.alias("value"), "path", "file", F.col("key").alias("block"))
 
 
-def cut(spark: SparkSession, path: str) -> DataFrame:
+def cut(spark: SparkSession, path: str, holding: str | None = None) -> DataFrame:
     """``value``, ``path``, ``file``, ``block`` of the records of text files: single statements, each in its
-    graph, and declarations. Records of a split come in order, one that goes on in the next split last."""
+    graph, and declarations. Records of a split come in order, one that goes on in the next split last.
+
+    ``holding`` leaves out files without a line that matches this pattern, if few files have one."""
     source, meta = spark.read.option("lineSep", "\n").text(path), F.col("_metadata")
     name = F.concat(F.lit("f"), F.substring(F.md5(meta["file_path"]), 1, 12))
     split = (meta["file_block_start"] > 0) | (meta["file_block_length"] < meta["file_size"])
     lines = source.select("value", meta["file_path"].alias("path"), name.alias("file"), meta["file_block_start"].alias("block"), split.alias("split"))
+    if holding is not None:
+        files = [r["file"] for r in lines.where(F.col("value").rlike(holding)).select("file").distinct().limit(NAMED + 1).collect()]
+        lines = lines.where(F.col("file").isin(files)) if len(files) <= NAMED else lines
     known = starts(transitions(lines.where("split").select("value", "file", "block"))).persist()
     n = known.count()
     lines = lines.withColumn("line", F.monotonically_increasing_id())
@@ -232,6 +272,8 @@ def cut(spark: SparkSession, path: str) -> DataFrame:
         placed = lines.join(F.broadcast(known), ["file", "block"], "left")
     else:
         placed = lines.join(known, ["file", "block"], "left").sortWithinPartitions("file", "block", "line")
-    found = pieces(placed.select("value", "file", "path", "block", "state", "graph", "before", "key"))
-    whole = found.where("kind = 'whole'").select("value", "path", "file", "block")
-    return whole.unionByName(joined(found.where("kind != 'whole'")))
+    wanted = ["value", "file", "path", "block", "state", "graph", "before", "key"]
+    whole = pieces(placed.select(*wanted)).where("kind = 'whole'").select("value", "path", "file", "block")
+    if n == 0:
+        return whole
+    return whole.unionByName(joined(pieces(placed.where("split").select(*wanted)).where("kind != 'whole'")))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import terms
+from quadtide.sources import records
 from quadtide.sources.records import Cutter
 from quadtide.sources import sinks, trig
 from tests.conftest import rows
@@ -206,3 +207,24 @@ def test_a_cutter_starts_in_any_state():
         rest = [x for line in text[cut:].splitlines(True) for x in second.feed(line)]
         seen = lambda found: [(kind, graph is None) for kind, graph, _, _ in found]
         assert seen(head + rest) == seen(records)
+
+
+def test_files_of_one_split_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text('@prefix : <http://o/> .\n:a :b """x .\n} y""" .\n:g { :a :b :c . :d :e :f }\n:last :b :c')
+    (tmp_path / "b.ttl").write_text(":s :p :o .\n" * 3)
+    found = records.cut(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" not in plan
+    assert found.count() == 8
+    # Only the file with a declaration is read for declarations.
+    assert records.cut(spark, str(tmp_path), trig._DECLARING).select("file").distinct().count() == 1
+    quads = trig.read_dataset(spark, str(tmp_path))
+    assert quads.count() == 5 and quads.where("s = '<http://o/last>'").count() == 1
+
+
+def test_starts_that_meet_come_to_one_state():
+    text = "".join(f":g{n} {{\n:a :b {n} .\n}}\n" for n in range(50))
+    cutters = [records.Cutter(s // 2, s % 2, None, known=False) for s in range(2)]
+    for c in cutters:
+        list(c.feed(text))
+    assert cutters[0].state() == cutters[1].state()
