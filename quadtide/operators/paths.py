@@ -109,6 +109,65 @@ def one_or_more(pairs: DataFrame, starts: DataFrame | None = None, shortest: boo
     return seen if shortest else seen.select("x", "y")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(``x``, ``end``, ``steps``) of the nodes from which only one path leads on, and it ends: its last node
+    and its length. Nodes that a fork or a cycle can be reached from are not among them.
+
+    By doubling: each round a node takes the step of the node it stands at, so the rounds are the logarithm of
+    the longest path, and a round holds one row a node.
+    """
+    out = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y"))
+    forks = out.where("n > 1").select(F.col("x").alias("y"))
+    last = pairs.select(F.col("y").alias("x")).distinct().join(out.select("x"), "x", "left_anti")
+    at = out.where("n = 1").join(forks, "y", "left_anti").select("x", F.col("y").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done"))
+    # Ends stand at themselves.
+    at = at.unionByName(last.select("x", F.col("x").alias("at"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("done"))).checkpoint()
+    nodes, reach = at.count(), 1
+    while reach < nodes and not at.where(~F.col("done")).isEmpty():
+        ahead = at.select(F.col("x").alias("at"), F.col("at").alias("__at"), F.col("steps").alias("__steps"), F.col("done").alias("__done"))
+        # A node that stands where a fork follows leaves the table with it.
+        met = at.drop("done").join(ahead, "at")
+        at = met.select("x", F.col("__at").alias("at"), (F.col("steps") + F.col("__steps")).alias("steps"), F.col("__done").alias("done")).checkpoint()
+        reach *= 2
+    # What still stands at no end after as many steps as there are nodes goes round a cycle.
+    return at.where("done AND steps > 0").select("x", F.col("at").alias("end"), "steps")
+
+
+def reach_counts(pairs: DataFrame) -> DataFrame:
+    """(``x``, ``n``, ``longest``): how many nodes each one reaches by p+, and the distance of the farthest.
+
+    The same as counting the pairs of :func:`shortest` by ``x``. Where one path leads on from a node and ends,
+    both are its length, and no pairs are made; they are for nodes from which a fork or a cycle is reached.
+    """
+    shared_dir(pairs.sparkSession)
+    edges = pairs.select("x", "y").distinct().checkpoint()
+    plain = _ends(edges).select("x", F.col("steps").alias("n"), F.col("steps").cast("int").alias("longest")).checkpoint()
+    rest = edges.select("x").distinct().join(plain, "x", "left_anti").checkpoint()
+    if rest.isEmpty():
+        return plain
+    found = shortest(edges).join(rest, "x", "left_semi")
+    return plain.unionByName(found.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")))
+
+
+def at_least_counts(pairs: DataFrame, n: int) -> DataFrame:
+    """(``x``, ``n``): how many paths of ``n`` steps or more, one at least, begin in each node that has one.
+
+    The same as counting the rows of :func:`at_least` by ``x``, cycles being an error here too. Where one path
+    leads on from a node and ends, it has one path of every length up to its own, and no paths are made.
+    """
+    if n < 1:
+        raise ValueError("paths of length zero are not counted")
+    shared_dir(pairs.sparkSession)
+    edges = pairs.select("x", "y").checkpoint()
+    plain = _ends(edges).checkpoint()
+    count = plain.where(F.col("steps") >= n).select("x", (F.col("steps") - (n - 1)).alias("n"))
+    rest = edges.select("x").distinct().join(plain.select("x"), "x", "left_anti").checkpoint()
+    if rest.isEmpty():
+        return count
+    found = at_least(edges, n).join(rest, "x", "left_semi")
+    return count.unionByName(found.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+
+
 def zero_or_more(pairs: DataFrame, domain: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     same = domain.select("x", F.col("x").alias("y"))
     if starts is not None:

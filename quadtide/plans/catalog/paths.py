@@ -78,8 +78,7 @@ def _parts_in_order(t: Tables):
     f"SELECT part, CAST(count(*) AS BIGINT) AS n, CAST(max(later - part) AS INTEGER) AS longest FROM ({_AFTER}) GROUP BY part",
 )
 def _h5_chain(t: Tables):
-    found = h.shortest(_parts_in_order(t))
-    return found.groupBy(F.col("x").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+    return h.reach_counts(_parts_in_order(t)).withColumnRenamed("x", "part")
 
 
 @query("H6_long_chain", f"SELECT part, CAST(count(*) AS BIGINT) AS n FROM ({_AFTER}) WHERE later >= part + 3 GROUP BY part")

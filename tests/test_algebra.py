@@ -234,3 +234,29 @@ def test_describe_follows_blank_nodes(spark):
     quads = spark.createDataFrame(data, "g string, s string, p string, o string")
     got = f.describe(quads, spark.createDataFrame([("<a>",)], "s string"))
     assert got.count() == 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_of_paths_equal_counted_paths(spark, seed):
+    r = random.Random(seed)
+    # Trees towards an end, some with forks, and for reached nodes cycles and equal rows too.
+    edges = [(n, r.randrange(max(0, n - 4), n)) for n in range(1, 40) if n % 11]
+    edges += [(n, r.randrange(0, n)) for n in range(20, 40, 9)] if seed % 2 else []
+    pairs = spark.createDataFrame(edges + edges[:1], "x long, y long")
+    want = h.at_least(pairs, 2).groupBy("x").count()
+    assert rows(h.at_least_counts(pairs, 2), "x", "n") == rows(want)
+    if seed > 1:
+        pairs = pairs.union(spark.createDataFrame([(50, 51), (51, 52), (52, 51), (53, 50), (60, 60)], "x long, y long"))
+    want = h.shortest(pairs).groupBy("x").agg(F.count("y"), F.max("length"))
+    assert rows(h.reach_counts(pairs), "x", "n", "longest") == rows(want)
+    if seed > 1:
+        with pytest.raises(ValueError):
+            h.at_least_counts(pairs, 2)
+
+
+def test_counts_along_a_long_chain(spark):
+    # Pairs of this chain would be 1.8 billion.
+    chain = spark.range(60_000).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    got = h.reach_counts(chain)
+    assert got.count() == 60_000 and got.where("x = 0 AND n = 60000 AND longest = 60000").count() == 1
+    assert h.at_least_counts(chain, 3).where("n = 60000 - x - 2").count() == 59_998
