@@ -83,7 +83,7 @@ def _h5_chain(t: Tables):
 
 @query("H6_long_chain", f"SELECT part, CAST(count(*) AS BIGINT) AS n FROM ({_AFTER}) WHERE later >= part + 3 GROUP BY part")
 def _h6_chain(t: Tables):
-    return h.at_least(_parts_in_order(t), 3).groupBy(F.col("x").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return h.at_least_counts(_parts_in_order(t), 3).withColumnRenamed("x", "part")
 
 
 @query(
