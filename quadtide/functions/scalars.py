@@ -264,7 +264,8 @@ _MONTHS = r"^(-)?P(?:(\d+)Y)?(?:(\d+)M)?$"
 
 def day_time_duration(lexical: Column) -> Column:
     """xsd:dayTimeDuration text as an interval."""
-    part = lambda i, t: F.coalesce(F.regexp_extract(lexical, _DURATION, i).try_cast(t), F.lit(0).cast(t))
+    # A part that is not there is not cast, as the parser of decimals throws an exception for empty text.
+    part = lambda i, t: F.coalesce(F.nullif(F.regexp_extract(lexical, _DURATION, i), F.lit("")).try_cast(t), F.lit(0).cast(t))
     total = F.make_dt_interval(part(2, "int"), part(3, "int"), part(4, "int"), part(5, "decimal(18,6)"))
     signed = F.when(F.startswith(lexical, F.lit("-")), -total).otherwise(total)
     return F.when(lexical.rlike(_DURATION) & ~lexical.rlike("(P|T)$"), signed)
