@@ -9,6 +9,8 @@ from quadtide.operators import forms as f
 from quadtide.operators import grouping as g
 from quadtide.operators import paths as h
 from quadtide.operators import skew
+from quadtide.plans.catalog import paths as catalog_paths
+from quadtide.sources.tables import Tables
 from tests.conftest import rows
 
 
@@ -260,3 +262,9 @@ def test_counts_along_a_long_chain(spark):
     got = h.reach_counts(chain)
     assert got.count() == 60_000 and got.where("x = 0 AND n = 60000 AND longest = 60000").count() == 1
     assert h.at_least_counts(chain, 3).where("n = 60000 - x - 2").count() == 59_998
+
+
+def test_equal_supply_lines_are_found_by_their_keys(spark):
+    # The statements' text is much longer than the two numbers it is made of.
+    plan = catalog_paths._supply(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_orderkey" in plan
