@@ -6,11 +6,20 @@ A term is one string: ``<iri>``, ``_:label``, ``"lex"``, ``"lex"@tag``, ``"lex"^
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadtide.vocab import LANG_STRING, XSD
 
+# Functions that run in tasks travel with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The numeric datatypes of XML Schema.
 NUMERIC_TYPES = tuple(
     XSD + n
@@ -193,28 +202,51 @@ def _tokens(text: Column) -> Column:
 
 
 def embedded(term: Column) -> Column:
-    """All embedded statements in a term, itself if it is one, at any depth; NULL for other terms.
+    """All embedded statements in a term, itself if it is one, at any depth; NULL for other terms."""
+    return F.transform(embedded_parts(term), lambda q: triple(q["s"], q["p"], q["o"]))
 
-    Signs are counted from left to right: a closing one ends the statement of the last open one.
-    """
 
-    def step(acc: Column, token: Column) -> Column:
-        at, opened, found = acc["at"], acc["open"], acc["found"]
-        closed = F.struct(F.element_at(opened, -1).alias("start"), at.alias("end"))
-        return F.struct(
-            (at + 1).alias("at"),
-            F.when(token == "<<", F.concat(opened, F.array(at))).when(token == ">>", F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0)))).otherwise(opened).alias("open"),
-            F.when((token == ">>") & (F.size(opened) > 0), F.concat(found, F.array(closed))).otherwise(found).alias("found"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<start:int,end:int>>").alias("found")
-    )
-    cut = lambda tokens, s: F.array_join(F.slice(tokens, s["start"], s["end"] - s["start"] + 1), " ")
-    every = _once(_tokens(term), lambda tokens: F.transform(F.aggregate(tokens, start, step)["found"], lambda s: cut(tokens, s)))
-    # One closing sign means one statement, the whole term.
-    flat = F.regexp_count(term, F.lit(" >>")) == 1
-    return F.when(is_triple(term), F.when(flat, F.array(term)).otherwise(every))
+def embedded_parts(term: Column) -> Column:
+    """The same as subject, predicate and object.
+
+    Signs are read from left to right: a closing one ends the statement of the last open one, which is put
+    together there and is a part of the one around it.
+    """
+    pieces = re.compile(_TOKEN, re.ASCII).findall
+
+    def parts(text: str) -> Iterator[tuple[str, str, str]]:
+        opened: list[list[str]] = []
+        # Without a literal every space parts two pieces.
+        for piece in pieces(text) if '"' in text else text.split(" "):
+            if piece == "<<":
+                opened.append([])
+                continue
+            if piece == ">>":
+                if not opened:
+                    continue
+                terms = opened.pop()
+                if len(terms) != 3:
+                    terms = [*(terms + ["", ""])[:2], " ".join(terms[2:])]
+                yield tuple(terms)
+                piece = f"<< {terms[0]} {terms[1]} {terms[2]} >>"
+            if opened:
+                opened[-1].append(piece)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ends, found = [0], []
+            for text in batch.to_pylist():
+                if text is not None:
+                    found.extend(parts(text))
+                ends.append(len(found))
+            columns = [pa.array(c, pa.string()) for c in (zip(*found) if found else [()] * 3)]
+            yield pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list("spo")), mask=batch.is_null()
+            )
+
+    # Annotations are text in this module, and the kind of function is read from them.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, f"array<{TRIPLE_TYPE}>")(F.when(is_triple(term), term))
 
 
 def decode_triple(term: Column) -> Column:

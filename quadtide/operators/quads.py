@@ -131,11 +131,11 @@ def assert_embedded(quads: DataFrame, keep: list[str] | None = None) -> DataFram
         # Terms that are computed on the fly would otherwise be computed again for each of their parts.
         quads = let(quads, s=F.col("s"), o=F.col("o"))
     known = with_typed(quads).select(*cols)
-    plain = F.array(F.lit(None).cast("string"))
-    inner = [F.coalesce(terms.embedded(F.col(c)), F.array().cast("array<string>")) for c in ("s", "o")]
-    every = F.when(terms.is_triple(F.col("s")) | terms.is_triple(F.col("o")), F.concat(plain, *inner)).otherwise(plain)
-    unfolded = let(known.withColumn("__inner", F.explode(every)), __q=terms.decode_triple(F.col("__inner")))
-    new, s, o = F.col("__inner").isNotNull(), F.col("__q.s"), F.col("__q.o")
+    plain = F.array(F.lit(None).cast(terms.TRIPLE_TYPE))
+    none = F.array().cast(f"array<{terms.TRIPLE_TYPE}>")
+    inner = [F.coalesce(terms.embedded_parts(F.col(c)), none) for c in ("s", "o")]
+    unfolded = known.withColumn("__q", F.explode(F.concat(plain, *inner)))
+    new, s, o = F.col("__q").isNotNull(), F.col("__q.s"), F.col("__q.o")
     views = {"o_num": terms.num(o), "o_ts": terms.moment(o), "s_t": terms.decode_triple(s), "o_t": terms.decode_triple(o)}
     out = unfolded.select(
         *keep, "g", *[F.when(new, F.col(f"__q.{c}")).otherwise(F.col(c)).alias(c) for c in ("s", "p", "o")],

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quadtide import vocab
 from quadtide.functions import terms
+from quadtide.operators import quads as q
 from quadtide.sources import records
 from quadtide.sources.records import Cutter
 from quadtide.sources import sinks, trig
@@ -160,6 +161,19 @@ def test_embedded_at_any_depth(spark):
     assert set(got[0]) == set(inner) and got[1:] == [None, None, [f"<< <http://a> {p} {o} >>"]]
 
 
+def test_deep_terms_are_unfolded_in_one_reading(spark):
+    """Each level was read again to find its parts, in work that grew with the square of the depth."""
+    term, levels = "<http://a>", 150
+    for n in range(levels):
+        term = f'<< {term} <http://p{n}> "{n} >>" >>' if n % 3 else f"<< {term} <http://p{n}> <http://o> >>"
+    got = q.assert_embedded(spark.createDataFrame([("<http://g>", term, "<http://p>", "<http://o>")], "g string, s string, p string, o string")).select("g", "s", "p", "o")
+    assert "regexp_extract_all" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r.p: r for r in got.collect()}
+    assert len(found) == levels + 1 and found["<http://p>"].s == term
+    assert found["<http://p149>"].s == term[3:term.rindex(" <http://p149>")] and found["<http://p149>"].o == '"149 >>"'
+    assert found["<http://p0>"].s == "<http://a>" and found["<http://p0>"].o == "<http://o>"
+
+
 MANY = [
     "@prefix : <http://x/> .\n", ":a :p 1.5 ; :q \"dot. \" , 'x } y' .\n", "# a comment. with { signs } and \"quotes\n",
     "GRAPH :g {\n", "  :b :p \"\"\"long. \n\n } . \\\"\"\" still \" in. \n\"\"\" .\n", "  :c :p 2 .\n", "  :d :p <http://y/a.b> # no end.\n}\n",
