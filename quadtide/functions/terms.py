@@ -153,21 +153,24 @@ def lang_matches(tag: Column, wanted: Column | str) -> Column:
     return F.when(w == "*", t != "").otherwise((t == w) | F.startswith(t, F.concat(w, F.lit("-"))))
 
 
+def _body_of(term: Column, *types: str) -> Column:
+    """What is between the quotes of a literal of one of these types, which stands behind its last sign of a type."""
+    shown = F.substring_index(term, '"^^', -1)
+    body = F.substring(term, F.lit(2), F.length(term) - F.length(shown) - 4)
+    return F.when(is_literal(term) & shown.isin(*[f"<{t}>" for t in types]), body)
+
+
 def num(term: Column) -> Column:
-    return F.when(datatype(term).isin(*NUMERIC_TYPES), F.regexp_extract(term, _BODY, 1).try_cast("double"))
+    return _body_of(term, *NUMERIC_TYPES).try_cast("double")
 
 
 def moment(term: Column) -> Column:
-    ok = datatype(term).isin(XSD + "dateTime", XSD + "date")
-    return F.when(ok, F.regexp_extract(term, _BODY, 1).try_cast("timestamp"))
+    return _body_of(term, XSD + "dateTime", XSD + "date").try_cast("timestamp")
 
 
 def boolean(term: Column) -> Column:
-    body = F.regexp_extract(term, _BODY, 1)
-    return F.when(
-        datatype(term) == XSD + "boolean",
-        F.when(body.isin("true", "1"), True).when(body.isin("false", "0"), False),
-    )
+    body = _body_of(term, XSD + "boolean")
+    return F.when(body.isin("true", "1"), True).when(body.isin("false", "0"), False)
 
 
 def ebv(term: Column) -> Column:

@@ -174,6 +174,15 @@ def test_deep_terms_are_unfolded_in_one_reading(spark):
     assert found["<http://p0>"].s == "<http://a>" and found["<http://p0>"].o == "<http://o>"
 
 
+@pytest.mark.parametrize("lexical", ["1.5", '2"^^<http://www.w3.org/2001/XMLSchema#double>', "", "x"])
+def test_numbers_are_read_without_patterns(spark, lexical):
+    df = spark.range(1).select(F.lit(lexical).alias("x"))
+    made = df.select(terms.typed(F.col("x"), vocab.XSD + "double").alias("t"), terms.string(F.col("x")).alias("s"), terms.tagged(F.col("x"), F.lit("en")).alias("l"))
+    got = made.select(*[terms.num(F.col(c)).alias(c) for c in "tsl"])
+    assert tuple(got.first()) == (1.5 if lexical == "1.5" else None, None, None)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 MANY = [
     "@prefix : <http://x/> .\n", ":a :p 1.5 ; :q \"dot. \" , 'x } y' .\n", "# a comment. with { signs } and \"quotes\n",
     "GRAPH :g {\n", "  :b :p \"\"\"long. \n\n } . \\\"\"\" still \" in. \n\"\"\" .\n", "  :c :p 2 .\n", "  :d :p <http://y/a.b> # no end.\n}\n",
