@@ -183,6 +183,18 @@ def test_numbers_are_read_without_patterns(spark, lexical):
     assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tokens_are_found_at_once():
+    """A record was cut by one match for each token, with a try at each kind in turn for every sign of a literal."""
+    assert trig.RecordReader._scan(':a <b>"c d"^^x:y.5 . # e\n_:f , << a >> @en -1e3 \u0663') == [
+        ("name", ":a"), ("iri", "<b>"), ("text", '"c d"'), ("type", "^^"), ("name", "x:y.5"), ("mark", "."), ("bnode", "_:f"), ("mark", ","),
+        ("open", "<<"), ("word", "a"), ("close", ">>"), ("at", "@en"), ("num", "-1e3"), ("num", "\u0663"), ("end", ""),
+    ]
+    assert not trig._PIECE.groupindex
+    for bad in ("\u00e9 .", "<a b>", '<a> "open', "^ ", "_ ", "<a> | <b>"):
+        with pytest.raises(ValueError, match="unexpected text"):
+            trig.RecordReader._scan(bad)
+
+
 MANY = [
     "@prefix : <http://x/> .\n", ":a :p 1.5 ; :q \"dot. \" , 'x } y' .\n", "# a comment. with { signs } and \"quotes\n",
     "GRAPH :g {\n", "  :b :p \"\"\"long. \n\n } . \\\"\"\" still \" in. \n\"\"\" .\n", "  :c :p 2 .\n", "  :d :p <http://y/a.b> # no end.\n}\n",
