@@ -183,6 +183,19 @@ def test_numbers_are_read_without_patterns(spark, lexical):
     assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("o", ["<http://o>", '"1.5"^^<http://t>', '"a b"', '""', f'"x"^^<{vocab.XSD}string>', '"x"@EN', '"q\\""', "_:b", "<o>", "2"])
+@pytest.mark.parametrize("s", ["<http://s>", "<http://\u00e9/s>", "<s>", '<< <http://s> <http://p> "v"^^<http://t> >>', f'<< <http://s> <http://p> "v"^^<{vocab.XSD}string> >>'])
+@pytest.mark.parametrize("around", ["%s .", "GRAPH <http://g> { %s . }", "GRAPH <http://g> { %s .", "%s . }", "%s"])
+def test_single_statements_are_read_at_once(s, o, around):
+    """Lines that were written as statements took the way of all text, sign by sign."""
+    text = around % f"{s} <http://p> {o}"
+    at_once = trig.plain_statement(text)
+    whole = s.startswith(("<http", "<< ")) and "string" not in s + o and o not in ('"x"@EN', '"q\\""', "_:b", "<o>", "2")
+    assert (at_once is not None) == (whole and around in ("%s .", "GRAPH <http://g> { %s . }"))
+    if at_once is not None:
+        assert at_once == read(text)
+
+
 def test_tokens_are_found_at_once():
     """A record was cut by one match for each token, with a try at each kind in turn for every sign of a literal."""
     assert trig.RecordReader._scan(':a <b>"c d"^^x:y.5 . # e\n_:f , << a >> @en -1e3 \u0663') == [
