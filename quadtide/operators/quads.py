@@ -166,12 +166,15 @@ def choose_graphs(quads: DataFrame, default: list[str] | None = None, named: lis
 def wide_rows(quads: DataFrame, columns: dict[str, tuple[str, str]], keys: list[str] | None = None) -> DataFrame:
     """One row per graph and subject from single-valued predicates.
 
-    ``columns`` maps a column name to (predicate, value column). The conditional ``max`` is combined
-    before the shuffle, and no predicate needs a join of its own.
+    ``columns`` maps a column name to (predicate, value column). No predicate needs a join of its own. A maximum
+    of texts is found by sorting, so rows are exchanged first: a task sorts its share of the subjects, which
+    adaptive execution sizes, and not all that its part of a compressed table unfolds to.
     """
+    keys = keys or ["g", "s"]
     wanted = sorted({p for p, _ in columns.values()})
-    aggs = [F.max(F.when(F.col("p") == p, F.col(v))).alias(n) for n, (p, v) in columns.items()]
-    return quads.where(F.col("p").isin(wanted)).groupBy(*(keys or ["g", "s"])).agg(*aggs)
+    cells = [F.when(F.col("p") == p, F.col(v)).alias(n) for n, (p, v) in columns.items()]
+    rows = quads.where(F.col("p").isin(wanted)).select(*keys, *cells).repartition(*keys)
+    return rows.groupBy(*keys).agg(*[F.max(n).alias(n) for n in columns])
 
 
 def write_quads(quads: DataFrame, path: str, files: int | None = None) -> None:

@@ -208,6 +208,15 @@ def test_tokens_are_found_at_once():
             trig.RecordReader._scan(bad)
 
 
+def test_wide_rows_sort_behind_the_exchange(spark):
+    """Each task sorted all statements of its split, in memory that grew with the split."""
+    quads = spark.createDataFrame([("g", "a", "p", "1"), ("g", "b", "p", "2"), ("g", "a", "q", "3"), ("g", "a", "r", "4")], "g string, s string, p string, o string")
+    got = q.wide_rows(quads, {"x": ("p", "o"), "y": ("q", "o")})
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" in plan and "Sort [" not in plan[plan.rindex("Exchange"):]
+    assert rows(got, "s", "x", "y") == [("a", "1", "3"), ("b", "2", None)]
+
+
 MANY = [
     "@prefix : <http://x/> .\n", ":a :p 1.5 ; :q \"dot. \" , 'x } y' .\n", "# a comment. with { signs } and \"quotes\n",
     "GRAPH :g {\n", "  :b :p \"\"\"long. \n\n } . \\\"\"\" still \" in. \n\"\"\" .\n", "  :c :p 2 .\n", "  :d :p <http://y/a.b> # no end.\n}\n",
