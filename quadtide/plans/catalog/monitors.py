@@ -165,11 +165,10 @@ def _sweep(t: Tables):
     unc = u.uniform(-20.0, 20.0).struct().alias("unc")
     events = t.events.where(F.col("event_type") == "click").select("ts", F.col("event_id").alias("id"), "value", unc)
     targets = t.events.where(F.col("event_type") != "click").select("ts", F.col("event_id").alias("target"), "value")
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("prop"), ((F.col("l_orderkey") + F.col("l_linenumber")) * n).alias("target"))
-        for p, n in _LINKS.items()
-    ]))
-    links = t.lineitem.select(F.col("l_orderkey").alias("id"), pairs.alias("x")).select("id", "x.*").distinct()
+    # A property's targets follow from one number, so equal links are found before they are multiplied.
+    numbers = t.lineitem.select(F.col("l_orderkey").alias("id"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("number")).distinct()
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("prop"), (F.col("number") * n).alias("target")) for p, n in _LINKS.items()]))
+    links = numbers.select("id", pairs.alias("x")).select("id", "x.*")
     return m.linked_events(events, links, targets, hours(10, 1, ticks), ticks, [10.0, 30.0, 50.0, 90.0])
 
 

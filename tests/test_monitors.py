@@ -174,3 +174,12 @@ def test_statements_in_different_elements_meet_in_the_window(spark):
     from quadtide.operators.windows import unfold
 
     assert sorted(plain(unfold(found, ticks), "place", "value")) == [(4, "<p>", 5.0), (5, "<p>", 5.0)]
+
+
+def test_links_are_made_distinct_before_they_are_multiplied(spark):
+    """Three links of each order line went through the exchange of the distinct."""
+    from quadtide.plans import catalog
+
+    catalog.load_all()
+    plan = catalog.QUERIES["Q7_linked_events_threshold_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" in plan and not [line for line in plan.splitlines() if "Aggregate" in line and "prop" in line]
