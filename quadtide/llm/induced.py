@@ -175,7 +175,8 @@ class Sweep:
         self.group = group.astype(np.uint16 if len(self.alone) < 1 << 16 else np.int32)
         self.queues = Queues(len(self.alone), memory)
         self.since = np.full(len(counts), -1, np.int64) if carry else None
-        self.at = 0
+        # What of the given entries is read, and the queues that chunk belongs to.
+        self.at, self.ahead, self.queue = 0, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def symbol(self, p: np.ndarray) -> np.ndarray:
         c = self.text[p].astype(np.int64)
@@ -227,16 +228,18 @@ class Sweep:
         for a, b in zip(cuts, np.append(cuts[1:], len(q))):
             self.queues.push(int(q[a]), entries[a:b])
 
-    def upto(self, q: int, chunk: int = CHUNK):
+    def upto(self, q: int):
         """The given entries of a queue's symbols, in chunks."""
-        while self.at < len(self.given):
-            part = np.asarray(self.given[self.at : self.at + chunk])
-            n = int(np.searchsorted(self.group[self.symbol(part >> 8)], q, "right"))
-            if n:
-                self.at += n
-                yield part[:n]
-            if n < len(part):
+        while True:
+            if not len(self.ahead):
+                self.ahead = np.asarray(self.given[self.at : self.at + CHUNK])
+                self.queue = self.group[self.symbol(self.ahead >> 8)]
+                self.at += len(self.ahead)
+            if not len(self.ahead) or self.queue[0] > q:
                 return
+            n = int(np.searchsorted(self.queue, q, "right"))
+            part, self.ahead, self.queue = self.ahead[:n], self.ahead[n:], self.queue[n:]
+            yield part
 
     def __iter__(self):
         """(entries, whether they are induced ones) in order. Common prefixes are those with the entry before."""

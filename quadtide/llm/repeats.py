@@ -8,8 +8,8 @@ with one anchor travel as one piece of text.
 A shard is sorted by induced suffix sorting (``induced``): its texts, queues and orders are on disk beyond
 ``memory`` bytes. In the order, suffixes that share ``window`` bytes are neighbours, and the smallest
 document among them owns the window; all others lose it. Pieces that are equal are carried as one with their
-smallest document, and pieces whose anchor is in no other piece, or in one document only, have no partner to
-be compared with.
+smallest document. Pieces whose anchor, or all of whose stretches around it, are in one document only have no
+partner to be compared with and are not sorted.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ LAST = (1 << 63) - 1
 #: Bytes of text that are cut into pieces at a time.
 SLAB = 1 << 20
 
-PIECES = [("size", np.uint32), ("start", np.uint32), ("id", np.int64), ("key", np.int64)]
+#: Stretches around an anchor by which pieces without a common window are told apart.
+STRETCHES = 4
+
+PIECES = [("size", np.uint32), ("start", np.uint32), ("place", np.uint8), ("id", np.int64), ("key", np.int64)]
 
 
 @dataclass(frozen=True)
@@ -51,15 +54,20 @@ class Repeats:
     memory: int = 32 << 20
 
 
-def anchors(x: np.ndarray, conf: Repeats) -> np.ndarray:
-    """The smallest hash in each window of some bytes."""
-    n, hashes = len(x) - conf.window + 1, np.zeros(len(x) - conf.anchor + 1, np.uint64)
-    unit = 8 if conf.anchor >= 8 else 4
-    words = np.ndarray((len(x) - unit + 1,), f"<u{unit}", np.ascontiguousarray(x), strides=(1,))
-    for at in [*range(0, conf.anchor - unit, unit), conf.anchor - unit]:
-        hashes ^= words[at : at + len(hashes)]
+def hashed(x: np.ndarray, size: int, begin: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each substring of ``size`` bytes, or of those that start at ``begin``."""
+    hashes, unit = np.zeros(len(x) - size + 1 if begin is None else len(begin), np.uint64), 8 if size >= 8 else 4
+    words = np.ndarray((max(0, len(x) - unit + 1),), f"<u{unit}", np.ascontiguousarray(x), strides=(1,))
+    for at in [*range(0, size - unit, unit), size - unit]:
+        hashes ^= words[at : at + len(hashes)] if begin is None else words[begin + at]
         hashes *= np.uint64(0x9E3779B97F4A7C15)
         hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
+def anchors(x: np.ndarray, conf: Repeats, hashes: np.ndarray | None = None) -> np.ndarray:
+    """The smallest hash in each window of some bytes."""
+    n, hashes = len(x) - conf.window + 1, hashed(x, conf.anchor) if hashes is None else hashes
     width, size = conf.window - conf.anchor + 1, 1
     while 2 * size <= width:
         hashes = np.minimum(hashes[:-size], hashes[size:])
@@ -73,11 +81,23 @@ def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x[np.repeat(shift, size) + np.arange(int(size.sum(dtype=np.int64)))]
 
 
-def pieces(x: np.ndarray, ends: np.ndarray, conf: Repeats):
+def places(hashes: np.ndarray, first: np.ndarray, low: np.ndarray, conf: Repeats) -> np.ndarray:
+    """How far behind the start of a window, at ``first``, its anchor ``low`` stands, once at least."""
+    width = conf.window - conf.anchor + 1
+    place = np.full(len(first), width - 1, np.uint8)
+    # Every other anchor or so has just come in at the window's end.
+    rest = np.flatnonzero(hashes[first + width - 1] != low)
+    for a in range(0, len(rest), CHUNK):
+        part = rest[a : a + CHUNK]
+        place[part] = (np.lib.stride_tricks.sliding_window_view(hashes, width)[first[part]] == low[part, None]).argmax(1)
+    return place
+
+
+def pieces(x: np.ndarray, ends: np.ndarray, conf: Repeats, hashes: np.ndarray | None = None):
     """(document, start in ``x``, size, anchor) of the pieces of documents that end at ``ends`` in ``x``."""
     if len(x) < conf.window:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    low = anchors(x, conf)
+    low = anchors(x, conf, hashes)
     # A piece starts where the anchor changes, and with each document; what is left of it at the document's
     # end has no room for a window.
     begins = ends - np.diff(ends, prepend=0)
@@ -129,18 +149,22 @@ def sharded(rows: DataFrame, shards: int, conf: Repeats) -> DataFrame:
             # By windows that start in one slab, so a long text takes no more memory than others.
             for s in range(0, len(x), SLAB):
                 part = x[s : s + SLAB + conf.window - 1]
-                doc, start, length, low = pieces(part, np.clip(ends - s, 0, len(part)), conf)
+                if len(part) < conf.window:
+                    continue
+                hashes = hashed(part, conf.anchor)
+                doc, start, length, low = pieces(part, np.clip(ends - s, 0, len(part)), conf, hashes)
+                place = places(hashes, start, low, conf)
                 low = (low ^ (low >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
                 shard = ((low >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                doc, start, length, shard = (v[order] for v in (doc, start, length, shard))
+                doc, start, length, place, shard = (v[order] for v in (doc, start, length, place, shard))
                 texts, text_ends, at = gather(part, start, length), np.cumsum(length), start + s - begins[doc]
                 cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)]
                 for i, j in zip(cuts, np.append(cuts[1:], len(shard))):
-                    own = [length[i:j], at[i:j], ids[doc[i:j]], keys[doc[i:j]]]
+                    own = [length[i:j], at[i:j], place[i:j], ids[doc[i:j]], keys[doc[i:j]]]
                     text = texts[text_ends[i] - length[i] : text_ends[j - 1]]
                     held.setdefault(int(shard[i]), []).append([*(v.astype(k) for v, (_, k) in zip(own, PIECES)), text.copy()])
-                size += len(texts) + 24 * len(doc)
+                size += len(texts) + 25 * len(doc)
                 if size > conf.memory:
                     yield from out()
                     size = 0
@@ -171,8 +195,8 @@ class Shard:
         self.conf, self.waiting, self.bytes, self.n = conf, [], 0, 0
         tape = lambda kind: Tape(kind, conf.memory)
         self.text = tape(np.uint8)
-        # Of different pieces: size, anchor, smallest document. Of all: piece, document, key, start.
-        self.size, self.mark, self.owner = tape(np.int64), tape(np.uint64), tape(np.int64)
+        # Of different pieces: size, anchor and its place, smallest document. Of all: piece, document, key, start.
+        self.size, self.mark, self.place, self.owner = tape(np.int64), tape(np.uint64), tape(np.uint8), tape(np.int64)
         self.piece, self.id, self.key, self.start = tape(np.int64), tape(np.int64), tape(np.int64), tape(np.int64)
 
     def add(self, part: bytes) -> None:
@@ -181,23 +205,25 @@ class Shard:
         if self.bytes > self.conf.memory:
             self.settle()
 
-    def settle(self) -> None:
-        """Equal pieces among those waiting become one."""
+    def settle(self, whole: bool = False) -> None:
+        """Equal pieces among those waiting become one; those with no partner go if the ``whole`` shard is waiting."""
         if not self.waiting:
             return
-        size, start, ids, keys, text = (np.concatenate([w[j] for w in self.waiting]) for j in range(len(PIECES) + 1))
+        size, start, place, ids, keys, text = (np.concatenate([w[j] for w in self.waiting]) for j in range(len(PIECES) + 1))
         self.waiting, self.bytes = [], 0
-        ends, raw, known = np.cumsum(size, dtype=np.int64), text.tobytes(), {}
+        ends = np.cumsum(size, dtype=np.int64)
         begins = ends - size
+        mark = hashed(text, self.conf.anchor, begins + place)
+        if whole:
+            several = np.flatnonzero(differing(mark, ids))
+            size, start, place, ids, keys, begins, ends, mark = (v[several] for v in (size, start, place, ids, keys, begins, ends, mark))
+        raw, known = text.tobytes(), {}
         which = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(begins.tolist(), ends.tolist())), np.int64, len(size))
         owner, first = np.full(len(known), LAST, np.int64), np.full(len(known), len(size), np.int64)
         np.minimum.at(owner, which, ids)
         np.minimum.at(first, which, np.arange(len(size)))
         self.text.write(gather(text, begins[first], size[first]))
-        # All windows of a piece have the anchor of its first one.
-        window = self.conf.window
-        mark = anchors(gather(text, begins[first], np.full(len(first), window)), self.conf)[::window]
-        for tape, values in ((self.size, size[first]), (self.mark, mark), (self.owner, owner)):
+        for tape, values in ((self.size, size[first]), (self.mark, mark[first]), (self.place, place[first]), (self.owner, owner)):
             tape.write(values)
         for tape, values in ((self.piece, which + self.n), (self.id, ids), (self.key, keys), (self.start, start)):
             tape.write(values)
@@ -205,12 +231,12 @@ class Shard:
 
     def spans(self):
         """Arrays (id, key, start, end): what loses its windows to a smaller document."""
-        self.settle()
+        self.settle(whole=not self.n)
         if not self.n:
             return
-        size, mark, owner = self.size.array(), self.mark.array(), self.owner.array()
+        size, mark, place, owner = (t.array() for t in (self.size, self.mark, self.place, self.owner))
         piece, ids, keys, start = (t.array() for t in (self.piece, self.id, self.key, self.start))
-        own, begin, end = owned_elsewhere(self.text.array(), size, mark, owner, piece, ids, self.conf)
+        own, begin, end = owned_elsewhere(self.text.array(), size, mark, place, owner, self.conf)
         to = np.searchsorted(own, np.arange(self.n + 1))
         for a in range(0, len(piece), CHUNK):
             p, i, k, s = piece[a : a + CHUNK], ids[a : a + CHUNK], keys[a : a + CHUNK], start[a : a + CHUNK]
@@ -224,10 +250,9 @@ class Shard:
             yield i[mine], k[mine], s[mine] + begin[at], s[mine] + end[at]
 
 
-def owned_elsewhere(text, size, mark, owner, piece, ids, conf: Repeats):
+def owned_elsewhere(text, size, mark, place, owner, conf: Repeats):
     """(piece, begin, end): runs of windows of a piece that a smaller document than its own has in other pieces."""
-    lone = _single(mark, piece, ids)
-    kept = np.flatnonzero(~lone)
+    kept = with_partner(text, size, mark, place, owner, conf)
     none = np.empty(0, np.int64)
     if not len(kept):
         return none, none, none
@@ -284,14 +309,48 @@ def owned_elsewhere(text, size, mark, owner, piece, ids, conf: Repeats):
     return kept[at[heads]], p[heads] - starts[at[heads]], ends - starts[at[heads]] + conf.window
 
 
-def _single(mark, piece, ids) -> np.ndarray:
-    """Whether each piece's anchor is in the texts of one document only, or in no other piece."""
-    names, code, count = np.unique(mark, return_inverse=True, return_counts=True)
-    least, most = np.full(len(names), LAST, np.int64), np.full(len(names), -LAST - 1, np.int64)
-    of = code[piece]
-    np.minimum.at(least, of, ids)
-    np.maximum.at(most, of, ids)
-    return ((least == most) | (count == 1))[code]
+def differing(name: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether rows of a row's name have different values."""
+    if not len(name):
+        return np.empty(0, np.bool_)
+    order = np.argsort(name)
+    name, value = name[order], value[order]
+    heads = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    several = np.minimum.reduceat(value, heads) != np.maximum.reduceat(value, heads)
+    out = np.empty(len(name), np.bool_)
+    out[order] = np.repeat(several, np.diff(np.append(heads, len(name))))
+    return out
+
+
+def with_partner(text, size, mark, place, owner, conf: Repeats) -> np.ndarray:
+    """The pieces that may have a window in common with a piece of another smallest document.
+
+    Equal windows have their anchor at the same place, so around the anchors of their pieces one of a few
+    stretches is equal too: those that reach as far to the left and right as windows do in which the anchor has
+    at least some place and less than the next one. Pieces in which their anchor stands twice are not told apart.
+    """
+    begins = np.cumsum(size) - size
+    kept = np.flatnonzero(differing(mark, owner))
+    if not len(kept):
+        return kept
+    again = np.zeros(len(kept), np.bool_)
+    for a in range(0, len(kept), CHUNK):
+        k = kept[a : a + CHUNK]
+        part, ends = gather(text, begins[k], size[k]), np.cumsum(size[k])
+        of = np.repeat(np.arange(len(k)), size[k])[: len(part) - conf.anchor + 1]
+        at = np.flatnonzero(hashed(part, conf.anchor) == mark[k][of])
+        inside = at[at + conf.anchor <= ends[of[at]]]
+        again[a : a + CHUNK] = np.bincount(of[inside], minlength=len(k)) > 1
+    ok = np.isin(mark[kept], mark[kept[again]])
+    spare = conf.window - conf.anchor
+    step = (spare + STRETCHES) // STRETCHES
+    for left in range(0, spare + 1, step):
+        right = max(0, spare - left - step + 1)
+        anchor = place[kept].astype(np.int64)
+        at = np.flatnonzero((anchor >= left) & (anchor + conf.anchor + right <= size[kept]))
+        names = hashed(text, left + conf.anchor + right, begins[kept[at]] + anchor[at] - left)
+        ok[at[differing(names, owner[kept[at]])]] = True
+    return kept[ok]
 
 
 def lost(parts: DataFrame, shards: int, conf: Repeats) -> DataFrame:

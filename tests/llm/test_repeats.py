@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from quadtide.llm import induced
-from quadtide.llm.repeats import LAST, SLAB, Repeats, anchors, pieces, remove, without
+from quadtide.llm import induced, repeats
+from quadtide.llm.repeats import LAST, SLAB, Repeats, anchors, gather, hashed, pieces, places, remove, with_partner, without
 
 SCHEMA = "doc_id long, text string"
 
@@ -131,6 +131,42 @@ def test_odd_rows(odd, none):
     assert remove(none).count() == 0
 
 
+def test_pieces_are_sorted_only_with_a_common_stretch(spark, monkeypatch):
+    """Phrases shorter than a window share anchors, but nothing that could be a window."""
+    rng = random.Random(11)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    phrases = [say(24) for _ in range(20)]
+    docs = [(i, "".join(x for _ in range(30) for x in (say(30), rng.choice(phrases)))) for i in range(40)]
+    # What copies share is decided by equal pieces.
+    docs += [(40 + i, t) for i, t in docs[:5]]
+
+    def sort(*_):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(repeats, "descending", sort)
+    got = found(remove(spark.createDataFrame(docs, SCHEMA)))
+    assert got == brute(docs) and sum(r[3] for r in got) == sum(len(t) for _, t in docs[:5])
+
+
+@pytest.mark.parametrize("window, anchor, letters", [(50, 16, 4), (9, 6, 3), (16, 16, 2), (12, 4, 1)])
+def test_no_common_window_is_left_out(window, anchor, letters):
+    conf, rng = Repeats(window=window, anchor=anchor), random.Random(window)
+    for _ in range(30):
+        say = lambda k: bytes(rng.randrange(letters) + 97 for _ in range(k))
+        shared = [say(window + rng.randint(-2, 3)) for _ in range(4)] + [say(2) * window]
+        texts = [b"".join(x for _ in range(4) for x in (say(rng.randint(0, 9)), rng.choice(shared))) for _ in range(8)]
+        x, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        hashes = hashed(x, anchor)
+        doc, start, size, low = pieces(x, ends, conf, hashes)
+        place = places(hashes, start, low, conf)
+        assert (hashes[start + place] == low).all()
+        text = gather(x, start, size)
+        kept = set(with_partner(text, size, low, place, doc, conf).tolist())
+        own = [{text[a + k : a + k + window].tobytes() for k in range(n - window + 1)} for a, n in zip(np.cumsum(size) - size, size)]
+        for i in range(len(own)):
+            assert i in kept or not any(doc[i] != doc[j] and own[i] & own[j] for j in range(len(own)))
+
+
 def test_what_is_left():
     assert without(b"0123456789", [(4, 6), (1, 3), (3, 4), (8, 9)]) == (b"0679", [(1, 6), (8, 9)])
     assert without(b"", []) == (b"", [])
