@@ -97,7 +97,8 @@ _A2_SQL = f"""SELECT ts AS elem_ts, {node('observation', 'event_id')} AS obs, {n
 def _fold(elements: DataFrame) -> DataFrame:
     # One element carries one observation, so its statements fold into a row without a join.
     plain = F.col("s_t").isNull()
-    fold = elements.groupBy("elem_id", "elem_ts").agg(
+    # Sorted by time first: names of elements have their beginnings in common, which Spark compares before the rest.
+    fold = elements.groupBy("elem_ts", "elem_id").agg(
         F.max(F.when(plain & (F.col("p") == vocab.FEATURE), F.col("s"))).alias("obs"),
         F.max(F.when(F.col("p") == vocab.FEATURE, F.col("o"))).alias("place"),
         F.max(F.when(F.col("p") == vocab.HAS_RESULT, F.col("o_num"))).alias("value"),

@@ -285,3 +285,51 @@ def test_starts_that_meet_come_to_one_state():
     for c in cutters:
         list(c.feed(text))
     assert cutters[0].state() == cutters[1].state()
+
+
+SHAPED = [
+    'GRAPH <g/{0}> {{ <o/{0}> a :T ; :p <x/{1}> ; :v "{1}.5"^^xsd:double . << <o/{2}> :v "{1}.5"^^xsd:double >> :u "N(0,{0})"^^:d . }} <g/{0}> :t "{2}" .',
+    '<a/{0}> :p <b/{1}> , <a/{0}> ; <q/{2}> "x{1}"@EN , "y"^^<http://www.w3.org/2001/XMLSchema#string> , 7 , true .',
+    '<{0}> :p "{1}"^^xsd:string . << << <a> :p <b{0}> >> :q <c> >> :r << <d> :s <e{1}> >> .',
+    '<http://y/{0}> <../{1}> <#{2}> . <a> :p "" , "{0}" , "" .', "<a> :p 'x\"{0}' , <b> . # <c> \"d",
+    '<a> :p """{0} "<b>" . """ , "q\\"{1}" .', '_:n :p [ :q <{0}> ] , ( <{1}> ) .', '@prefix n: <http://n/{0}/> . n:a n:b <{1}> .',
+    'PREFIX x: <http://{0}/> <a> x:b "{1}" .', '<a>:p<b{0}>,"c""{1}" .', "<a> :p \"c\" ^^ <http://d/{0}> .", '<\\u0041{0}> :p "{1}\t" .',
+    "{{ <a> :p <b{0}> }} GRAPH :g {{ <a> <p> <c{1}> . }}", "<a> :p <x-quadtide-slot:{0}> , \"x-quadtide-slot:{1}\" .", "<a> :p ;; .", "<a{0}> .", "<a> no:p <b> .",
+]
+
+
+@pytest.mark.parametrize("form", SHAPED)
+@pytest.mark.parametrize("base", ["http://b/", "", "http://b/c?d"])
+def test_records_read_by_their_shape_are_those_of_the_reader(form, base):
+    prefixes = {"": "http://x/", "xsd": vocab.XSD}
+    shapes = trig.Shapes(prefixes, base)
+    for numbers in [(1, 2, 3), (4, 5, 6), (1, 1, 1), (0, 2, 0), (7, 8, 7)]:
+        text = form.format(*numbers)
+        got = shapes.read(text)
+        try:
+            want = trig.RecordReader(text, "f", prefixes, base).read()
+        except (ValueError, KeyError):
+            want = None
+        assert got is None or got == want
+    assert (got is not None) == (SHAPED.index(form) in (0, 1, 3, 12, 13, 15))
+
+
+def test_elements_of_one_shape_are_scanned_twice_at_most(spark, monkeypatch, tmp_path):
+    scan = trig.RecordReader._scan
+
+    def some(text):
+        if "<o/5>" in text or "<o/6>" in text:
+            raise AssertionError("scanned")
+        return scan(text)
+
+    (tmp_path / "a.txt").write_text("".join(SHAPED[0].format(i, i % 3, i) + "\n" for i in range(7)))
+    monkeypatch.setattr(trig.RecordReader, "_scan", staticmethod(some))
+    got = trig.read_elements(spark, str(tmp_path), {"": "http://x/", "xsd": vocab.XSD}, "http://b/").collect()
+    assert len(got) == 35 and {r["o"] for r in got if r["p"] == "<http://x/t>"} == {f'"{i}"' for i in range(7)}
+
+
+def test_shapes_are_forgotten():
+    shapes = trig.Shapes({"": "http://x/"}, "http://b/")
+    for i in range(2 * trig.SHAPES):
+        assert shapes.read(f"<a> :p {i} .") is None
+    assert len(shapes.known) <= trig.SHAPES and shapes.read("<a> :p " + "<b> , " * trig.SHAPED + "<c> .") is None
