@@ -189,7 +189,9 @@ def reify(quads: DataFrame) -> DataFrame:
     """
     known = with_typed(quads)
     none = F.lit(None).cast(terms.TRIPLE_TYPE)
-    node = lambda term: terms.bnode(F.sha2(F.concat_ws(" ", F.col("g"), term), 256))
+    # A digest is never NULL. Told so, Spark adds no check to some readings of a node only, and shares the exchange of all.
+    digest = lambda term: F.coalesce(F.sha2(F.concat_ws(" ", F.col("g"), term), 256), F.lit(""))
+    node = lambda term: terms.bnode(digest(term))
     place = lambda c: F.when(F.col(f"{c}_t").isNotNull(), node(F.col(c))).otherwise(F.col(c)).alias(c)
     outer = known.select("g", place("s"), "p", place("o"), "o_num", "o_ts", none.alias("s_t"), none.alias("o_t"))
     ends = F.array(*[F.struct(F.col(c).alias("term"), F.col(f"{c}_t").alias("t")) for c in "so"])

@@ -119,3 +119,11 @@ def test_embedded_pattern_with_constants(spark):
     assert rows(p.match(quads, Pattern(Quoted(X, Y, "?c"), "?d", "?m", "?g")), "g", "c") == [("g1", X)]
     assert p.match(quads, Pattern(Quoted(X, Y, X), None, "?m", "g1")).count() == 1
     assert p.match(quads, Pattern(Quoted(X, Y, X), None, "?m", "g2")).count() == 0
+
+
+def test_all_readings_of_reified_nodes_are_one(spark):
+    """Nodes are read as rows, and as descriptions of subjects and objects: a check in some of them only would make them differ."""
+    quads = q.constant_quads(spark, [("urn:g", "<< <a> <p> <b> >>", "<q>", "<< <c> <p> <d> >>"), ("urn:g", "<a>", "<p>", "<b>")])
+    back = p.unreify(p.reify(quads))
+    assert "isnotnull(concat(_:" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in back.select("s", "o").collect()} == {("<< <a> <p> <b> >>", "<< <c> <p> <d> >>"), ("<a>", "<b>")}
