@@ -31,6 +31,8 @@ NUMERIC_TYPES = tuple(
 )
 
 TRIPLE_TYPE = "struct<s:string,p:string,o:string>"
+STEPS_TYPE = "array<struct<p:string,o:string>>"
+CHAIN_TYPE = f"struct<root:string,steps:{STEPS_TYPE}>"
 
 
 def escape(text: Column) -> Column:
@@ -206,50 +208,95 @@ def _tokens(text: Column) -> Column:
 
 def embedded(term: Column) -> Column:
     """All embedded statements in a term, itself if it is one, at any depth; NULL for other terms."""
-    return F.transform(embedded_parts(term), lambda q: triple(q["s"], q["p"], q["o"]))
+    every = lambda c: F.transform(c["steps"], lambda _, n: chain_term(c["root"], c["steps"], n + 1))
+    found = embedded_chains(F.lit(None).cast("string"), term)["others"]
+    return F.when(is_triple(term), F.flatten(F.transform(found, every)))
 
 
-def embedded_parts(term: Column) -> Column:
-    """The same as subject, predicate and object.
+def chain_term(root: Column, steps: Column, n: Column) -> Column:
+    """The statement that the first ``n`` steps of a chain make, the root where that is 0."""
+    around = F.transform(F.slice(steps, F.lit(1), n), lambda x: F.concat(F.lit(" "), x["p"], F.lit(" "), x["o"], F.lit(" >>")))
+    return F.when(n == 0, root).otherwise(F.concat(F.repeat(F.lit("<< "), n), root, F.array_join(around, "")))
+
+
+def embedded_chains(s: Column, o: Column) -> Column:
+    """Embedded statements of a subject and an object, each in one chain with those that stand in its own subject.
+
+    A chain is the innermost subject, ``root``, and the ``steps`` (predicate, object) of the statements around it,
+    from the inside out. ``about`` is the chain that makes the subject; it is NULL where the subject embeds nothing
+    or is not written as its chain is, and then its chain is one of the ``others``.
 
     Signs are read from left to right: a closing one ends the statement of the last open one, which is put
     together there and is a part of the one around it.
     """
-    pieces = re.compile(_TOKEN, re.ASCII).findall
+    tokens = re.compile(_TOKEN, re.ASCII).findall
 
-    def parts(text: str) -> Iterator[tuple[str, str, str]]:
-        opened: list[list[str]] = []
+    # In tasks, a chain is its root and the predicates and objects of its steps.
+    def text_of(root: str, predicates: list[str], objects: list[str]) -> str:
+        return "<< " * len(objects) + root + "".join(f" {p} {o} >>" for p, o in zip(predicates, objects))
+
+    def chains(text: str) -> tuple[tuple | None, list[tuple]]:
+        """The chain that makes the text, and the others in it."""
         # Without a literal every space parts two pieces.
-        for piece in pieces(text) if '"' in text else text.split(" "):
+        pieces = tokens(text) if '"' in text else text.split(" ")
+        depth = pieces.count("<<")
+        if len(pieces) == 4 * depth + 1 and pieces[:depth].count("<<") == depth == pieces[depth + 3 :: 3].count(">>") == pieces.count(">>"):
+            # Only subjects embed something.
+            one = pieces[depth], pieces[depth + 1 :: 3], pieces[depth + 2 :: 3]
+            return (one, []) if text_of(*one) == text else (None, [one])
+        opened: list[list] = []
+        outer, others = [], []
+        for piece in pieces:
             if piece == "<<":
                 opened.append([])
                 continue
             if piece == ">>":
                 if not opened:
                     continue
-                terms = opened.pop()
-                if len(terms) != 3:
-                    terms = [*(terms + ["", ""])[:2], " ".join(terms[2:])]
-                yield tuple(terms)
-                piece = f"<< {terms[0]} {terms[1]} {terms[2]} >>"
+                first, *rest = opened.pop() or [""]
+                others.extend(x for x in rest if type(x) is tuple)
+                rest = [text_of(*x) if type(x) is tuple else x for x in rest]
+                piece = first if type(first) is tuple else (first, [], [])
+                piece[1].append(rest[0] if rest else "")
+                piece[2].append(" ".join(rest[1:]))
+                if not opened:
+                    outer.append(piece)
             if opened:
                 opened[-1].append(piece)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            ends, found = [0], []
-            for text in batch.to_pylist():
-                if text is not None:
-                    found.extend(parts(text))
-                ends.append(len(found))
-            columns = [pa.array(c, pa.string()) for c in (zip(*found) if found else [()] * 3)]
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list("spo")), mask=batch.is_null()
-            )
+        others.extend(x for terms in opened for x in terms if type(x) is tuple)
+        one = outer.pop() if len(outer) == 1 and text_of(*outer[0]) == text else None
+        return one, outer + others
+
+    def array_of(found: list[tuple | None]) -> pa.StructArray:
+        ends, predicates, objects = [0], [], []
+        for chain in found:
+            if chain:
+                predicates += chain[1]
+                objects += chain[2]
+            ends.append(len(objects))
+        steps = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (predicates, objects)], list("po"))
+        roots = pa.array([chain and chain[0] for chain in found], pa.string())
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)
+        return pa.StructArray.from_arrays([roots, listed], ["root", "steps"], mask=pa.array([c is None for c in found], pa.bool_()))
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for subjects, objects in batches:
+            about, ends, others = [], [0], []
+            for s, o in zip(subjects.to_pylist(), objects.to_pylist()):
+                one, more = (None, []) if s is None else chains(s)
+                about.append(one)
+                others += more
+                if o is not None:
+                    one, more = chains(o)
+                    others += more if one is None else [one, *more]
+                ends.append(len(others))
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), array_of(others))
+            yield pa.StructArray.from_arrays([array_of(about), listed], ["about", "others"])
 
     # Annotations are text in this module, and the kind of function is read from them.
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, f"array<{TRIPLE_TYPE}>")(F.when(is_triple(term), term))
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    read = F.arrow_udf(run, f"struct<about:{CHAIN_TYPE},others:array<{CHAIN_TYPE}>>")
+    return read(*[F.when(is_triple(x), x) for x in (s, o)])
 
 
 def decode_triple(term: Column) -> Column:

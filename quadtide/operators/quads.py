@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadtide.functions import terms
@@ -122,26 +122,45 @@ def distinct_quads(quads: DataFrame, also: list[str] | None = None) -> DataFrame
 def assert_embedded(quads: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Assert every embedded statement, at any depth, in the graph of the statement around it.
 
-    One pass: a row is unfolded once into itself and all that its subject and object embed. Rows that
-    embed nothing are left as they are.
+    One pass: a row is exchanged as one chain with all statements that its subject embeds in each other, and is
+    unfolded behind that. Sorted chains have what they share next to each other, so each one yields the statements
+    that the one before it has not. Chains about one innermost statement of a graph meet in one task, which sorts
+    them on disk where its memory does not hold them.
     """
     keep = keep or []
-    cols = [*keep, "g", "s", "p", "o", "o_num", "o_ts", "s_t", "o_t"]
     if "s_t" not in quads.columns:
         # Terms that are computed on the fly would otherwise be computed again for each of their parts.
         quads = let(quads, s=F.col("s"), o=F.col("o"))
-    known = with_typed(quads).select(*cols)
-    plain = F.array(F.lit(None).cast(terms.TRIPLE_TYPE))
-    none = F.array().cast(f"array<{terms.TRIPLE_TYPE}>")
-    inner = [F.coalesce(terms.embedded_parts(F.col(c)), none) for c in ("s", "o")]
-    unfolded = known.withColumn("__q", F.explode(F.concat(plain, *inner)))
-    new, s, o = F.col("__q").isNotNull(), F.col("__q.s"), F.col("__q.o")
+    known = with_typed(quads).select(*keep, *KEY, *TYPED).withColumn("__in", terms.embedded_chains(F.col("s"), F.col("o")))
+    inner = F.coalesce(F.col("__in.about.steps"), F.array().cast(terms.STEPS_TYPE))
+    own = F.struct(F.coalesce("__in.about.root", "s").alias("root"), F.concat(inner, F.array(F.struct("p", "o"))).alias("steps"))
+    every = F.posexplode(F.concat(F.array(own), F.col("__in.others"))).alias("__place", "__chain")
+    chains = known.select(*keep, "g", *TYPED, every).select(
+        *keep, "g", *TYPED, "__place", F.col("__chain.root").alias("__root"), F.col("__chain.steps").alias("__steps")
+    )
+    if quads.isStreaming:
+        chains = chains.withColumn("__shared", F.lit(0))
+    else:
+        # Sorted by a number first: terms have their beginnings in common, which Spark compares before the rest.
+        chains = chains.withColumn("__at", F.xxhash64(*keep, "g", "__root", F.col("__steps")[0]))
+        order = Window.partitionBy("__at", *keep, "g", "__root").orderBy("__steps", "__place")
+        same = F.zip_with("__steps", F.lag("__steps").over(order), lambda x, y: x.eqNullSafe(y))
+        shared = F.array_position(F.concat(same, F.array(F.lit(False))), False).cast("int") - 1
+        chains = chains.withColumn("__shared", F.coalesce(shared, F.lit(0)))
+    size = F.size("__steps")
+    fresh = F.posexplode(F.slice("__steps", F.col("__shared") + 1, size - F.col("__shared"))).alias("__n", "__step")
+    unfolded = chains.select("*", fresh).withColumn("__n", F.col("__shared") + F.col("__n"))
+    # The row itself is the last statement of its chain.
+    unfolded = unfolded.withColumn("__new", (F.col("__place") > 0) | (F.col("__n") < size - 1)).select(
+        *keep, "g", terms.chain_term(F.col("__root"), F.col("__steps"), F.col("__n")).alias("s"), "__step.p", "__step.o",
+        "__new", *[F.col(c).alias(f"__{c}") for c in TYPED],
+    )
+    s, o = F.col("s"), F.col("o")
     views = {"o_num": terms.num(o), "o_ts": terms.moment(o), "s_t": terms.decode_triple(s), "o_t": terms.decode_triple(o)}
     out = unfolded.select(
-        *keep, "g", *[F.when(new, F.col(f"__q.{c}")).otherwise(F.col(c)).alias(c) for c in ("s", "p", "o")],
-        *[F.when(new, v).otherwise(F.col(c)).alias(c) for c, v in views.items()],
+        *keep, *KEY, *[F.when(F.col("__new"), v).otherwise(F.col(f"__{c}")).alias(c) for c, v in views.items()]
     )
-    return distinct_quads(out, keep)
+    return distinct_quads(out, keep) if quads.isStreaming else out
 
 
 def element_times(quads: DataFrame, element: str = "elem_id") -> DataFrame:

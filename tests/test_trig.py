@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,77 @@ def test_deep_terms_are_unfolded_in_one_reading(spark):
     assert found["<http://p0>"].s == "<http://a>" and found["<http://p0>"].o == "<http://o>"
 
 
+def test_rows_are_exchanged_before_they_are_unfolded(spark):
+    """Every statement of a row was exchanged with all that it embeds, and rows for the reader of terms piled up on
+    disk behind the aggregation of statements."""
+    def term(n, levels):
+        return f"<< {term(n, levels - 1)} <http://p{levels}> <http://o{n % 3}> >>" if levels else f"<http://a{n}>"
+
+    made = [("<http://g>", term(n, 6), "<http://p>", "<http://o>") for n in range(50)] * 2
+    got = q.assert_embedded(spark.createDataFrame(made, "g string, s string, p string, o string")).select("g", "s", "p", "o")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1 and plan.index("posexplode(slice") < plan.index("Exchange")
+    inner = [("<http://g>", term(n, k), f"<http://p{k + 1}>", f"<http://o{n % 3}>") for n in range(50) for k in range(6)]
+    assert rows(got) == sorted({*made, *inner})
+
+
+def test_every_statement_is_asserted_once(spark):
+    """Against statements made as trees: chains that share their beginnings, embedded objects, repeated rows and nulls."""
+    pick = random.Random(3).choice
+    leaves = ["<http://a>", "_:b", '"x >> << y"', '"q"@en', '"1.5"^^<%sdouble>' % vocab.XSD]
+
+    def tree(depth):
+        return (tree(depth - 1), pick(["<http://p>", "<http://q>"]), tree(pick([0, 0, depth - 1]))) if depth and pick("aab") == "a" else pick(leaves)
+
+    def text(x):
+        return x if x is None or isinstance(x, str) else "<< " + " ".join(map(text, x)) + " >>"
+
+    def parts(x):
+        return {tuple(map(text, x))} | parts(x[0]) | parts(x[2]) if isinstance(x, tuple) else set()
+
+    made, want = [], set()
+    for _ in range(600):
+        k, g, s, p, o = pick(["k", "l", None]), pick(["g", None]), pick([tree(4), None]), pick(["<http://p>", None]), pick([tree(4), None])
+        made.append((k, g, text(s), p, text(o)))
+        want |= {(k, g, text(s), p, text(o))} | {(k, g, *x) for x in parts(s) | parts(o)}
+    df = spark.createDataFrame(made + made[:99], "k string, g string, s string, p string, o string").repartition(5)
+    got = q.assert_embedded(df, keep=["k"])
+    order = lambda found: sorted(found, key=str)
+    assert order(tuple(r) for r in got.select("k", "g", "s", "p", "o").collect()) == order(want)
+    other = q.with_typed(got.drop("o_num", "o_ts", "s_t", "o_t")).select(got.columns)
+    assert order(map(tuple, got.collect())) == order(map(tuple, other.collect()))
+
+
+def test_views_of_rows_are_kept(spark):
+    """A row that stands in another one as well keeps the views it came with."""
+    data = [("g", "<< <a> <p> <b> >>", "<q>", "<c>", 7.0), ("g", "<a>", "<p>", "<b>", 5.0), ("g", "<< <a> <p> <b> >>", "<q>", "<c>", 7.0)]
+    got = q.assert_embedded(spark.createDataFrame(data, "g string, s string, p string, o string, o_num double"))
+    assert rows(got, "s", "o_num") == [("<< <a> <p> <b> >>", 7.0), ("<a>", 5.0)]
+
+
+def test_terms_written_otherwise(spark):
+    """Texts that are no canonical terms stay as they are, and the statements closed in them are asserted."""
+    data = {
+        "<< <a> <b> >>": [("<a>", "<b>", "")], "<< <a> <p> <b> >> <x>": [("<a>", "<p>", "<b>")], "<< <a> <p> <b>": [],
+        '<< <a> <p>  "b c" >>': [("<a>", "<p>", '"b c"')], "<< <a> <p> <b> <c> >>": [("<a>", "<p>", "<b> <c>")],
+        "<< << <a> <p> <b> >> <q>": [("<a>", "<p>", "<b>")], "<< <a> <p> << <c> <p> <d> >> >> >>": [("<a>", "<p>", "<< <c> <p> <d> >>"), ("<c>", "<p>", "<d>")],
+    }
+    for s, want in data.items():
+        got = q.assert_embedded(spark.createDataFrame([("g", s, "<q>", s)], "g string, s string, p string, o string"))
+        assert rows(got, "s", "p", "o") == rows(spark.createDataFrame([*want, (s, "<q>", s)], "s string, p string, o string"))
+
+
+def test_embedded_statements_of_a_stream(spark, tmp_path):
+    schema, path = "g string, s string, p string, o string", str(tmp_path / "in")
+    data = spark.createDataFrame([("g", f"<< << <a> <p> <b> >> <q> <c> >>", "<r>", f"<o{n % 2}>") for n in range(4)], schema)
+    data.write.parquet(path)
+    found = q.assert_embedded(spark.readStream.schema(schema).parquet(path)).select("g", "s", "p", "o")
+    write = found.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state"))
+    write.format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    back = rows(spark.read.schema(schema).parquet(str(tmp_path / "out")))
+    assert len(back) == 4 and back == rows(q.assert_embedded(data).select("g", "s", "p", "o"))
+
+
 @pytest.mark.parametrize("lexical", ["1.5", '2"^^<http://www.w3.org/2001/XMLSchema#double>', "", "x"])
 def test_numbers_are_read_without_patterns(spark, lexical):
     df = spark.range(1).select(F.lit(lexical).alias("x"))
